@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -144,6 +144,38 @@ def distinct_per_text(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return h[keep], np.concatenate([[0], np.cumsum(np.bincount(text[keep], minlength=len(first) - 1))]).astype(np.int64)
 
 
+def join_spans(data: np.ndarray, starts: np.ndarray, size: np.ndarray, text: np.ndarray, n: int, separator: int) -> pa.Array:
+    """n texts: the byte spans of each text (`text` ascends) joined by one separator byte."""
+    last = np.ones(len(size), bool)
+    last[:-1] = text[1:] != text[:-1]
+    out_len = size + ~last
+    to = np.concatenate([[0], np.cumsum(out_len)]).astype(np.int64)
+    out = np.full(to[-1], separator, np.uint8)
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    every = np.arange(at[-1])
+    out[every + np.repeat(to[:-1] - at[:-1], size)] = data[every + np.repeat(starts - at[:-1], size)]
+    by_text = np.bincount(text, weights=out_len, minlength=n).astype(np.int64) if len(text) else np.zeros(n, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(by_text)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of hash of byte spans; equal spans have equal hashes wherever they stand."""
+    n, size = len(data), (ends - starts).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.zeros(n + 1, dtype=np.uint64)
+        values = (_BYTE[_LOWER] if lower else _BYTE)[data]
+        np.cumsum(values * powers(_P, n), out=total[1:])
+        h = mix((total[ends] - total[starts]) * powers(_P_INV, n + 1)[starts] + size * U64(0x632BE59BD9B4E019))
+        np.cumsum((values ^ (values >> U64(29))) * powers(_Q, n), out=total[1:])
+        g = mix((total[ends] - total[starts]) * powers(_Q_INV, n + 1)[starts] + size)
+    return h, (g >> U64(32)).astype(np.uint32)
+
+
+def sha256_of(text: Column) -> Column:
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
+
+
 # --- exchanges of numpy records -------------------------------------------------------------
 
 BLOB = "bucket int, kind int, blob binary"

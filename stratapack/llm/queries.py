@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP7_SQL, op7_line_dedup
 from .substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_line_dedup": OP7_SQL,
+}

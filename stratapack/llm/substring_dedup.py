@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLOB, U64, Words, blocked, chunks, deal, pack, run_hashes, table, text_buffers, unblocked, unpack
+from .common import BLOB, U64, Words, blocked, chunks, deal, join_spans, run_hashes, sha256_of, table, text_buffers, unblocked, unpack
 
 #: Perfect difference sets (fixed values): every residue modulo v is a difference of two members.
 COVERS = {21: (0, 1, 4, 14, 16), 13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1), 1: (0,)}
@@ -173,8 +174,6 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     fields = [f for f in dealt.schema.fields if f.name not in ("text", "block")]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     empty = to_arrow_schema(schema).empty_table()
 
     def again(keys: DataFrame) -> DataFrame:
@@ -189,25 +188,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def _kept(w: Words, keep: np.ndarray) -> pa.Array:
-    """Texts of the kept words, each text's joined by one space."""
-    starts, size = w.starts[keep], (w.ends - w.starts)[keep]
-    text = w.text_of()[keep]
-    last = np.ones(len(size), bool)
-    if len(size):
-        last[:-1] = text[1:] != text[:-1]
-    out_len = size + ~last
-    to = np.concatenate([[0], np.cumsum(out_len)]).astype(np.int64)
-    out = np.full(to[-1], 0x20, np.uint8)
-    src = np.arange(size.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else starts, size)
-    dst = np.arange(size.sum()) + np.repeat(to[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else to[:-1], size)
-    out[dst] = w.data[src]
-    by_text = np.bincount(text, weights=out_len, minlength=len(w.counts)).astype(np.int64) if len(text) else np.zeros(len(w.counts), np.int64)
-    offsets = np.concatenate([[0], np.cumsum(by_text)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(w.counts), pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
-
-
-def sha256_of(text: Column) -> Column:
-    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
+    return join_spans(w.data, w.starts[keep], (w.ends - w.starts)[keep], w.text_of()[keep], len(w.counts), 0x20)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
