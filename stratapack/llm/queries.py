@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .decontamination import op10_benchmark_decontamination
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .sentencepiece_nbest import op1_sentencepiece
 from .substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op1_sentencepiece": op1_sentencepiece,
 }
 
 SQL: dict[str, str] = {
