@@ -210,7 +210,7 @@ def block_of(doc_id: str, n: int):
     return F.coalesce(F.pmod(F.pmod(F.pmod(F.col(doc_id).cast("bigint"), F.lit(_PRIME)) * F.lit(_LEHMER), F.lit(_PRIME)), F.lit(n)), F.lit(0)).cast("int").alias("block")
 
 
-def blocked(docs: DataFrame, doc_id: str, text: str, per_partition: int = 8) -> tuple[DataFrame, int]:
+def blocked(docs: DataFrame, doc_id: str, text: str, per_partition: int = 2) -> tuple[DataFrame, int]:
     """(block, id, text[, rest]) dealt by block, and the number of blocks.
 
     All other columns ride along in the struct `rest`, so their names can't clash.  The exchange is written

@@ -205,8 +205,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     fields = [f for f in dealt.schema.fields if f.name not in ("text", "block")]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     empty = to_arrow_schema(schema).empty_table()
-    runs = dealt.select("block", "id", "text").groupBy("block").applyInArrow(send, BLOB)
-    found = runs.repartition(n_blocks // 8, "bucket").mapInArrow(settle, BLOB).select(F.col("bucket").alias("block"), "blob")
+    runs = dealt.groupBy("block").applyInArrow(send, BLOB)
+    found = runs.repartition(n_blocks // 2, "bucket").mapInArrow(settle, BLOB).select(F.col("bucket").alias("block"), "blob")
     out = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(drop, schema)
     return unblocked(out, docs, doc_id, text, ["n_lines", "n_dropped"])
 

@@ -129,6 +129,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     length = window - v + 1
     dealt, n_blocks = blocked(docs, doc_id, text)
     n_buckets = n_blocks
+    # all three passes read `dealt` with all its columns, so that they share one exchange of the texts
 
     def send_anchors(batches):
         out = _Sender(n_buckets)
@@ -178,11 +179,11 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def again(keys: DataFrame) -> DataFrame:
         """Deals keys by hash, keeps repeated ones, and groups them by block."""
-        found = keys.repartition(n_buckets // 8, "bucket").mapInArrow(_repeated, BLOB)
+        found = keys.repartition(n_blocks // 2, "bucket").mapInArrow(_repeated, BLOB)
         return found.select(F.col("bucket").alias("block"), "blob").groupBy("block")
 
-    anchors = dealt.select("block", "text").mapInArrow(send_anchors, BLOB)
-    windows = dealt.select("block", "text").groupBy("block").cogroup(again(anchors)).applyInArrow(send_windows, BLOB)
+    anchors = dealt.mapInArrow(send_anchors, BLOB)
+    windows = dealt.groupBy("block").cogroup(again(anchors)).applyInArrow(send_windows, BLOB)
     out = dealt.groupBy("block").cogroup(again(windows)).applyInArrow(remove, schema)
     return unblocked(out, docs, doc_id, text, ["n_words", "n_removed"])
 
