@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op10_benchmark_decontamination
 from .language_id import op6_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .near_dedup import op4_minhash_near_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .sentencepiece_nbest import op1_sentencepiece
 from .substring_dedup import op2_substring_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_language_id": op6_language_id,
     "op8_quality_rules": op8_quality_rules,
 }
