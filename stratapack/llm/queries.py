@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op10_benchmark_decontamination
+from .html_extraction import op3_html_extraction
 from .language_id import op6_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .near_dedup import op4_minhash_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_html_extraction": op3_html_extraction,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_language_id": op6_language_id,
     "op8_quality_rules": op8_quality_rules,
