@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import cut, table
 
 CALLS = "array<struct<id:string,name:string,arguments:string>>"
 PARSED = f"conv_id bigint, turn bigint, role string, text string, calls {CALLS}, answers string"
@@ -162,7 +162,7 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
     # a message asks for the first call of its own ids (to find duplicates) or of the id that it answers; messages with neither skip the join
     asks = parsed.select("*", F.when(F.col("answers").isNotNull(), F.array("answers")).otherwise(F.transform("calls", lambda c: c["id"])).alias("ids"))
     plain = asks.where(F.size("ids") == 0).withColumn("found", F.expr("cast(null as array<struct<k:int,call:struct<turn:bigint,k:int>>>)"))
-    tools = asks.where(F.size("ids") > 0).withColumn("row", F.monotonically_increasing_id())
+    tools = cut(asks.where(F.size("ids") > 0).withColumn("row", F.monotonically_increasing_id()))  # written, so that both uses see the same numbers
     keyed = tools.select("row", "conv_id", F.posexplode("ids").alias("k", "id")).join(first, ["conv_id", "id"]).groupBy("row").agg(F.collect_list(F.struct("k", "call")).alias("found"))
     tools = tools.join(keyed, "row", "left").drop("row")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_chat_formatting
 from .decontamination import op10_benchmark_decontamination
 from .html_extraction import op3_html_extraction
 from .language_id import op6_language_id
@@ -10,6 +11,7 @@ from .near_dedup import op4_minhash_near_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .sentencepiece_nbest import op1_sentencepiece
 from .substring_dedup import op2_substring_dedup
+from .warc import op9_warc
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
@@ -18,11 +20,14 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_html_extraction": op3_html_extraction,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_language_id": op6_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_warc": op9_warc,
 }
 
 SQL: dict[str, str] = {
+    "op5_chat_formatting": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
 }
