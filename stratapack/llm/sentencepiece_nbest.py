@@ -13,17 +13,17 @@ those with the smallest distances: the others already have N better paths before
 from __future__ import annotations
 
 import heapq
-import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U64, chunks, sha256_of, table
+from .common import U64, chunks, sha256_of, span_hashes, table, text_buffers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -31,8 +31,10 @@ SPACE = "▁"
 UNKNOWN = 10.0
 _MUL, _SLOT_1, _SLOT_2 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 _MASK = 0xFFFFFFFFFFFFFFFF
-#: Words kept from batch to batch; beyond, they are forgotten and segmented again.
-_KEEP = 200_000
+#: Words kept from chunk to chunk; beyond, they are forgotten and segmented again.
+_KEEP = 600_000
+#: Bytes of text worked on at once.
+CHUNK = 2 << 20
 
 
 class Model:
@@ -51,12 +53,15 @@ class Model:
         self.bytes = [p.id_to_piece(i).replace(SPACE, " ").encode() if i in set_ else b"" for set_ in [set(normal)] for i in every]
         for value, i in self.byte_ids.items():
             self.bytes[i] = bytes([value])
+        width = max(map(len, self.bytes))
+        self.piece_bytes = np.array([list(x.ljust(width, b"\0")) for x in [*self.bytes, b""]], np.uint8)
+        self.piece_size = np.array([len(x) for x in [*self.bytes, b""]])
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN
         self.longest = max(map(len, self.pieces))
         chars = set("".join(self.pieces))
         self.hard = "".join(c for c in map(chr, range(32)) if c not in chars)
         whole = any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.pieces)
-        self.pattern = "(?s).+" if whole else f"{SPACE}+[^{SPACE}{re.escape(self.hard)}]*|[^{SPACE}{re.escape(self.hard)}]+|[{re.escape(self.hard)}]"
+        self.splits = not whole
         self._table()
 
     def _table(self) -> None:
@@ -93,9 +98,6 @@ class Model:
             k[miss] = np.where(self.keys[j] == h[miss], j, len(self.ids) - 1)
         return k
 
-    def words(self, text: str) -> list[str]:
-        return re.findall(self.pattern, SPACE + text.replace(" ", SPACE)) if text else []
-
     # --- one word: forward Viterbi and backward A* --------------------------------------------
 
     def edges(self, word: str, j: int) -> list[tuple[int, int, float]]:
@@ -141,122 +143,175 @@ class Model:
 
     # --- many words at once --------------------------------------------------------------------
 
-    def segment(self, words: list[str]) -> list[tuple[bytes, float, float]]:
-        """(best ids as int32 bytes, score, distance to the second path) of each word."""
-        out: list = [None] * len(words)
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: its best ids (all of them in one array), how many, the score, and the distance to the second path."""
+        size, score, gap = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(words))
+        ids: list = [None] * len(words)
         by_length: dict[int, list[int]] = {}
         for k, x in enumerate(words):
             by_length.setdefault(len(x), []).append(k)
         for n, at in by_length.items():
-            step = max(1, 400_000 // n)
+            step = max(1, 200_000 // n)
             for a in range(0, len(at), step):
                 part = at[a : a + step]
-                for k, r in zip(part, self._same_length([words[k] for k in part], n), strict=True):
-                    out[k] = r
-        return out
+                found, size[part], score[part], gap[part] = self._same_length([words[k] for k in part], n)
+                cuts = np.concatenate([[0], np.cumsum(size[part])]).tolist()
+                for r, k in enumerate(part):
+                    ids[k] = found[cuts[r] : cuts[r + 1]]
+        return np.concatenate(ids) if words else np.zeros(0, np.int32), size, score, gap
 
-    def _same_length(self, words: list[str], n: int):
+    def _same_length(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         m = len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n).astype(np.uint64) + U64(1)
-        one, two = np.full((m, n + 1), -np.inf), np.full((m, n + 1), -np.inf)
-        one[:, 0] = 0
-        back = np.zeros((m, n + 1), np.int32)
-        last = np.zeros((m, n + 1), np.int32)
-        h = np.zeros((m, n), np.uint64)
-        rows = np.arange(m)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n).T.astype(np.uint64) + U64(1)
+        one, two = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        one[0] = 0
+        back = np.zeros((n + 1, m), np.int32)
+        last = np.zeros((n + 1, m), np.int32)
+        h = np.zeros((n, m), np.uint64)
+        cols = np.arange(m)
         with np.errstate(over="ignore"):
             for j in range(1, n + 1):
                 lo = max(0, j - self.longest)
-                h[:, lo:j] *= _MUL
-                h[:, lo:j] += codes[:, j - 1 : j]
-                k = self.find(h[:, lo:j])
+                h[lo:j] *= _MUL
+                h[lo:j] += codes[j - 1]
+                k = self.find(h[lo:j])
                 s = self.scores[k]
-                s[:, -1] = np.where(k[:, -1] == len(self.ids) - 1, self.unknown, s[:, -1])
-                cand = one[:, lo:j] + s
-                top = cand.argmax(1)  # the first: of equal paths the one with the longest last piece
-                one[:, j] = cand[rows, top]
-                cand[rows, top] = -np.inf
-                two[:, j] = np.maximum(cand.max(1), (two[:, lo:j] + s).max(1))
-                back[:, j] = top + lo
-                last[:, j] = self.ids[k[rows, top]]
+                s[-1] = np.where(k[-1] == len(self.ids) - 1, self.unknown, s[-1])
+                cand = one[lo:j] + s
+                top = cand.argmax(0)  # the first: of equal paths the one with the longest last piece
+                one[j] = cand[top, cols]
+                cand[top, cols] = -np.inf
+                two[j] = np.maximum(cand.max(0), (two[lo:j] + s).max(0))
+                back[j] = top + lo
+                last[j] = self.ids[k[top, cols]]
         steps, cur = [], np.full(m, n)
         while (cur > 0).any():
-            steps.append(np.where(cur > 0, last[rows, cur], -2))
-            cur = np.where(cur > 0, back[rows, cur], 0)
-        ids = np.stack(steps[::-1], axis=1).astype("<i4")
-        odd = (ids == -1).any(1)
+            steps.append(np.where(cur > 0, last[cur, cols], -2))
+            cur = np.where(cur > 0, back[cur, cols], 0)
+        ids = np.stack(steps[::-1], axis=1)
         real = ids != -2
         size = real.sum(1)
-        flat = ids[real].tobytes()
-        cuts = np.concatenate([[0], np.cumsum(size)]) * 4
-        gap = one[:, n] - two[:, n]
-        for r in range(m):
-            if odd[r]:
-                yield np.array(self.nbest(words[r], 1)[0][1], "<i4").tobytes(), float(one[r, n]), float(gap[r])
-            else:
-                yield flat[cuts[r] : cuts[r + 1]], float(one[r, n]), float(gap[r])
+        flat = ids[real]
+        odd = np.flatnonzero((ids == -1).any(1))
+        if len(odd):  # unknown characters become bytes
+            parts = np.split(flat, np.cumsum(size)[:-1])
+            for r in odd.tolist():
+                parts[r] = np.array(self.nbest(words[r], 1)[0][1], np.int32)
+                size[r] = len(parts[r])
+            flat = np.concatenate(parts)
+        return flat, size, one[n], one[n] - two[n]
 
     # --- texts ----------------------------------------------------------------------------------
 
-    def decode(self, ids) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD, ids out of range nothing, and the leading space goes."""
-        b, n = self.bytes, len(self.bytes)
-        try:
-            out = b"".join(map(b.__getitem__, ids)) if not len(ids) or min(ids) >= 0 else None
-        except (IndexError, TypeError):
-            out = None
-        if out is None:
-            out = b"".join(b[i] for i in ids if i is not None and 0 <= i < n)
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", errors="replace")
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """Texts of ids; bytes that are no UTF-8 become U+FFFD, ids out of range nothing, and a leading space goes."""
+        ids = np.where((ids < 0) | (ids >= len(self.bytes)), len(self.bytes), ids)
+        size = self.piece_size[ids]
+        flat = self.piece_bytes[ids, : max(1, size.max(initial=0))]
+        flat = flat[np.arange(flat.shape[1]) < size[:, None]].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(size)])[first].tolist()
+        return [flat[a + (flat[a : a + 1] == b" " and a < b) : b].decode("utf-8", errors="replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 class Encoder:
-    """Encodes texts batch by batch, with a bounded store of segmented words."""
+    """Encodes chunks of texts, with a bounded store of segmented words that are known by the hash of their bytes."""
 
     def __init__(self, model: Model, nbest: int):
         self.model, self.nbest = model, nbest
+        self.hard = np.zeros(256, bool)
+        self.hard[[ord(c) for c in model.hard]] = True
         self.forget()
 
     def forget(self):
-        self.at: dict[str, int] = {}
-        self.ids: list[bytes] = []
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.score, self.gap = np.zeros(0), np.zeros(0)
         self.alternatives: dict[str, list[tuple[float, list[int]]]] = {}
 
-    def learn(self, texts: list[list[str]]):
-        if len(self.at) > _KEEP:
-            self.forget()
-        new = list(dict.fromkeys(w for words in texts for w in words if w not in self.at))
-        made = self.model.segment(new)
-        self.at.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
-        self.ids += [x[0] for x in made]
-        self.score = np.concatenate([self.score, [x[1] for x in made]])
-        self.gap = np.concatenate([self.gap, [x[2] for x in made]])
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, list[dict]]:
-        """Best ids, and the N best paths as (score, edits of the best ids)."""
-        k = list(map(self.at.__getitem__, words))
-        own = np.array(k, np.int64)
-        found = [self.ids[i] for i in k]
-        ids = np.frombuffer(b"".join(found), "<i4")
-        best = float(self.score[own].sum()) if words else 0.0
-        if self.nbest == 1 or not words:
-            return ids, [{"score": best, "edits": []}]
-        gap = self.gap[own]
-        near = np.flatnonzero(np.isfinite(gap))
+    def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes with a space before each text, the spans of the words in them, and the word range of each text."""
+        full = np.diff(offsets) > 0
+        data = np.insert(data, offsets[:-1][full], 0x20)
+        offsets = offsets + np.concatenate([[0], np.cumsum(full)])
+        if not self.model.splits:
+            starts = offsets[:-1][full]
+            return data, starts, offsets[1:][full], np.concatenate([[0], np.cumsum(full)])
+        space, hard = data == 0x20, self.hard[data]
+        start = hard | space
+        start[1:] &= hard[1:] | ~space[:-1]
+        start[1:] |= hard[:-1]
+        start[offsets[:-1][full]] = True
+        starts = np.flatnonzero(start)
+        return data, starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
+
+    def _word(self, data: np.ndarray, a: int, b: int) -> str:
+        return data[a:b].tobytes().decode().replace(" ", SPACE)
+
+    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Row in the store of each word; new words are segmented."""
+        keys, first, own = np.unique(span_hashes(data, starts, ends)[0], return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        ok = at < len(self.keys)
+        new[ok] = self.keys[at[ok]] != keys[ok]
+        if new.any():
+            if len(self.keys) + new.sum() > _KEEP and len(self.keys):
+                self.forget()
+                new[:] = True
+            which = first[new]
+            flat, size, score, gap = self.model.segment([self._word(data, a, b) for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
+            rows = np.concatenate([self.row, np.arange(len(self.size), len(self.size) + len(size))])
+            merged = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(merged, kind="stable")
+            self.keys, self.row = merged[order], rows[order]
+            self.at = np.concatenate([self.at, len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)])
+            self.flat, self.size = np.concatenate([self.flat, flat.astype(np.int32)]), np.concatenate([self.size, size])
+            self.score, self.gap = np.concatenate([self.score, score]), np.concatenate([self.gap, gap])
+            at = np.searchsorted(self.keys, keys)
+        return self.row[at][own]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
+        """All best ids, their ranges by text, and the N best paths of each text as (score, edits of the best ids)."""
+        data, starts, ends, first = self._spans(data, offsets)
+        row = self.rows(data, starts, ends) if len(starts) else np.zeros(0, np.int64)
+        size = self.size[row]
+        place = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(place[-1]) + np.repeat(self.at[row] - place[:-1], size)]
+        gap = self.gap[row]
+        paths = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            best = float(self.score[row[a:b]].sum())
+            paths.append(self._nbest(data, starts[a:b], ends[a:b], gap[a:b], place[a : b + 1], best))
+        return ids, place[first], paths
+
+    def _nbest(self, data, starts, ends, gap, place, best: float) -> list[dict]:
+        near = np.flatnonzero(gap < np.inf)
+        if self.nbest == 1 or not len(near):
+            return [{"score": best, "edits": []}]
         if len(near) > self.nbest - 1:
-            limit = np.partition(gap[near], self.nbest - 2)[self.nbest - 2]
-            less, same = near[gap[near] < limit], near[gap[near] == limit]
-            near = np.sort(np.concatenate([less, same[: self.nbest - 1 - len(less)]]))
-        choices = []
+            own = gap[near]
+            limit = np.partition(own, self.nbest - 2)[self.nbest - 2]
+            less = near[own < limit]
+            near = np.sort(np.concatenate([less, near[own == limit][: self.nbest - 1 - len(less)]]))
+        choices, loss, edits = [], np.zeros(1), np.zeros(1, int)
         for w in near.tolist():
-            word = words[w]
+            word = self._word(data, starts[w], ends[w])
             if (paths := self.alternatives.get(word)) is None:
+                if len(self.alternatives) > 50_000:
+                    self.alternatives.clear()
                 paths = self.alternatives[word] = self.model.nbest(word, self.nbest)
-            choices.append([(s - paths[0][0], w if r else -1, p) for r, (s, p) in enumerate(paths)])
-        ranked = heapq.nsmallest(self.nbest, itertools.product(*choices), key=lambda c: (-sum(x[0] for x in c), sum(x[1] >= 0 for x in c)))
-        place = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]) if near.size else None
-        return ids, [{"score": best + sum(x[0] for x in c), "edits": [{"at": int(place[w]), "n": int(place[w + 1] - place[w]), "ids": p} for _, w, p in c if w >= 0]} for c in ranked]
+            choices.append(paths)
+            loss = (loss[:, None] + [s - paths[0][0] for s, _ in paths]).ravel()
+            edits = (edits[:, None] + [[0] + [1] * (len(paths) - 1)]).ravel()
+        offset, out = int(place[0]), []
+        for c in np.lexsort((edits, -loss))[: self.nbest].tolist():
+            made, k = [], c
+            for w, paths in zip(near[::-1].tolist(), choices[::-1], strict=True):
+                k, r = divmod(k, len(paths))
+                if r:
+                    made.append({"at": int(place[w]) - offset, "n": int(place[w + 1] - place[w]), "ids": paths[r][1]})
+            out.append({"score": best + float(loss[c]), "edits": made[::-1]})
+        return out
 
 
 NBEST = "array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>"
@@ -277,13 +332,13 @@ def encode(docs: DataFrame, text: str = "text", model: Model | str = MODEL, nbes
     def scan(batches):
         coder = Encoder(shipped.value, nbest)
         for batch in batches:
-            for chunk in chunks(batch, text):
-                texts = [coder.model.words(x or "") for x in chunk.column(text).to_pylist()]
-                coder.learn(texts)
-                made = [coder.encode(words) for words in texts]
-                offsets = np.concatenate([[0], np.cumsum([len(i) for i, _ in made])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([i for i, _ in made]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*chunk.columns, ids.cast(arrow.field("ids").type), pa.array([p for _, p in made], arrow.field("nbest").type)], schema=arrow)
+            for chunk in chunks(batch, text, CHUNK):
+                col = pc.fill_null(chunk.column(text), "")
+                if pc.any(odd := pc.match_substring(col, SPACE)).as_py():  # this character stands for a space in every model
+                    col = pc.if_else(odd, pc.replace_substring(col, SPACE, " "), col)
+                ids, first, paths = coder.encode(*text_buffers(col))
+                made = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*chunk.columns, made.cast(arrow.field("ids").type), pa.array(paths, arrow.field("nbest").type)], schema=arrow)
 
     return docs.mapInArrow(scan, schema)
 
@@ -297,8 +352,13 @@ def decode(encoded: DataFrame, ids: str = "ids", model: Model | str = MODEL, to:
 
     def scan(batches):
         for batch in batches:
-            texts = [None if x is None else shipped.value.decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=arrow)
+            for k in range(0, len(batch), 1000):
+                part = batch.slice(k, 1000)
+                col = part.column(ids)
+                offsets = col.offsets.to_numpy()
+                flat = pc.fill_null(col.values.slice(offsets[0], offsets[-1] - offsets[0]), -1).to_numpy()
+                texts = pa.array(shipped.value.decode(flat, offsets - offsets[0]), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, pc.if_else(col.is_valid(), texts, pa.scalar(None, pa.string()))], schema=arrow)
 
     return encoded.mapInArrow(scan, schema)
 
