@@ -1,6 +1,424 @@
-"""Registered queries of the library and their DuckDB SQL."""
+"""Registered queries of the library and, where SQL can state the result, their DuckDB SQL."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import exprs
+from ..functions.codecs import CODECS
+from ..operators import analysis, pipeline
+from ..sources import archives, container
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+CHUNK = 4096
+#: Key of the queries that encrypt; a fixed salt and few rounds keep them repeatable and quick.
+SECRET = ("correct horse battery staple", bytes(range(16)), 1000)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.as_files(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+BYTES = "SELECT doc_id, generate_subscripts(b, 1) AS i, unnest(b) AS b FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents)"
+
+# --- inspection ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT ('0x' || b)::INTEGER AS byte, count(*)::BIGINT AS n FROM ({BYTES}) GROUP BY b")
+def byte_histogram(spark, sf_dir):
+    return analysis.byte_counts(documents(spark, sf_dir))
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, b, count(*) AS n FROM ({BYTES}) GROUP BY doc_id, b), t AS (SELECT doc_id, sum(n) AS total FROM h GROUP BY doc_id)
+SELECT d.doc_id, coalesce(max(total), 0)::BIGINT AS n_bytes, (round(coalesce(-sum(n / total * log2(n / total)), 0), 6) + 0)::DOUBLE AS entropy
+FROM documents d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) GROUP BY d.doc_id"""
+)
+def byte_entropy(spark, sf_dir):
+    return analysis.byte_stats(documents(spark, sf_dir)).select(F.col("file_id").alias("doc_id"), "n_bytes", (F.round("entropy", 6) + 0).alias("entropy"))
+
+
+RUNS = f"""SELECT doc_id, g, count(*) AS n FROM (
+  SELECT doc_id, i, sum(edge) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+    SELECT doc_id, i, (b IS DISTINCT FROM lag(b) OVER (PARTITION BY doc_id ORDER BY i))::INT AS edge FROM ({BYTES}))) GROUP BY doc_id, g"""
+
+
+@query(
+    f"""SELECT d.doc_id, (coalesce(pairs, 0) * 2 + greatest(1, ceil(length(bin(coalesce(octet_length(encode(d.text)), 0))) / 7)))::BIGINT AS rle_bytes
+FROM documents d LEFT JOIN (SELECT doc_id, sum(ceil(n / 255)) AS pairs FROM ({RUNS}) GROUP BY doc_id) r USING (doc_id)"""
+)
+def rle_size(spark, sf_dir):
+    s = analysis.byte_stats(documents(spark, sf_dir))
+    return s.select(F.col("file_id").alias("doc_id"), (F.col("rle_pairs") * 2 + analysis.varint_size(F.col("n_bytes"))).alias("rle_bytes"))
+
+
+def _stride(k: int) -> str:
+    return f"""SELECT doc_id, {k} AS stride, round(coalesce(-sum(n / total * log2(n / total)), 0), 6) + 0 AS e FROM (
+  SELECT doc_id, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM (
+    SELECT doc_id, (b - coalesce(lag(b, {k}) OVER (PARTITION BY doc_id ORDER BY i), 0) + 256) % 256 AS v FROM v) GROUP BY doc_id, v) GROUP BY doc_id"""
+
+
+@query(
+    f"""WITH v AS (SELECT doc_id, i, ('0x' || b)::INTEGER AS b FROM ({BYTES})), s AS ({_stride(1)} UNION ALL {_stride(2)} UNION ALL {_stride(4)})
+SELECT doc_id, arg_min(stride, (e, stride))::INTEGER AS stride, min(e)::DOUBLE AS stride_entropy FROM s GROUP BY doc_id"""
+)
+def delta_stride(spark, sf_dir):
+    return analysis.byte_stats(documents(spark, sf_dir)).select(F.col("file_id").alias("doc_id"), "stride", "stride_entropy")
+
+
+TYPE_SQL = "CASE WHEN url LIKE '%.html' THEN 'html' ELSE 'text' END"
+
+
+@query(
+    """SELECT page_id, 'Text' AS type, CASE WHEN regexp_matches(url, '\\.html?$') THEN 'html' ELSE 'text' END AS type_detail FROM pages
+WHERE html IS NOT NULL"""
+)
+def type_detect(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where("html is not null")
+    out = exprs.detect_types(pages.select("page_id", F.col("url").alias("path"), F.substring(F.col("html").cast("binary"), 1, 4096).alias("head")))
+    return out.select("page_id", "type", "type_detail")
+
+
+@query(
+    """SELECT ext, count(*)::BIGINT AS n, max(CASE WHEN ext IN ('html', 'htm') THEN 'Text' END) AS type FROM (
+  SELECT CASE WHEN contains(url, '.') THEN lower(regexp_extract(url, '[^.]*$')) ELSE '' END AS ext FROM pages) GROUP BY ext"""
+)
+def ext_lookup(spark, sf_dir):
+    ext = table(spark, sf_dir, "pages").select(exprs.extension(F.col("url")).alias("ext"))
+    return ext.groupBy("ext").agg(F.count("*").alias("n")).join(F.broadcast(exprs.extensions(spark)), "ext", "left").select("ext", "n", F.col("ext_type").alias("type"))
+
+
+HEADS = "CASE doc_id % 5 WHEN 0 THEN 'FFD8FF' WHEN 1 THEN '1F8B' WHEN 2 THEN '25504446' WHEN 3 THEN '504B0304' ELSE '' END"
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'gzip' WHEN 2 THEN 'pdf' WHEN 3 THEN 'zip' ELSE 'text' END AS type_detail,
+doc_id % 5 IN (0, 1, 3) AS dense, doc_id % 5 IN (0, 3) AS dense_strict FROM documents"""
+)
+def veto_filter(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    head = F.concat(F.unhex(F.expr(HEADS)), F.col("text").cast("binary"))
+    out = exprs.detect_types(docs.select("doc_id", F.lit("noname").alias("path"), F.substring(head, 1, 4096).alias("head")))
+    return out.select("doc_id", "type_detail", exprs.is_dense(F.col("type"), F.col("type_detail")).alias("dense"), exprs.is_dense(F.col("type"), F.col("type_detail"), strict=True).alias("dense_strict"))
+
+
+# --- chunks -------------------------------------------------------------------------------------
+
+CHUNKS_SQL = f"""SELECT doc_id, k::INTEGER AS chunk_id, unhex(substr(h, 1 + k * {2 * CHUNK}, {2 * CHUNK})) AS data FROM (
+  SELECT doc_id, h, unnest(range(greatest(1, ceil(length(h) / {2 * CHUNK}))::BIGINT)) AS k FROM (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents))"""
+
+
+@query(f"SELECT doc_id, chunk_id, octet_length(data)::BIGINT AS orig_size, sha256(data) AS sha FROM ({CHUNKS_SQL})")
+def chunk_table(spark, sf_dir):
+    out = pipeline.split_chunks(documents(spark, sf_dir), CHUNK)
+    return out.select(F.col("file_id").alias("doc_id"), "chunk_id", F.octet_length("data").cast("bigint").alias("orig_size"), F.sha2("data", 256).alias("sha"))
+
+
+@query(f"SELECT doc_id, chunk_id, coalesce(sum(octet_length(data)) OVER (PARTITION BY doc_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM ({CHUNKS_SQL})")
+def chunk_offsets(spark, sf_dir):
+    out = pipeline.split_chunks(documents(spark, sf_dir), CHUNK).withColumn("comp_size", F.octet_length("data").cast("bigint"))
+    return pipeline.chunk_offsets(out.drop("data")).select(F.col("file_id").alias("doc_id"), "chunk_id", "offset")
+
+
+@query(f"SELECT doc_id, true AS consistent, true AS ok, count(*)::INTEGER AS chunk_count, sum(octet_length(data))::BIGINT AS orig_size FROM ({CHUNKS_SQL}) GROUP BY doc_id")
+def header_consistency(spark, sf_dir):
+    chunks = pipeline.compress(documents(spark, sf_dir), "huffman", 6, CHUNK)
+    made = pipeline.manifest(chunks)
+    out = pipeline.verify(chunks, made, pipeline.decode_chunks(chunks)).join(made, "file_id")
+    return out.select(F.col("file_id").alias("doc_id"), "consistent", "ok", "chunk_count", "orig_size")
+
+
+@query(
+    f"""SELECT level, algo, memory, threads, greatest(4096, CASE WHEN memory > 0 THEN least(size, memory // threads // 3) ELSE size END)::BIGINT AS chunk_size FROM (
+  SELECT l::INTEGER AS level, algo, m::BIGINT AS memory, t::INTEGER AS threads, least((65536 * pow(2, l - 1))::BIGINT, 4194304, cap) AS size
+  FROM (SELECT unnest(range(1, 10)) AS l), (VALUES {", ".join(f"('{c.name}', {c.block_cap})" for c in CODECS.values())}) c(algo, cap),
+       (VALUES (0), (16777216), (1073741824)) m(m), (VALUES (1), (4), (16)) t(t))"""
+)
+def default_chunk_size(spark, sf_dir):
+    codecs = spark.createDataFrame([(c.name,) for c in CODECS.values()], "algo string")
+    grid = spark.range(1, 10).select(F.col("id").cast("int").alias("level")).join(F.broadcast(codecs))
+    grid = grid.withColumn("memory", F.explode(F.array(*[F.lit(v).cast("bigint") for v in (0, 1 << 24, 1 << 30)]))).withColumn("threads", F.explode(F.array(F.lit(1), F.lit(4), F.lit(16))))
+    return grid.withColumn("chunk_size", exprs.chunk_size(F.col("level"), exprs.block_cap(F.col("algo")), F.col("memory"), F.col("threads")))
+
+
+# --- volumes ------------------------------------------------------------------------------------
+
+PART = 2048
+SIZES_SQL = "SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS size FROM documents"
+VOLUMES_SQL = f"""SELECT doc_id, k::INTEGER AS num, 'doc-' || doc_id || '.' || lpad(k::VARCHAR, 3, '0') AS name, ((k - 1) * {PART})::BIGINT AS start, least(size, k * {PART})::BIGINT AS "end"
+FROM (SELECT doc_id, size, unnest(range(1, greatest(1, ceil(size / {PART}))::BIGINT + 1)) AS k FROM ({SIZES_SQL}))"""
+
+
+def _volumes(spark, sf_dir):
+    size = F.octet_length(F.col("content")).cast("bigint")
+    return archives.volumes_of(documents(spark, sf_dir).select("file_id", F.concat(F.lit("doc-"), "file_id").alias("name"), size.alias("size")), PART)
+
+
+@query(VOLUMES_SQL)
+def volume_split(spark, sf_dir):
+    return _volumes(spark, sf_dir).select(F.col("file_id").alias("doc_id"), "num", "name", "start", "end")
+
+
+@query(f'SELECT v.doc_id, o."offset"::BIGINT AS "offset", v.num FROM ({VOLUMES_SQL}) v JOIN (SELECT doc_id, size // 2 AS "offset" FROM ({SIZES_SQL})) o ON v.doc_id = o.doc_id AND o."offset" >= v.start AND o."offset" < v."end"')
+def volume_lookup(spark, sf_dir):
+    at = documents(spark, sf_dir).select("file_id", F.floor(F.octet_length("content") / 2).cast("bigint").alias("offset"))
+    return archives.volume_lookup(_volumes(spark, sf_dir), at).select(F.col("file_id").alias("doc_id"), "offset", "num")
+
+
+SERIES = "doc_id % 7 <> 3 OR num <> 2"
+
+
+@query(f"""SELECT base, num, name AS path FROM (SELECT 'doc-' || doc_id AS base, num, name, row_number() OVER (PARTITION BY doc_id ORDER BY num) AS k FROM ({VOLUMES_SQL}) WHERE num < 1000 AND ({SERIES})) WHERE k = num""")
+def volume_series(spark, sf_dir):
+    some = _volumes(spark, sf_dir).withColumnRenamed("file_id", "doc_id").where("num < 1000").where(SERIES)
+    return archives.volume_sets(some.select("name"), "name")
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
+def split_join(spark, sf_dir):
+    out = archives.join(archives.split(documents(spark, sf_dir), PART))
+    return out.select(F.col("file_id").alias("doc_id"), F.sha2("content", 256).alias("sha"))
+
+
+# --- choice and ranking -------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH v AS (SELECT doc_id, i, ('0x' || b)::INTEGER AS b FROM ({BYTES})), s AS (SELECT doc_id, max(i) AS n FROM v GROUP BY doc_id),
+r AS (SELECT doc_id, sum(ceil(n / 255)) * 2 AS body FROM ({RUNS}) GROUP BY doc_id),
+t AS (SELECT doc_id, 'store' AS algo, 1 AS ord, n::DOUBLE AS out, n, 3000 AS speed FROM s
+      UNION ALL SELECT doc_id, 'rle', 0, body + ceil(length(bin(n)) / 7), n, 900 FROM r JOIN s USING (doc_id)),
+best AS (SELECT doc_id, min(out / n) AS best FROM t GROUP BY doc_id)
+SELECT doc_id, arg_min(algo, (-speed, out / n, ord)) AS algo, round(arg_min(out / n, (-speed, out / n, ord)), 6)::DOUBLE AS ratio, round(min(best), 6)::DOUBLE AS best_ratio
+FROM t JOIN best USING (doc_id) WHERE out / n <= best * 1.15 GROUP BY doc_id"""
+)
+def select_codec(spark, sf_dir):
+    s = analysis.byte_stats(documents(spark, sf_dir)).where("n_bytes > 0")
+    sizes = F.array(F.struct(F.lit("store").alias("algo"), F.lit(1).alias("ord"), F.col("n_bytes").alias("out")), F.struct(F.lit("rle").alias("algo"), F.lit(0).alias("ord"), (F.col("rle_pairs") * 2 + analysis.varint_size(F.col("n_bytes"))).alias("out")))
+    t = s.select("file_id", "n_bytes", F.explode(sizes).alias("t")).select("file_id", "t.algo", "t.ord", (F.col("t.out") / F.col("n_bytes")).alias("ratio"))
+    out = analysis.select_codec(t, 1.15)
+    return out.select(F.col("file_id").alias("doc_id"), "algo", F.round("ratio", 6).alias("ratio"), F.round("best_ratio", 6).alias("best_ratio"))
+
+
+@query(
+    f"""SELECT algo, in_bytes, out_bytes, row_number() OVER (ORDER BY out_bytes / in_bytes, algo)::INTEGER AS rank FROM (
+  SELECT 'store' AS algo, sum(n)::BIGINT AS in_bytes, sum(n)::BIGINT AS out_bytes FROM (SELECT doc_id, max(i) AS n FROM ({BYTES}) GROUP BY doc_id)
+  UNION ALL SELECT 'rle', sum(n)::BIGINT, sum(least(n, size))::BIGINT FROM (
+    SELECT doc_id, max(n) AS n, max(body) + ceil(length(bin(max(n))) / 7) AS size FROM
+      (SELECT doc_id, sum(n) AS n, sum(ceil(n / 255)) * 2 AS body FROM ({RUNS}) GROUP BY doc_id) GROUP BY doc_id))"""
+)
+def bench_rank(spark, sf_dir):
+    return analysis.benchmark(documents(spark, sf_dir), algos=["store", "rle"]).select("algo", "in_bytes", "out_bytes", "rank")
+
+
+@query()
+def benchmark_codecs(spark, sf_dir):
+    """All seven codecs over every document; times differ from run to run, sizes don't."""
+    return analysis.benchmark(documents(spark, sf_dir)).select("algo", "n_blocks", "in_bytes", "out_bytes", "ratio", "rank", "best_ratio")
+
+
+@query()
+def analyze_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    files = pipeline.as_files(docs, "doc_id", "text").withColumn("path", F.concat(F.lit("doc-"), "file_id"))
+    return analysis.analyze(files)
+
+
+# --- scalars ------------------------------------------------------------------------------------
+
+
+@query(
+    r"""SELECT page_id, p, (p <> '' AND NOT regexp_matches(p, '^/|\\|^.:|(^|/)\.\.(/|$)')) AS safe, NOT regexp_matches(p, '[/\\\x00-\x1f\x7f]') AND p NOT IN ('', '.', '..') AS safe_name FROM (
+  SELECT page_id, CASE page_id % 4 WHEN 0 THEN '../' WHEN 1 THEN '/' WHEN 2 THEN 'a/' ELSE '' END || regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)"""
+)
+def safe_path(spark, sf_dir):
+    p = F.concat(F.expr("CASE page_id % 4 WHEN 0 THEN '../' WHEN 1 THEN '/' WHEN 2 THEN 'a/' ELSE '' END"), F.regexp_replace("url", "^[a-z]+://", ""))
+    return table(spark, sf_dir, "pages").select("page_id", p.alias("p")).select("page_id", "p", exprs.safe_path(F.col("p")).alias("safe"), exprs.safe_name(F.col("p")).alias("safe_name"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[\x00-\x1f\x7f]', '?', 'g') AS clean FROM documents")
+def sanitize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", exprs.sanitize(F.col("text")).alias("clean"))
+
+
+UNITS = "n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KiB', n / 1024) WHEN n < 1073741824 THEN printf('%.2f MiB', n / 1048576) WHEN n < 1099511627776 THEN printf('%.2f GiB', n / 1073741824) ELSE printf('%.2f TiB', n / 1099511627776)"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {UNITS} END AS size, CASE WHEN r >= 1000 THEN printf('%.2f GB/s', r / 1000) ELSE printf('%.2f MB/s', r) END AS rate, printf('%.4f', r / 7) AS ratio FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 37 AS n, o_orderkey / 8 AS r FROM orders)")
+def human_formats(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * 37).alias("n"), (F.col("o_orderkey") / 8).alias("r"))
+    return o.select("o_orderkey", exprs.human_size(F.col("n")).alias("size"), exprs.human_rate(F.col("r")).alias("rate"), exprs.format_ratio(F.col("r") / 7).alias("ratio"))
+
+
+SUFFIX = "CASE o_orderkey % 8 WHEN 0 THEN 'K' WHEN 1 THEN 'kb' WHEN 2 THEN 'MiB' WHEN 3 THEN 'm' WHEN 4 THEN 'GB' WHEN 5 THEN '' WHEN 6 THEN 'x' ELSE 'b' END"
+
+
+@query(f"SELECT o_orderkey, (o_orderkey % 1000) * CASE o_orderkey % 8 WHEN 0 THEN 1024 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1048576 WHEN 4 THEN 1073741824 WHEN 5 THEN 1 END::BIGINT AS bytes FROM orders")
+def parse_size(spark, sf_dir):
+    text = F.concat((F.col("o_orderkey") % 1000).cast("string"), F.expr(SUFFIX))
+    return table(spark, sf_dir, "orders").select("o_orderkey", exprs.parse_size(text).alias("bytes"))
+
+
+@query("SELECT item_id, lower(hex(encode(text))) AS digits, sha256(text) AS sha FROM benchmark")
+def hex_round_trip(spark, sf_dir):
+    digits = exprs.to_hex(F.col("text").cast("binary"))
+    spaced = F.regexp_replace(digits, "(..)", "$1 ")
+    return table(spark, sf_dir, "benchmark").select("item_id", digits.alias("digits"), F.sha2(exprs.from_hex(spaced), 256).alias("sha"))
+
+
+WORDS = "CASE doc_id % 6 WHEN 0 THEN 'Max_Ratio' WHEN 1 THEN 'speed' WHEN 2 THEN 'DEFAULT' WHEN 3 THEN 'pack' WHEN 4 THEN 'x' ELSE 'b' END"
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'max-ratio' WHEN 1 THEN 'max-speed' WHEN 2 THEN 'balanced' END AS priority,
+CASE doc_id % 6 WHEN 0 THEN 9 WHEN 1 THEN 1 WHEN 2 THEN 6 END::INTEGER AS level, CASE doc_id % 6 WHEN 3 THEN 'compress' WHEN 5 THEN 'benchmark' END AS mode FROM documents"""
+)
+def names_and_aliases(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("doc_id", F.expr(WORDS).alias("w"))
+    p = exprs.alias_of(F.col("w"), exprs.PRIORITIES)
+    return w.select("doc_id", p.alias("priority"), exprs.level_of(p).alias("level"), exprs.alias_of(F.col("w"), exprs.MODES).alias("mode"))
+
+
+@query(
+    """SELECT page_id, name, is_dir, row_number() OVER (ORDER BY is_dir DESC, lower(name), name, page_id)::INTEGER AS place FROM (
+  SELECT page_id, regexp_extract(url, '[^/]*$') AS name, page_id % 3 = 0 AS is_dir FROM pages) WHERE NOT starts_with(name, '.')"""
+)
+def list_dir(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.substring_index("url", "/", -1).alias("name"), (F.col("page_id") % 3 == 0).alias("is_dir"))
+    order = Window.orderBy(F.col("is_dir").desc(), F.lower("name"), "name", "page_id")  # a listing of one folder
+    return exprs.list_dir(rows).withColumn("place", F.row_number().over(order))
+
+
+# --- round trips --------------------------------------------------------------------------------
+
+
+def _round_trip(algo: str):
+    def run(spark, sf_dir):
+        # the encoded chunks pass through a shuffle, so the decoder has nothing but their bytes
+        chunks = pipeline.compress(documents(spark, sf_dir), algo, 6, 1 << 16).repartition("file_id", "chunk_id")
+        out = pipeline.decompress(chunks)
+        return out.select(F.col("file_id").alias("doc_id"), F.sha2("content", 256).alias("sha"))
+
+    run.__name__ = f"roundtrip_{algo.replace('-', '_')}"
+    return run
+
+
+for _name in CODECS:
+    query("SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")(_round_trip(_name))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
+def encrypt_roundtrip(spark, sf_dir):
+    secret = pipeline.Secret(*SECRET)
+    out = pipeline.decompress(pipeline.compress(documents(spark, sf_dir), "huffman", 6, 1 << 14, secret).repartition("file_id", "chunk_id"), secret)
+    return out.select(F.col("file_id").alias("doc_id"), F.sha2("content", 256).alias("sha"))
+
+
+@query(f"SELECT count(*)::BIGINT AS chunks, (count(*) FILTER (octet_length(data) > 0))::BIGINT AS refused FROM ({CHUNKS_SQL})")
+def tamper_detect(spark, sf_dir):
+    """One bit of each payload that has any is flipped; every such chunk must be refused."""
+    chunks = pipeline.compress(documents(spark, sf_dir), "huffman", 6, CHUNK)
+    flipped = F.expr("concat(unhex(lpad(hex(conv(hex(substring(payload, 1, 1)), 16, 10) ^ 1), 2, '0')), substring(payload, 2))")
+    bad = chunks.withColumn("payload", F.when(F.col("comp_size") > 0, flipped).otherwise(F.col("payload")))
+    out = pipeline.decode_chunks(bad)
+    return out.agg(F.count("*").alias("chunks"), F.count("error").alias("refused"))
+
+
+@query("SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS orig_size, true AS whole_crc FROM documents")
+def crc_manifest(spark, sf_dir):
+    """The CRC folded from chunks against the CRC of the whole."""
+    docs = documents(spark, sf_dir)
+    made = pipeline.manifest(pipeline.encode_chunks(pipeline.split_chunks(docs, CHUNK), "store"))
+    out = made.join(docs.select("file_id", F.crc32("content").alias("whole")), "file_id")
+    return out.select(F.col("file_id").alias("doc_id"), "orig_size", (F.col("whole") == F.col("crc")).alias("whole_crc"))
+
+
+@query("SELECT doc_id, doc_id % 10 <> 0 OR coalesce(text, '') = '' AS authentic FROM documents")
+def hmac_manifest(spark, sf_dir):
+    """Of every tenth file a byte is appended after the MAC was taken; those must fail."""
+    secret = pipeline.Secret(*SECRET)
+    chunks = pipeline.encode_chunks(pipeline.split_chunks(documents(spark, sf_dir), 1 << 16), "store", 6, secret)
+    good = pipeline.macs(chunks, secret)
+    changed = chunks.withColumn("payload", F.when((F.col("file_id") % 10 == 0) & (F.col("orig_size") > 0), F.concat("payload", F.unhex(F.lit("00")))).otherwise(F.col("payload")))
+    return pipeline.authenticate(changed, good, secret).select(F.col("file_id").alias("doc_id"), "authentic")
+
+
+def _conversation_files(spark, sf_dir) -> DataFrame:
+    """(conv_id, entries): a small file for each turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+
+
+def _archived(kind: str):
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for turns in batch.column("t").to_pylist():
+                files = [archives.Entry(f"turns/{x['turn']:04d}.txt", x["text"].encode()) for x in turns]
+                out.append(archives.compress_bundle(files, algo="huffman", level=6) if kind == "bundle" else archives.pack(files, kind))
+            yield pa.record_batch([pa.array([str(c) for c in batch.column("conv_id").to_pylist()]), pa.array(out, pa.binary())], names=["path", "content"])
+
+    def run(spark, sf_dir):
+        packed = _conversation_files(spark, sf_dir).mapInArrow(pack, "path string, content binary")
+        found = archives.entries(packed)
+        return found.select(F.col("archive").cast("bigint").alias("conv_id"), F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("bigint").alias("turn"), F.sha2("data", 256).alias("sha"))
+
+    run.__name__ = f"{kind.replace('.', '_')}_roundtrip"
+    return run
+
+
+for _kind in (*archives.PACKERS, "bundle"):
+    query("SELECT conv_id, turn, sha256(coalesce(text, '')) AS sha FROM conversations")(_archived(_kind))
+
+
+@query(
+    """SELECT doc_id, true AS ok, octet_length(encode(coalesce(text, '')))::BIGINT AS orig_size, greatest(1, ceil(octet_length(encode(coalesce(text, ''))) / 4096))::INTEGER AS chunk_count, 'doc-' || doc_id AS name FROM documents"""
+)
+def container_info(spark, sf_dir):
+    """Every document as a container, and what its header says."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column("file_id").to_pylist()
+            out = [container.write(d, algo="rle", chunk_size=CHUNK, name=f"doc-{i}") for i, d in zip(ids, batch.column("content").to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array([str(i) for i in ids]), pa.array(out, pa.binary())], names=["path", "content"])
+
+    info = container.container_info(documents(spark, sf_dir).mapInArrow(pack, "path string, content binary"))
+    out = info.join(container.check(info), "path")
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "ok", "orig_size", F.size("chunks").alias("chunk_count"), "name")
+
+
+@query("SELECT count(*)::BIGINT AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM benchmark")
+def stream_ingest(spark, sf_dir):
+    """Benchmark items as files in a shared folder, read by a stream into chunk rows, and decoded again."""
+    from ..streaming.ingest import ingest
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratapack-")
+    root = f"{base}/stream-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").select("text", "item_id").repartition("item_id").select(F.regexp_replace("text", "\n", " ").alias("text")).write.option("lineSep", "\n").text(f"{root}/in")
+    ingest(spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
+    got = pipeline.decompress(spark.read.parquet(f"{root}/out")).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    return got.agg(F.count("*").alias("files"), F.sum(F.octet_length("line")).cast("bigint").alias("bytes"))
