@@ -6,9 +6,10 @@
    than MATCHES agreements are not wanted.  With postings ordered by length, two nodes that agree MATCHES times
    share one of their K - MATCHES + 1 shortest ones (prefix), so each node skips its MATCHES - 1 longest, which is where
    common passages and large groups stand.  Postings of one node are never joined.
-3. In short postings all pairs are candidates.  In long ones each node is paired with the posting's leader only; once the links
-   so found are merged, pairs within a component are skipped, and the rest of the pairs across components follow.  So a
-   large group of copies costs one pair a node, and no link between components is lost.
+3. In short postings all pairs are candidates.  In long ones each node is paired with the posting's leader only, and the links
+   so found are merged.  Pairs within a component are skipped.  For the nodes of long postings that still hold several components the pairs across
+   are found by rest_pairs(), a prefix join over their full sets.  So a large group of copies costs about one pair a node, and no
+   link between components is lost.
 4. A candidate's agreements are counted over the whole signatures; those with MATCHES or more are confirmed on full sets:
    100 * intersection >= 75 * union.
 5. Components are found by minimum labels with pointer jumping, in Spark.
@@ -73,12 +74,51 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def prefixes(nodes: DataFrame) -> DataFrame:
-    """(node, token, n, leader): the postings in each node's prefix, with their length and leader; those of one node are left out."""
-    posts = nodes.select("node", F.posexplode("signature")).select("node", (F.col("pos").cast("bigint") * F.lit(1 << 32) + F.col("col")).alias("token"))
-    stats = posts.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    own = posts.join(stats, "token").groupBy("node").agg(F.collect_list(F.struct("n", "token", "leader")).alias("t"))  # K at most
+    """(node, size, token, m, leader, leader_size): the postings in each node's prefix that others share, with their length and leader.
+
+    A leader is the member whose tokens are the most common ones: of a group of copies of one text that is the text itself
+    or what is nearest to it, so most of the group links with it directly.
+    """
+    posts = nodes.select("node", "size", F.posexplode("signature")).select("node", "size", (F.col("pos").cast("bigint") * F.lit(1 << 32) + F.col("col")).alias("token"))
+    stats = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    own = posts.join(stats, "token").groupBy("node", "size").agg(F.collect_list(F.struct("n", "token")).alias("t"), F.sum(F.log("n")).alias("score"))  # K at most
     own = own.where(F.size("t") >= MATCHES).withColumn("t", F.slice(F.sort_array("t"), F.lit(1), F.size("t") - (MATCHES - 1)))
-    return own.select("node", F.explode("t").alias("t")).select("node", "t.*")
+    prefix = own.select("node", "size", "score", F.explode("t.token").alias("token"))
+    lead = prefix.groupBy("token").agg(F.count("*").alias("m"), F.max(F.struct("score", "node", "size")).alias("l")).where("m > 1")
+    return prefix.join(lead.select("token", "m", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size")), "token").select("node", "size", "token", "m", "leader", "leader_size")
+
+
+def _sizes_fit(x: str, y: str, percent: int) -> Column:
+    """Sets of these sizes can be similar enough."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def rest_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes with different labels whose full sets can be similar enough.
+
+    `sets` is (node, shingles); labels is (node, label).  The exact way for long postings: shingles are ordered by how many of these nodes
+    have them.  Sets of sizes x and y that are similar enough share o = percent * (x + y) / (100 + percent) shingles or more, so the first one that they share
+    stands where o - 1 more can follow in both.  What only one copy has comes first and is never joined.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            size = np.array([len(x) for x in parts])
+            yield pa.record_batch([pa.array(np.repeat(batch.column("node").to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(parts))], names=["node", "size", "s"])
+
+    every = sets.mapInArrow(spread, "node bigint, size bigint, s bigint")
+    shared = every.join(every.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "s")
+    own = shared.groupBy("node", "size").agg(F.collect_list(F.struct("n", "s")).alias("t"))  # one text's shingles
+    alone = (F.col("size") - F.size("t")).cast("int")
+    reach = (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int") - alone
+    own = own.select("node", "size", alone.alias("alone"), F.slice(F.sort_array("t"), F.lit(1), F.greatest(reach, F.lit(0))).alias("t")).join(labels, "node")
+    x = own.select("node", "size", "label", "alone", F.posexplode("t.s").alias("pos", "s")).withColumn("left", F.col("size") - F.col("alone") - F.col("pos"))
+    x = x.select("s", F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"), F.col("left").alias("fa"))
+    y = x.toDF("s", "b", "nb", "lb", "fb")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    follow = F.least("fa", "fb") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    return x.join(y, "s").where(ordered & (F.col("la") != F.col("lb")) & _sizes_fit("na", "nb", percent) & follow).select(*_ordered("a", "b")).distinct()
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -150,24 +190,23 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     its component has no id at all, and component_id is null then.  An empty table gives an empty table.
     """
     rows = cut(signatures(docs, doc_id, text))
-    nodes = cut(rows.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("signature").alias("signature")))
+    nodes = cut(rows.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")))
     posts = cut(prefixes(nodes))
 
-    stars = posts.where("leader <> node").select(*_ordered("leader", "node"))
-    short = posts.where(F.col("n") <= SHORT).select("token", "node")
-    pairs = short.join(short.withColumnRenamed("node", "other"), "token").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    tested = cut(agreeing(stars.union(pairs).distinct(), nodes))
-    edges = _links(docs, doc_id, text, nodes, tested, percent)
+    stars = posts.where((F.col("leader") != F.col("node")) & _sizes_fit("size", "leader_size", percent)).select(*_ordered("leader", "node"))
+    short = posts.where(F.col("m") <= SHORT).select("token", "node", "size")
+    pairs = short.join(short.toDF("token", "other", "size2"), "token").where((F.col("node") < F.col("other")) & _sizes_fit("size", "size2", percent)).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    edges = _links(docs, doc_id, text, nodes, cut(agreeing(stars.union(pairs).distinct(), nodes)), percent)
     labels = components(edges)
 
     # what is left: pairs across components in long postings
-    long = posts.where(F.col("n") > SHORT).select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+    long = posts.where(F.col("m") > SHORT).select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     mixed = long.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    long = cut(long.join(mixed, "token", "left_semi"))
-    if long.limit(1).count():
-        rest = long.join(long.select("token", F.col("node").alias("other"), F.col("label").alias("label2")), "token").where("label < label2").select(*_ordered("node", "other")).distinct()
-        rest = cut(agreeing(rest.join(tested, ["a", "b"], "left_anti"), nodes))
-        more = _links(docs, doc_id, text, nodes, rest, percent)
+    rest = cut(long.join(mixed, "token", "left_semi").select("node", "label").distinct())
+    if rest.limit(1).count():
+        wanted = cut(nodes.select("node", "rep").join(rest, "node", "left_semi"))
+        sets = cut(full_sets(docs, wanted, doc_id, text))
+        more = cut(confirm(agreeing(rest_pairs(sets, rest, percent), nodes), sets, percent))
         if more.limit(1).count():
             labels = components(edges.union(more))
 
