@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U64, Words, chunks, mix, shingles, table, text_buffers
+from .common import U64, Words, chunks, mix, run_hashes, shingles, table, text_buffers
 
 BLOCK_BYTES = 8 << 20
 SIZE = 5
@@ -54,14 +54,19 @@ class Items:
         h, first = shingles(w, SIZE)
         self.n_words = w.counts
         self.weights = [Counter(h[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
-        used = np.flatnonzero(w.counts > 0)
-        self.all = np.unique(h)
+        used = np.flatnonzero(w.counts >= SIZE)
+        owner = np.repeat(np.arange(len(texts)), np.diff(first))
+        #: items of fewer words than a shingle are one shingle, so only equal windows match: (length, hash) -> items
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i in np.flatnonzero((w.counts > 0) & (w.counts < SIZE)).tolist():
+            self.short.setdefault(int(w.counts[i]), {}).setdefault(int(h[first[i]]), []).append(i)
+        whole = w.counts[owner] >= SIZE
+        self.all = np.unique(h[whole])
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.all >> U64(44)).astype(np.int64)] = True
-        owner = np.repeat(np.arange(len(texts)), np.diff(first))
         #: lengths of the items that hold each shingle
         self.lengths = [set() for _ in self.all]
-        for k, o in zip(np.searchsorted(self.all, h).tolist(), owner.tolist(), strict=True):
+        for k, o in zip(np.searchsorted(self.all, h[whole]).tolist(), owner[whole].tolist(), strict=True):
             self.lengths[k].add(int(w.counts[o]))
         self.by_length = {}
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= radius // BLOCKS
@@ -75,6 +80,21 @@ class Items:
         at = np.flatnonzero(self.bitmap[(h >> U64(44)).astype(np.int64)])
         return at[np.isin(h[at], self.all)]
 
+    def match_short(self, w: Words, found: list[list[dict]]) -> None:
+        """Adds the items of fewer than SIZE words: the first equal window of each text."""
+        hashes = w.hashes(True) if self.short else None
+        left = np.repeat(w.first[1:], w.counts) - np.arange(len(w.starts)) if self.short else None
+        for n, items in self.short.items():
+            starts = np.flatnonzero(left >= n)
+            runs = run_hashes(hashes, starts, n)
+            hit = np.flatnonzero(np.isin(runs, np.array(list(items), np.uint64)))
+            seen = set()
+            for s, k in zip(starts[hit].tolist(), runs[hit].tolist(), strict=True):
+                text = int(np.searchsorted(w.first, s, side="right")) - 1
+                if (text, k) not in seen:
+                    seen.add((text, k))
+                    found[text] += [{"item_id": self.ids[i], "start": s - int(w.first[text]), "n_words": n, "similarity": 1.0, "distance": 0} for i in items[k]]
+
     def match(self, h: np.ndarray, n_words: int, marked: np.ndarray, threshold: float) -> list[dict]:
         """Best window for each item, of one text with shingles h, where those at `marked` are the benchmark's."""
         sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_signs(h), axis=0, dtype=np.int32)])
@@ -135,6 +155,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
                     found: list[list[dict]] = [[] for _ in range(len(chunk))]
                     for i in np.unique(owner).tolist():
                         found[i] = index.value.match(h[first[i] : first[i + 1]], int(w.counts[i]), at[owner == i] - first[i], threshold)
+                    index.value.match_short(w, found)
                     yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(found, arrow.field("matches").type)], schema=arrow)
 
         once = docs.mapInArrow(scan, schema)

@@ -33,6 +33,9 @@ BROADCAST_BYTES = 16 << 20
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
+#: Elements nested deeper share the path of the one at this depth; their text stays.
+DEEPEST = 64
+
 # --- fixed values: what the names of HTML elements, roles and common classes mean ---------------
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -135,11 +138,12 @@ class Page:
             del self._stack[low:]
         label, words, role = _named(attributes) if attributes else ("", frozenset(), "")
         _, above, aside, inside = self._stack[-1]
-        path = f"{above}/{name}{'.' if label else ''}{label}"
-        self.tags[path] += 1
+        deep = len(self._stack) > DEEPEST
+        path = above if deep else f"{above}/{name}{'.' if label else ''}{label}"
+        self.tags[path] += not deep
         if not aside and _is_aside(name, words, role, inside):
             aside = True
-        if aside:
+        if aside and not deep:
             self.asides.add(path)
         if name not in VOID:
             self._stack.append((name, path, aside, inside or name in ("article", "main") or role == "main"))
@@ -277,23 +281,24 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html") -> DataFra
     """
     found = cut(templates(pages, url, source))
     size = found.agg(F.coalesce(F.sum(F.octet_length("host") + F.coalesce(F.octet_length("main"), F.lit(0)) + 32), F.lit(0))).first()[0]
-    found = found.toDF("__host", "__main")
     pages = pages.drop("text")
-    joined = pages.withColumn("__host", host(url)).join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "__host", "left").drop("__host")
+    key, slot = (next(x for k in range(len(pages.columns) + 1) if (x := f"__{name}{k}") not in pages.columns) for name in ("host", "main"))
+    found = found.toDF(key, slot)
+    joined = pages.withColumn(key, host(url)).join(F.broadcast(found) if size <= BROADCAST_BYTES else found, key, "left").drop(key)
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())])
     arrow, columns = to_arrow_schema(schema), pages.columns
 
     def scan(batches):
         for batch in batches:
             out = []
-            for src, main in zip(batch.column(source).to_pylist(), batch.column("__main").to_pylist(), strict=True):
+            for src, main in zip(batch.column(source).to_pylist(), batch.column(slot).to_pylist(), strict=True):
                 page = Page(src or "")
                 if main is None or main not in page.tags or main in page.asides:
                     main = own_slot(page)
                 out.append("" if main is None else page.text(main))
             yield pa.RecordBatch.from_arrays([*batch.select(columns).columns, pa.array(out, pa.string())], schema=arrow)
 
-    return joined.select(*columns, "__main").mapInArrow(scan, schema)
+    return joined.select(*columns, slot).mapInArrow(scan, schema)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> Data
                 if net is not None:
                     x, owner, size = windows(*text_buffers(chunk.column(text)))
                     prob = net.predict(x)
-                    total = np.stack([np.bincount(owner, prob[:, k] * size, minlength=len(chunk)) for k in range(len(net.langs))], 1)
+                    total = np.stack([np.bincount(owner, prob[:, k] * size, minlength=len(chunk)) for k in range(len(net.langs))], 1).astype(float)
                     total /= np.maximum(np.bincount(owner, size, minlength=len(chunk)), 1)[:, None]
                     best = total.argmax(1)
                     pred[known] = np.array(net.langs, object)[best[known]]
