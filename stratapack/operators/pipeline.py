@@ -6,6 +6,8 @@ totals and checks are DataFrame expressions.  Secrets are derived on the driver
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import os
 import zlib
 
@@ -163,7 +165,7 @@ def join_chunks(decoded: DataFrame) -> DataFrame:
     return out.mapInArrow(join, "file_id bigint, content binary, error string")
 
 
-def manifest(encoded: DataFrame, secret: Secret | None = None) -> DataFrame:
+def manifest(encoded: DataFrame) -> DataFrame:
     """One row a file: totals, ratio, and the CRCs of content and payload, folded from the chunks' own without reading payloads again."""
     parts = F.sort_array(F.collect_list(F.struct("chunk_id", "crc", "orig_size", "payload_crc", "comp_size")))
     out = encoded.groupBy("file_id").agg(
@@ -192,9 +194,6 @@ def macs(encoded: DataFrame, secret: Secret) -> DataFrame:
     """
 
     def chain(batches):
-        import hashlib
-        import hmac
-
         file_id, h, rows = None, None, []
         for r in _rows(batches):
             if h is None or r["file_id"] != file_id:

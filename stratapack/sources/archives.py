@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import bz2
+import calendar
 import gzip
 import io
 import lzma
@@ -99,8 +101,6 @@ def unpack(data: bytes, name: str = "data") -> Iterator[Entry]:
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 for i in z.infolist():
-                    import calendar
-
                     yield Entry(i.filename.rstrip("/"), b"" if i.is_dir() else z.read(i), i.is_dir(), calendar.timegm((*i.date_time, 0, 0, 0)), i.external_attr >> 16 & 0o7777)
         except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
             raise FormatError(f"zip: {e}") from None
@@ -110,7 +110,7 @@ def unpack(data: bytes, name: str = "data") -> Iterator[Entry]:
         openers = {"gz": gzip.decompress, "xz": lzma.decompress, "bz2": bz2.decompress, "zst": lambda d: zstandard.ZstdDecompressor().decompressobj().decompress(d)}
         try:
             inner = openers[kind](data)
-        except (OSError, EOFError, zlib.error, lzma.LZMAError, zstandard.ZstdError) as e:
+        except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError) as e:
             raise FormatError(f"{kind}: {e}") from None
         if detect(inner) == "tar":
             yield from tar_read(inner)
@@ -255,16 +255,14 @@ class VolumeFile(io.RawIOBase):
         return self.at
 
     def readinto(self, buffer) -> int:
-        import bisect
-
-        k = bisect.bisect_right(self.ends, self.at)
-        if k == len(self.paths):
-            return 0
-        with open(self.paths[k], "rb") as f:
-            f.seek(self.at - (self.ends[k] - self.sizes[k]))
-            n = f.readinto(memoryview(buffer)[: self.ends[k] - self.at])
-        self.at += n
+        """Fills the buffer across volumes, as far as there are bytes."""
+        view, done = memoryview(buffer), 0
+        while done < len(view) and (k := bisect.bisect_right(self.ends, self.at)) < len(self.paths):
+            with open(self.paths[k], "rb") as f:
+                f.seek(self.at - (self.ends[k] - self.sizes[k]))
+                n = f.readinto(view[done : done + self.ends[k] - self.at])
+            self.at, done = self.at + n, done + n
         while self.reclaim and self.gone < len(self.paths) and self.ends[self.gone] + KEEP_FREE <= self.at:
             os.remove(self.paths[self.gone])
             self.gone += 1
-        return n
+        return done

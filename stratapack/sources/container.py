@@ -6,6 +6,7 @@ Errors of a file are data: a row says what is wrong with it, and the other files
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from dataclasses import dataclass, field, replace
@@ -109,8 +110,6 @@ def parse(data: bytes, magic: bytes = MAGIC) -> tuple[Header, int]:
 
 def write(data: bytes, algo: str = "lz77", level: int = 6, chunk_size: int = 1 << 16, name: str = "", detail: str = "", file_type: int = 0, created: int = 0, bundle: bool = False, password: str | None = None, salt: bytes = b"", nonce: bytes = b"", iterations: int = KDF_ITERATIONS, magic: bytes = MAGIC) -> bytes:
     """One file as a container; salt and nonce are random unless given."""
-    import os
-
     codec = CODECS[algo]
     h = Header(algo=codec.index, level=level, file_type=file_type, flags=BUNDLE * bundle, orig_size=len(data), orig_crc=zlib.crc32(data), created=created, chunk_size=min(chunk_size, codec.block_cap), name=name, detail=detail)
     if password is not None:
@@ -238,8 +237,6 @@ class _RangeReader(DataSourceReader):
         self.limit = int(self.options["limit"]) if "limit" in self.options else None
 
     def partitions(self):
-        import os
-
         root = self.options["path"]
         paths = [root] if os.path.isfile(root) else sorted(os.path.join(d, n) for d, _, names in os.walk(root) for n in names)
         out = []
