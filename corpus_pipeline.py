@@ -15,7 +15,7 @@ from stratapack.llm.decontamination import match_benchmark
 from stratapack.llm.language_id import UNKNOWN, held_out, identify, train
 from stratapack.llm.line_dedup import dedup_lines
 from stratapack.llm.near_dedup import drop_near_duplicates
-from stratapack.llm.sentencepiece_nbest import MODEL, Model, decode, encode
+from stratapack.llm.sentencepiece_nbest import encode
 
 #: Documents whose language gets less than this probability go; 'und' has 0.  Four languages give 0.25 by chance.
 MIN_SCORE = 0.3
@@ -45,8 +45,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the texts, and decodes the ids again."""
-    model = Model(MODEL)
-    made = decode(encode(docs, model=model), model=model)
+    made = encode(docs, decoded="decoded")
     return made.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_pieces"), F.element_at("nbest", 1)["score"].alias("score"), "ids", "decoded")
 
 

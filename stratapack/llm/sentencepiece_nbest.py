@@ -30,11 +30,12 @@ SPACE = "▁"
 #: An unknown character costs this much more than the worst piece, as the public trainer has it (fixed value).
 UNKNOWN = 10.0
 _MUL, _SLOT_1, _SLOT_2 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
-_MASK = 0xFFFFFFFFFFFFFFFF
+_MASK, _BITS = 0xFFFFFFFFFFFFFFFF, 19
+_SHIFT = U64(64 - _BITS)
 #: Words kept from chunk to chunk; beyond, they are forgotten and segmented again.
-_KEEP = 600_000
+_KEEP = 400_000
 #: Bytes of text worked on at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 class Model:
@@ -45,12 +46,20 @@ class Model:
 
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(p.vocab_size())
-        normal = [i for i in every if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
-        self.pieces = {p.id_to_piece(i): (i, float(p.get_score(i))) for i in normal}
-        self.byte_ids = {int(p.id_to_piece(i)[3:5], 16): i for i in every if p.is_byte(i)}
-        self.unknown_id = p.unk_id()
+        normal = [(i, p.id_to_piece(i), float(p.get_score(i))) for i in every if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
+        self.__setstate__((normal, {int(p.id_to_piece(i)[3:5], 16): i for i in every if p.is_byte(i)}, p.unk_id(), len(every)))
+
+    def __getstate__(self):
+        return self.spec  # a task gets the vocabulary and builds its own tables
+
+    def __setstate__(self, spec):
+        self.spec = spec
+        normal, self.byte_ids, self.unknown_id, n = spec
+        self.pieces = {x: (i, s) for i, x, s in normal}
         #: what every id stands for in a decoded text
-        self.bytes = [p.id_to_piece(i).replace(SPACE, " ").encode() if i in set_ else b"" for set_ in [set(normal)] for i in every]
+        self.bytes = [b""] * n
+        for i, x, _ in normal:
+            self.bytes[i] = x.replace(SPACE, " ").encode()
         for value, i in self.byte_ids.items():
             self.bytes[i] = bytes([value])
         width = max(map(len, self.bytes))
@@ -60,27 +69,31 @@ class Model:
         self.longest = max(map(len, self.pieces))
         chars = set("".join(self.pieces))
         self.hard = "".join(c for c in map(chr, range(32)) if c not in chars)
-        whole = any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.pieces)
-        self.splits = not whole
+        self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.pieces)
         self._table()
 
     def _table(self) -> None:
-        """Open table from the hash of a piece to its number: two slots, found at once for whole arrays."""
+        """Open table from the hash of a piece to its number: a piece stands in one of two slots, which are looked up for whole arrays."""
         names = list(self.pieces)
+        none = len(names)
         self.ids = np.array([self.pieces[x][0] for x in names] + [-1], np.int32)
         self.scores = np.array([self.pieces[x][1] for x in names] + [-np.inf])
         self.keys = np.array([self._hash(x) for x in names] + [0], np.uint64)
         assert len(np.unique(self.keys)) == len(self.keys)
-        self.one = np.full(1 << 22, len(names), np.int32)
-        self.two = np.full(1 << 22, len(names), np.int32)
-        for k, h in enumerate(self.keys[:-1].tolist()):
-            a, b = (h * int(_SLOT_1) & _MASK) >> 42, (h * int(_SLOT_2) & _MASK) >> 42
-            if self.one[a] == len(names):
-                self.one[a] = k
-            elif self.two[b] == len(names):
-                self.two[b] = k
-            else:
-                raise ValueError("two pieces share both slots")
+        slots = ((self.keys[:-1] * _SLOT_1) >> _SHIFT).astype(np.int64)
+        _, first = np.unique(slots, return_index=True)
+        self.one = np.full(1 << _BITS, none, np.int32)
+        self.one[slots[first]] = first
+        rest = np.setdiff1d(np.arange(none), first)
+        for turn in range(1, 64, 2):  # until no two of the rest meet
+            self.second = U64(int(_SLOT_2) * turn & _MASK)
+            slots = ((self.keys[rest] * self.second) >> _SHIFT).astype(np.int64)
+            if len(np.unique(slots)) == len(slots):
+                break
+        else:
+            raise ValueError("two pieces share both slots")
+        self.two = np.full(1 << _BITS, none, np.int32)
+        self.two[slots] = rest
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -91,10 +104,10 @@ class Model:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Number of the piece with each hash; the last number, with score -inf, where there is none."""
-        k = self.one[((h * _SLOT_1) >> U64(42)).astype(np.int64)]
+        k = self.one[((h * _SLOT_1) >> _SHIFT).astype(np.int64)]
         miss = self.keys[k] != h
         if miss.any():
-            j = self.two[((h[miss] * _SLOT_2) >> U64(42)).astype(np.int64)]
+            j = self.two[((h[miss] * self.second) >> _SHIFT).astype(np.int64)]
             k[miss] = np.where(self.keys[j] == h[miss], j, len(self.ids) - 1)
         return k
 
@@ -317,16 +330,17 @@ class Encoder:
 NBEST = "array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>"
 
 
-def encode(docs: DataFrame, text: str = "text", model: Model | str = MODEL, nbest: int = 4) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: Model | str = MODEL, nbest: int = 4, decoded: str | None = None) -> DataFrame:
     """`docs` with `ids`, the best segmentation of the whole text, and `nbest`, its N best.
 
     Each of the N best has its score and the edits (n ids at index `at` become `ids`) that lead to it from the best one.  Texts with
     fewer segmentations have fewer.  Null and empty texts have no ids and one path of score 0.  Equal rows give
-    equal results.  Input columns named ids or nbest are replaced.  An empty table gives an empty table.
+    equal results.  Input columns named ids or nbest are replaced.  An empty table gives an empty table.  `decoded` names a further
+    column for the text that decode() gives of the ids, made in the same pass.
     """
-    docs = docs.drop("ids", "nbest")
+    docs = docs.drop("ids", "nbest", *([decoded] if decoded else []))
     shipped = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Model) else Model(model))  # one vocabulary: bounded
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("nbest", T._parse_datatype_string(NBEST))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("nbest", T._parse_datatype_string(NBEST)), *([T.StructField(decoded, T.StringType())] if decoded else [])])
     arrow = to_arrow_schema(schema)
 
     def scan(batches):
@@ -338,7 +352,8 @@ def encode(docs: DataFrame, text: str = "text", model: Model | str = MODEL, nbes
                     col = pc.if_else(odd, pc.replace_substring(col, SPACE, " "), col)
                 ids, first, paths = coder.encode(*text_buffers(col))
                 made = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*chunk.columns, made.cast(arrow.field("ids").type), pa.array(paths, arrow.field("nbest").type)], schema=arrow)
+                more = [pa.array(coder.model.decode(ids, first), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*chunk.columns, made.cast(arrow.field("ids").type), pa.array(paths, arrow.field("nbest").type), *more], schema=arrow)
 
     return docs.mapInArrow(scan, schema)
 
@@ -352,8 +367,8 @@ def decode(encoded: DataFrame, ids: str = "ids", model: Model | str = MODEL, to:
 
     def scan(batches):
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, len(batch), 200):
+                part = batch.slice(k, 200)
                 col = part.column(ids)
                 offsets = col.offsets.to_numpy()
                 flat = pc.fill_null(col.values.slice(offsets[0], offsets[-1] - offsets[0]), -1).to_numpy()
@@ -365,8 +380,7 @@ def decode(encoded: DataFrame, ids: str = "ids", model: Model | str = MODEL, to:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces, score and N-best scores of every document, a digest of its ids, and one of the text decoded from them."""
-    model = Model(MODEL)
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model=model), model=model)
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
