@@ -391,3 +391,14 @@ def test_text_kernels_match_python():
     for i, j in itertools.combinations(range(len(want)), 2):
         assert (h[i] == h[j]) == (want[i] == want[j])
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_without_broadcasts(spark, corpus, monkeypatch):
+    """The ways that larger lists take give the same results."""
+    _, docs = corpus
+    docs = docs.where("text is not null").limit(60).cache()
+    pages = spark.createDataFrame([(k, f"http://h{k % 4}.example.com/", PAGE.format(nav=f"n{k}", title="t", body=f"b{k}")) for k in range(12)], "page_id long, url string, html string")
+    few = [sorted(map(str, near_dedup.drop_near_duplicates(docs).collect())), sorted(map(str, html_extraction.extract(pages).collect()))]
+    for module in (near_dedup, html_extraction):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    assert few == [sorted(map(str, near_dedup.drop_near_duplicates(docs).collect())), sorted(map(str, html_extraction.extract(pages).collect()))]
