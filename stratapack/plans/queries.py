@@ -85,9 +85,6 @@ def delta_stride(spark, sf_dir):
     return analysis.byte_stats(documents(spark, sf_dir)).select(F.col("file_id").alias("doc_id"), "stride", "stride_entropy")
 
 
-TYPE_SQL = "CASE WHEN url LIKE '%.html' THEN 'html' ELSE 'text' END"
-
-
 @query(
     """SELECT page_id, 'Text' AS type, CASE WHEN regexp_matches(url, '\\.html?$') THEN 'html' ELSE 'text' END AS type_detail FROM pages
 WHERE html IS NOT NULL"""
