@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-CHUNK_BYTES = 8 << 20
+#: Texts are worked on in chunks of about so many bytes; the arrays made of them take dozens of times as much memory.
+CHUNK_BYTES = 1 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -33,7 +34,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; tables grow by doubling and are kept."""
+    """base**0 .. base**(n-1) modulo 2**64; tables grow by doubling and are kept, but for those of very long texts."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = 1 << max(10, (n - 1).bit_length())
@@ -41,7 +42,8 @@ def powers(base: int, n: int) -> np.ndarray:
             have = np.full(size, base, dtype=np.uint64)
             have[0] = 1
             have = np.multiply.accumulate(have)
-        _powers[base] = have
+        if size <= 2 * CHUNK_BYTES:
+            _powers[base] = have
     return have[:n]
 
 

@@ -59,7 +59,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            for chunk in chunks(batch, "text", 4 << 20):
+            for chunk in chunks(batch, "text"):
                 h, first, key = _sets(chunk, "text")
                 size = np.diff(first)
                 offsets = np.concatenate([[0], np.cumsum((size > 0) * K)]).astype(np.int32)
@@ -139,7 +139,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Dat
 
     def scan(batches):
         for batch in batches:
-            for chunk in chunks(batch, "text", 4 << 20):
+            for chunk in chunks(batch, "text"):
                 h, first, key = _sets(chunk, "text")
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
