@@ -113,12 +113,15 @@ def rest_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     alone = (F.col("size") - F.size("t")).cast("int")
     reach = (F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).cast("int") - alone
     own = own.select("node", "size", alone.alias("alone"), F.slice(F.sort_array("t"), F.lit(1), F.greatest(reach, F.lit(0))).alias("t")).join(labels, "node")
-    x = own.select("node", "size", "label", "alone", F.posexplode("t.s").alias("pos", "s")).withColumn("left", F.col("size") - F.col("alone") - F.col("pos"))
-    x = x.select("s", F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"), F.col("left").alias("fa"))
-    y = x.toDF("s", "b", "nb", "lb", "fb")
+    before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice("t.s", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))))
+    x = own.where(F.size("t") > 0).select("node", "size", "label", "alone", F.posexplode(F.arrays_zip(F.col("t.s").alias("s"), before.alias("before"))).alias("pos", "z"))
+    x = x.select(F.col("z.s").alias("s"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("label").alias("la"), (F.col("size") - F.col("alone") - F.col("pos")).alias("fa"), F.col("z.before").alias("ba"))
+    y = x.toDF("s", "b", "nb", "lb", "fb", "bb")
+    # where both have the same shingle before this one, the pair was found there already
+    again = F.coalesce(F.col("ba") == F.col("bb"), F.lit(False))
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     follow = F.least("fa", "fb") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    return x.join(y, "s").where(ordered & (F.col("la") != F.col("lb")) & _sizes_fit("na", "nb", percent) & follow).select(*_ordered("a", "b")).distinct()
+    return x.join(y, "s").where(ordered & ~again & (F.col("la") != F.col("lb")) & _sizes_fit("na", "nb", percent) & follow).select(*_ordered("a", "b")).distinct()
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
