@@ -2,9 +2,10 @@
 
 Messages are rows (conversation, turn, role, text).  An assistant's text that is a JSON object with `tool_calls`
 ([{"id", "name", "arguments"}], also with the name and arguments under "function") makes calls; a message of role `tool` whose text is a
-JSON object with `tool_call_id` is a result.  Results are hash-joined with calls on (conversation, id).  Each message gets
+JSON object with `tool_call_id` is a result; a system message whose text is a JSON object with `tools`
+([{"name", "parameters"}], also under "function", and with "input_schema") defines the tools of its conversation.  Results are hash-joined with calls on (conversation, id).  Each message gets
 a key that sorts a conversation topologically: messages stand by turn, and a result behind the call that it answers even where its
-turn is smaller.  Arguments are validated against the JSON schemas of the tools, and each message is
+turn is smaller.  Calls are hash-joined with definitions on (conversation, name) in the same join, their arguments validated against the JSON schemas, and each message is
 serialised as canonical JSON: keys sorted by code point, no spaces, UTF-8.
 
 A conversation is never gathered: its order is a key, by which any writer can sort it.
@@ -12,6 +13,7 @@ A conversation is never gathered: its order is a key, by which any writer can so
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -24,7 +26,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import cut, table
 
 CALLS = "array<struct<id:string,name:string,arguments:string>>"
-PARSED = f"conv_id bigint, turn bigint, role string, text string, calls {CALLS}, answers string"
+PARSED = f"conv_id bigint, turn bigint, role string, text string, calls {CALLS}, answers string, defined array<struct<name:string,schema:string>>"
+#: What messages are joined by: the id of a call, the name of a tool, and that a conversation defines tools at all.
+ID, TOOL, ANY = range(3)
 
 
 def canonical(value) -> str:
@@ -53,8 +57,10 @@ _TYPES = {
 }
 
 
-def violations(value, schema: dict, path: str = "$") -> list[str]:
+def violations(value, schema: dict | bool, path: str = "$") -> list[str]:
     """What a value breaks of a JSON schema: type, enum, const, bounds, lengths, pattern, items, properties, required and combinations."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{path}: not allowed"]
     out = []
     kinds = schema.get("type")
     if kinds is not None:
@@ -121,14 +127,41 @@ def _calls(text: str | None) -> list[dict]:
     return out
 
 
-def _check(call: dict, schemas: dict[str, dict]) -> list[str]:
-    if call["name"] not in schemas:
-        return ["no such tool"] if schemas else []
+def _tools(text: str | None) -> list[dict] | None:
+    """Names and schemas (as JSON) that a system message defines; None if it has no list of tools."""
+    v = _object(text)
+    if not v or not isinstance(v.get("tools"), list):
+        return None
+    out = []
+    for d in v["tools"]:
+        f = d["function"] if isinstance(d, dict) and isinstance(d.get("function"), dict) else d
+        if isinstance(f, dict) and f.get("name") is not None:
+            schema = next((f[k] for k in ("parameters", "input_schema") if f.get(k) is not None), True)
+            try:
+                made = json.dumps(schema)
+            except RecursionError:
+                made = "null"
+            out.append({"name": str(f["name"]).encode(errors="replace").decode(), "schema": made})
+    return out
+
+
+@functools.lru_cache(1000)
+def _schema(made: str):
+    return json.loads(made)
+
+
+def _check(call: dict, schemas: dict[str, dict], own: str | None, closed: bool) -> list[str]:
+    """What a call breaks; `own` is its conversation's schema of the tool, and `closed` tells that the conversation defines tools."""
     try:
         args = json.loads(call["arguments"] or "{}")
     except (ValueError, RecursionError):
         return ["$: not JSON"]
-    return violations(args, schemas[call["name"]])
+    if own is None and call["name"] not in schemas:
+        return ["no such tool"] if schemas or closed else []
+    try:
+        return violations(args, schemas[call["name"]] if own is None else _schema(own))
+    except Exception:  # definitions come with the data: any value can stand where a keyword wants another
+        return ["$: schema can't be used"]
 
 
 def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -136,7 +169,8 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
 
     `message` is canonical JSON of role, content and, where there are any, tool_calls (arguments as JSON values, with what they violate) or
     tool_call_id.  status is 'ok', 'invalid_arguments', 'duplicate_id' (a call whose id an earlier call of the conversation has), or 'orphan' (a result without a call).
-    A result belongs to the first call of its id.  Without `schemas` arguments are only checked to be JSON.
+    A result belongs to the first call of its id.  A call's schema is the first definition of its tool in its conversation, else that of `schemas`.  Where there
+    are definitions or `schemas` but not of its tool, it calls no such tool; where there are none at all, arguments are only checked to be JSON.
     Null texts have null content; a null role stays null; rows without conversation or turn are formatted but link with nothing.  Repeated rows are
     formatted each, and a repeated call counts as a duplicate of itself only if its turn differs.  Other columns are left out.  An empty table gives an empty table.
     """
@@ -148,22 +182,31 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
             calls = [_calls(t) if r == "assistant" else [] for r, t in zip(roles, texts, strict=True)]
             found = [(_object(t) or {}).get("tool_call_id") if r == "tool" else None for r, t in zip(roles, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(calls, arrow.field("calls").type), pa.array([None if x is None else str(x) for x in found], pa.string())], schema=arrow)
+            defined = [_tools(t) if r == "system" else None for r, t in zip(roles, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(calls, arrow.field("calls").type), pa.array([None if x is None else str(x) for x in found], pa.string()), pa.array(defined, arrow.field("defined").type)], schema=arrow)
 
     arrow = to_arrow_schema(T._parse_datatype_string(PARSED))
     parsed = own.mapInArrow(parse, PARSED)
+    nothing = F.lit(None).cast("string").alias("schema")
+    posted = F.when(
+        F.col("defined").isNotNull(),
+        F.concat(F.transform("defined", lambda d, k: F.struct(k.alias("k"), F.lit(TOOL).alias("kind"), d["name"].alias("id"), d["schema"].alias("schema"))), F.array(F.struct(F.lit(0).alias("k"), F.lit(ANY).alias("kind"), F.lit("").alias("id"), nothing))),
+    ).otherwise(F.transform("calls", lambda c, k: F.struct(k.alias("k"), F.lit(ID).alias("kind"), c["id"].alias("id"), nothing)))
     first = (
-        parsed.where(F.size("calls") > 0)
-        .select("conv_id", "turn", F.posexplode("calls").alias("k", "c"))
-        .where("conv_id is not null and turn is not null and c.id is not null")
-        .groupBy("conv_id", F.col("c.id").alias("id"))
-        .agg(F.min(F.struct("turn", "k")).alias("call"))
+        parsed.select("conv_id", "turn", posted.alias("posted"))
+        .where(F.size("posted") > 0)
+        .select("conv_id", "turn", F.explode("posted").alias("p"))
+        .where("conv_id is not null and turn is not null and p.id is not null")
+        .groupBy("conv_id", "p.kind", "p.id")
+        .agg(F.min(F.struct("turn", "p.k", "p.schema")).alias("first"))
     )
-    # a message asks for the first call of its own ids (to find duplicates) or of the id that it answers; messages with neither skip the join
-    asks = parsed.select("*", F.when(F.col("answers").isNotNull(), F.array("answers")).otherwise(F.transform("calls", lambda c: c["id"])).alias("ids"))
-    plain = asks.where(F.size("ids") == 0).withColumn("found", F.expr("cast(null as array<struct<k:int,call:struct<turn:bigint,k:int>>>)"))
+    # a message asks for the first call of its own ids (to find duplicates) and for its tools, or for the first call of the id that it answers; messages with neither skip the join
+    ask = lambda kind, k, name: F.struct(k.alias("k"), F.lit(kind).alias("kind"), name.alias("id"))
+    own_asks = F.concat(F.transform("calls", lambda c, k: ask(ID, k, c["id"])), F.transform("calls", lambda c, k: ask(TOOL, k, c["name"])), F.array(ask(ANY, F.lit(0), F.lit(""))))
+    asks = parsed.select("*", F.when(F.col("answers").isNotNull(), F.array(ask(ID, F.lit(0), F.col("answers")))).when(F.size("calls") > 0, own_asks).otherwise(F.array().cast("array<struct<k:int,kind:int,id:string>>")).alias("ids"))
+    plain = asks.where(F.size("ids") == 0).withColumn("found", F.expr("cast(null as array<struct<k:int,kind:int,first:struct<turn:bigint,k:int,schema:string>>>)"))
     tools = cut(asks.where(F.size("ids") > 0).withColumn("row", F.monotonically_increasing_id()))  # written, so that both uses see the same numbers
-    keyed = tools.select("row", "conv_id", F.posexplode("ids").alias("k", "id")).join(first, ["conv_id", "id"]).groupBy("row").agg(F.collect_list(F.struct("k", "call")).alias("found"))
+    keyed = tools.select("row", "conv_id", F.inline("ids")).join(first, ["conv_id", "kind", "id"]).groupBy("row").agg(F.collect_list(F.struct("k", "kind", "first")).alias("found"))
     tools = tools.join(keyed, "row", "left").drop("row")
 
     out_schema = T._parse_datatype_string("conv_id bigint, turn bigint, order_key array<bigint>, role string, n_calls int, n_invalid int, links struct<turn:bigint,k:int>, status string, message string")
@@ -173,7 +216,9 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                found = {x["k"]: x["call"] for x in r["found"] or []}
+                found = {x["k"]: {"turn": x["first"]["turn"], "k": x["first"]["k"]} for x in r["found"] or [] if x["kind"] == ID}
+                own = {x["k"]: x["first"]["schema"] for x in r["found"] or [] if x["kind"] == TOOL}
+                closed = any(x["kind"] == ANY for x in r["found"] or [])
                 at = r["turn"]
                 order, link, status = [at or 0, 0, 0, at or 0], None, "ok"
                 message = {"role": r["role"], "content": r["text"]}
@@ -187,7 +232,7 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
                 elif r["calls"]:
                     made = []
                     for k, c in enumerate(r["calls"]):
-                        bad = _check(c, schemas)
+                        bad = _check(c, schemas, own.get(k), closed)
                         wrong += bad[:1]
                         try:
                             args = json.loads(c["arguments"] or "{}")
@@ -206,7 +251,7 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All messages in canonical form with their order and links."""
+    """All messages in canonical form with their order and links; the schemas are those that system messages define."""
     out = format_chat(table(spark, sf_dir, "conversations"))
     return out.select("conv_id", "turn", F.array_join("order_key", ".").alias("order_key"), "role", "n_calls", "n_invalid", F.col("links.turn").alias("call_turn"), "status", "message")
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import itertools
+import json
 import random
 import re
 
@@ -372,6 +373,28 @@ def test_chat_links(spark):
     assert order == [0, 3, 2, 4, 5]
 
 
+def test_chat_query_checks_arguments(spark, tmp_path):
+    f = '{"name":"f","parameters":{"type":"object","required":["x"],"properties":{"x":{"type":"integer"},"any":true}}}'
+    one = lambda name, args, at="a": json.dumps({"tool_calls": [{"id": at, "name": name, "arguments": args}]})
+    rows = [
+        (1, 0, "system", f'{{"tools":[{{"type":"function","function":{f}}},{{"name":"g"}},{{"name":"bad","parameters":{{"required":5}}}},7]}}'), (1, 9, "system", '{"tools":[{"name":"f","parameters":false}]}'),
+        (1, 1, "assistant", one("f", {"x": 1, "any": []})), (1, 2, "assistant", one("f", {"x": "1"}, "b")), (1, 3, "assistant", one("f", "{x", "c")), (1, 4, "assistant", one("h", {}, "d")), (1, 5, "assistant", one("g", {"z": 1}, "e")),
+        (1, 6, "assistant", one("bad", {}, "f")), (1, 7, "assistant", one(None, {}, "g")), (1, 8, "tool", '{"tool_call_id":"b","content":"r"}'),
+        (2, 0, "system", "You call f."), (2, 1, "assistant", one("f", {"x": "1"})), (2, 2, "assistant", one("f", "{x", "b")),
+        (3, 0, "system", '{"tools":[]}'), (3, 1, "assistant", one("f", {"x": 1})), (4, 0, "system", '{"tools":[{"name":"f","input_schema":{"maxProperties":0}}]}'), (4, 1, "assistant", one("f", {"x": 1})), (None, 0, "assistant", one("f", "{x")),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = chat.op5_chat_formatting(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    bad = {(r.conv_id, r.turn): json.loads(r.message)["tool_calls"][0]["violations"] for r in got if r.status == "invalid_arguments"}
+    assert bad == {
+        (1, 2): ["$.x: not integer"], (1, 3): ["$: not JSON"], (1, 4): ["no such tool"], (1, 6): ["$: schema can't be used"], (1, 7): ["no such tool"],
+        (2, 2): ["$: not JSON"], (3, 1): ["no such tool"], (4, 1): ["$: maxProperties 0"], (None, 0): ["$: not JSON"],
+    }
+    assert all(r.n_invalid == ((r.conv_id, r.turn) in bad) for r in got)
+    assert [(r.status, r.call_turn) for r in got if r.role == "tool"] == [("ok", 2)]
+
+
 def test_json_schema():
     s = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": ["integer", "null"], "minimum": 3}, "b": {"type": "array", "items": {"enum": ["x", 1]}, "maxItems": 2}, "c": {"type": "string", "pattern": "^q", "minLength": 2}}}
     assert chat.violations({"a": 3, "b": ["x"], "c": "qq"}, s) == [] and chat.violations({"a": None}, s) == []
