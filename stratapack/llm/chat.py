@@ -200,12 +200,13 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
         .groupBy("conv_id", "p.kind", "p.id")
         .agg(F.min(F.struct("turn", "p.k", "p.schema")).alias("first"))
     )
-    # a message asks for the first call of its own ids (to find duplicates) and for its tools, or for the first call of the id that it answers; messages with neither skip the join
+    # a message asks for the first call of its own ids (to find duplicates) and for its tools, or for the first call of the id that it answers; messages with neither, or without conversation or turn, skip the join
     ask = lambda kind, k, name: F.struct(k.alias("k"), F.lit(kind).alias("kind"), name.alias("id"))
     own_asks = F.concat(F.transform("calls", lambda c, k: ask(ID, k, c["id"])), F.transform("calls", lambda c, k: ask(TOOL, k, c["name"])), F.array(ask(ANY, F.lit(0), F.lit(""))))
     asks = parsed.select("*", F.when(F.col("answers").isNotNull(), F.array(ask(ID, F.lit(0), F.col("answers")))).when(F.size("calls") > 0, own_asks).otherwise(F.array().cast("array<struct<k:int,kind:int,id:string>>")).alias("ids"))
-    plain = asks.where(F.size("ids") == 0).withColumn("found", F.expr("cast(null as array<struct<k:int,kind:int,first:struct<turn:bigint,k:int,schema:string>>>)"))
-    tools = cut(asks.where(F.size("ids") > 0).withColumn("row", F.monotonically_increasing_id()))  # written, so that both uses see the same numbers
+    joins = (F.size("ids") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    plain = asks.where(~joins).withColumn("found", F.expr("cast(null as array<struct<k:int,kind:int,first:struct<turn:bigint,k:int,schema:string>>>)"))
+    tools = cut(asks.where(joins).withColumn("row", F.monotonically_increasing_id()))  # written, so that both uses see the same numbers
     keyed = tools.select("row", "conv_id", F.inline("ids")).join(first, ["conv_id", "kind", "id"]).groupBy("row").agg(F.collect_list(F.struct("k", "kind", "first")).alias("found"))
     tools = tools.join(keyed, "row", "left").drop("row")
 

@@ -373,6 +373,17 @@ def test_chat_links(spark):
     assert order == [0, 3, 2, 4, 5]
 
 
+def test_chat_without_turn_links_with_nothing(spark):
+    call, result = '{"tool_calls":[{"id":"a","name":"f","arguments":{}}]}', '{"tool_call_id":"a","content":"r"}'
+    rows = [(1, 1, "assistant", call), (1, None, "tool", result), (1, None, "assistant", call), (1, 2, "tool", result), (None, 3, "tool", result), (None, 3, "assistant", call)]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    seen = {(r.conv_id, r.turn, r.role): (r.status, r.links and r.links.turn) for r in got}
+    assert len(got) == len(rows)
+    assert seen == {
+        (1, 1, "assistant"): ("ok", None), (1, None, "tool"): ("orphan", None), (1, None, "assistant"): ("ok", None), (1, 2, "tool"): ("ok", 1), (None, 3, "tool"): ("orphan", None), (None, 3, "assistant"): ("ok", None),
+    }
+
+
 def test_chat_query_checks_arguments(spark, tmp_path):
     f = '{"name":"f","parameters":{"type":"object","required":["x"],"properties":{"x":{"type":"integer"},"any":true}}}'
     one = lambda name, args, at="a": json.dumps({"tool_calls": [{"id": at, "name": name, "arguments": args}]})
