@@ -133,12 +133,15 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, rep), from the text of the document `rep`."""
+    """(node, shingles) of the wanted nodes (node, rep), from the text of the document `rep`, or of those without id where `rep` is null."""
     own = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).cast("string").alias("text"))
-    few = wanted.select("rep").distinct()
+    nameless = own.where("rep is null") if wanted.where("rep is null").limit(1).count() else None
+    few = wanted.where("rep is not null").select("rep").distinct()
     if few.count() * 16 <= BROADCAST_BYTES:
         few = F.broadcast(few)
     own = own.join(few, "rep", "left_semi")
+    if nameless is not None:
+        own = own.union(nameless)
 
     def scan(batches):
         for batch in batches:

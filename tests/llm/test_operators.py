@@ -150,6 +150,16 @@ def test_near_dedup_finds_links_inside_long_postings(spark, monkeypatch):
     assert len(set(want.values())) > 3
 
 
+def test_near_dedup_links_through_a_document_without_id(spark):
+    """The middle text is near both others, which are near it only."""
+    base = [f"w{k}" for k in range(100)]
+    middle = [f"x{k}" if k in (10, 30) else w for k, w in enumerate(base)]
+    last = [f"x{k}" if k in (60, 80) else w for k, w in enumerate(middle)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (None, " ".join(middle)), (3, " ".join(last)), (None, "some other text of six words"), (4, None)], "doc_id long, text string")
+    got = near_dedup.near_components(docs).collect()
+    assert sorted(((r.id, r.component_id, r.kept) for r in got), key=str) == [(1, 1, True), (3, 1, False), (4, 4, True), (None, 1, False), (None, None, True)]
+
+
 def test_rest_pairs_lose_no_link(spark):
     rng = random.Random(4)
     sets = {}
