@@ -22,8 +22,11 @@ MIN_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those that fit no language; a missing lang is filled in."""
-    found = identify(docs, train(docs.where(F.col("doc_id").isNotNull() & ~held_out())))
+    """Drops texts without letters and those that fit no language; a missing lang is filled in.  Without any labelled text to train on all documents stay."""
+    model = train(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
+    if model is None:
+        return docs
+    found = identify(docs, model)
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

@@ -103,6 +103,11 @@ def test_stage(spark, frames, tmp_path, k):
     assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_language_stage_without_labels_keeps_all(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"a text of some words {k}", None, "s", 9) for k in range(5)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()) == list(range(5))
+
+
 def test_run(spark, tmp_path):
     rows = [(k, f"doc{k} " + " ".join(f"w{(k * 7 + j * j) % 97}" for j in range(40)), "en" if k % 2 else "fr", "s", 9) for k in range(20)] + [(50, "12 34", None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
