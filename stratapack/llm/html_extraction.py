@@ -32,6 +32,7 @@ from .common import U64, cut, mix, table
 BROADCAST_BYTES = 16 << 20
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 #: Elements nested deeper share the path of the one at this depth; their text stays.
 DEEPEST = 64
@@ -63,7 +64,8 @@ def _named(attributes: str) -> tuple[str, frozenset[str], str]:
     """(class label of a path step, words of class and id, role)."""
     got = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     label = ".".join(sorted(set(re.sub(r"\d+", "0", got.get("class", "").lower()).split())))
-    words = frozenset(w for w in re.split(r"[^a-z]+", f"{got.get('class', '')} {got.get('id', '')}".lower()) if w)
+    names = f"{got.get('class', '')} {got.get('id', '')}"
+    words = frozenset(w for w in re.split(r"[^a-z]+", f"{names} {CAMEL.sub(' ', names)}".lower()) if w)
     return label, words, got.get("role", "").lower()
 
 
@@ -77,9 +79,14 @@ def _is_aside(name: str, words: frozenset[str], role: str, inside: bool) -> bool
 
 
 class Page:
-    """Blocks of a page in order, as (path, text, characters in links, whether aside), and the count of each start tag's path."""
+    """Blocks of a page in order, as (path, text, characters in links, whether aside), and the count of each start tag's path.
 
-    def __init__(self, source: str):
+    With `inline_asides` the text of inline elements that are asides by class, id or role is left out of its block.
+    """
+
+    def __init__(self, source: str, inline_asides: bool = False):
+        self._inline_asides = inline_asides
+        self._quiet: list | None = None  # of the open inline aside: name, depth of the stack, open elements of its name
         self.blocks: list[tuple[str, str, int, bool]] = []
         self.tags: Counter[str] = Counter()
         self.asides: set[str] = set()
@@ -106,7 +113,7 @@ class Page:
         self._flush()
 
     def _take(self, text: str) -> None:
-        if text:
+        if text and not self._quiet:
             text = html.unescape(text) if "&" in text else text
             self._text.append(text)
             if self._link:
@@ -126,6 +133,12 @@ class Page:
             return
         if name in INLINE:
             self._link = self._link or name == "a"
+            if self._quiet:
+                self._quiet[2] += name == self._quiet[0]
+            elif self._inline_asides and name not in VOID and ATTRIBUTE.search(attributes):
+                _, words, role = _named(attributes)
+                if words & MARKS or role in ROLES:
+                    self._quiet = [name, len(self._stack), 1]
             return
         self._flush()
         if closes := CLOSES.get(name):
@@ -135,7 +148,7 @@ class Page:
                 if self._stack[k][0] in closes:
                     low = k
                 k -= 1
-            del self._stack[low:]
+            self._cut(low)
         label, words, role = _named(attributes) if attributes else ("", frozenset(), "")
         _, above, aside, inside = self._stack[-1]
         deep = len(self._stack) > DEEPEST
@@ -151,13 +164,23 @@ class Page:
     def _close(self, name: str) -> None:
         if name in INLINE or name in VOID:
             self._link = self._link and name != "a"
+            if self._quiet and name == self._quiet[0]:
+                self._quiet[2] -= 1
+                if not self._quiet[2]:
+                    self._quiet = None
             return
         self._flush()
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == name:
-                del self._stack[k:]
+                self._cut(k)
                 break
 
+    def _cut(self, k: int) -> None:
+        """Closes the elements from k on, and with them an inline aside that was left open in one."""
+        del self._stack[k:]
+        if self._quiet and len(self._stack) < self._quiet[1]:
+            self._quiet = None
+
     def text(self, main: str) -> str:
         return "\n".join(t for path, t, _, aside in self.blocks if not aside and (path == main or path.startswith(main + "/")))
 
@@ -220,7 +243,7 @@ def templates(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
         texts: dict[tuple, list] = {}
         for batch in batches:
             for h, page_key, src in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page = Page(src)
+                page = Page(src, True)
                 counts = np.array(list(page.tags.values()), np.uint64)
                 marks = mix((np.full(len(counts), page_key, np.int64).view(np.uint64)) ^ (counts << U64(32))) & U64(0xFFFFFFFF)  # sums over 2**31 rows stay in range
                 for (path, _), mark in zip(page.tags.items(), marks.tolist(), strict=True):
@@ -292,7 +315,7 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html") -> DataFra
         for batch in batches:
             out = []
             for src, main in zip(batch.column(source).to_pylist(), batch.column(slot).to_pylist(), strict=True):
-                page = Page(src or "")
+                page = Page(src or "", True)
                 if main is None or main not in page.tags or main in page.asides:
                     main = own_slot(page)
                 out.append("" if main is None else page.text(main))

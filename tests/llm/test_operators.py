@@ -323,6 +323,12 @@ def test_html_extraction(spark):
     assert got[103] == "Only a paragraph\nand more" or got[103].startswith("Only a paragraph")
 
 
+def test_html_camel_case_and_inline_asides():
+    page = html_extraction.Page('<article><p>One <span class="ad">buy <span>now</span></span>two</p><div class="siteNav">menu</div><div id="Sidebar">side</div><p>three <b class="x">bold</b><a class="shareLink">share<p>four</p></article><p>five</p>', True)
+    assert page.text("/article") == "One two\nthree bold\nfour"
+    assert [t for _, t, _, aside in page.blocks if aside] == ["menu", "side"]
+
+
 def test_html_without_article(spark):
     """The main slot is the one whose text changes; the constant text stands elsewhere."""
     page = "<html><body><div class='top'>Welcome to the site, dear reader of our pages</div><div class='box'><div class='inner'><p>{0}</p><p>{1}</p></div></div><div class='bottom'>All rights are ours</div></body></html>"
