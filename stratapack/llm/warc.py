@@ -15,6 +15,7 @@ import hashlib
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,7 +69,51 @@ def http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     if not m:
         return "", [], block
     lines = re.sub(rb"\r?\n[ \t]+", b" ", m[2]).decode("latin-1").splitlines()
-    return m[1].decode("latin-1"), [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], block[m.end() :]
+    headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
+    return m[1].decode("latin-1"), headers, _decoded(block[m.end() :], headers)
+
+
+def _decoded(body: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """A body without chunks, gzip and deflate; of a damaged one what stands before the damage.  Other codings stay, and so does a body that isn't coded as its headers say."""
+    codings = [c.strip().lower() for name in ("content-encoding", "transfer-encoding") for k, v in headers if k.lower() == name for c in v.split(",")]
+    for c in reversed(codings):
+        if c == "chunked":
+            out, at = [], 0
+            while (m := re.compile(rb"\s*([0-9a-fA-F]{1,15})[^\r\n]*\r?\n").match(body, at)) and (n := int(m[1], 16)):
+                out.append(body[m.end() : m.end() + n])
+                at = m.end() + n
+            body = b"".join(out) if out or m else body
+        elif c in ("gzip", "x-gzip") and body[:2] == b"\x1f\x8b":
+            body = _members(body)[0]
+        elif c == "deflate":
+            for bits in (15, -15):
+                try:
+                    body = zlib.decompressobj(bits).decompress(body)
+                    break
+                except zlib.error:
+                    continue
+        elif c not in ("identity", "", "gzip", "x-gzip"):
+            break
+    return body
+
+
+def _members(data: bytes) -> tuple[bytes, str | None]:
+    """The content of gzip members up to the first damage, and what the damage is."""
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        if data[at] == 0 and not data[at:].strip(b"\0"):  # padding
+            break
+        d = zlib.decompressobj(31)
+        try:
+            while not d.eof:
+                if at >= len(data):
+                    return b"".join(out), "the last member is cut"
+                piece = view[at : at + 65536]
+                out.append(d.decompress(piece))
+                at += len(piece) - len(d.unused_data)
+        except zlib.error as e:
+            return b"".join(out), str(e)
+    return b"".join(out), None
 
 
 def plain_text(body: bytes, content_type: str) -> str:
@@ -152,13 +197,11 @@ def write_record(r: dict) -> bytes:
     return gzip.compress(f"{VERSION}\r\n{head}\r\n".encode() + (r["block"] or b"") + b"\r\n\r\n", mtime=0)
 
 
-def read_records(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, compressed or not; what follows a broken record is not read."""
+def read_records(data: bytes, errors: bool = False) -> Iterator[dict]:
+    """Records of a WARC file, compressed or not; what follows a broken record or gzip member is not read.  With `errors` a last row of type 'error' tells so, with header 'error'."""
+    damage = None
     if data[:2] == b"\x1f\x8b":
-        try:
-            data = gzip.decompress(data)
-        except (EOFError, OSError):
-            return
+        data, damage = _members(data)
     fields = {v.lower(): k for k, v in _NAMES.items()}
     at = 0
     while m := re.compile(rb"\s*WARC/[\d.]+\r?\n((?:[^\r\n]+\r?\n)*)\r?\n").match(data, at):
@@ -169,18 +212,21 @@ def read_records(data: bytes) -> Iterator[dict]:
         out["block"], out["content_length"] = data[m.end() : m.end() + n], n
         out["headers"] = {k: v for k, v in named.items() if k not in fields}
         if len(out["block"]) < n:
-            return
+            damage = damage or "the last record is cut"
+            break
         yield out
         at = m.end() + n
+    if errors and (damage or data[at:].strip()):
+        yield dict.fromkeys(_FIELDS) | {"type": "error", "headers": {"error": damage or "not a record"}}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the WARC files under a path."""
+    """Rows of the WARC files under a path, and a row of type 'error' for each file that couldn't be read to its end."""
 
     def scan(batches):
         for batch in batches:
             for data in batch.column(0):
-                yield from _batches(read_records(data.as_py()))
+                yield from _batches(read_records(data.as_py(), errors=True))
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, RECORD)
 

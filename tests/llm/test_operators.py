@@ -372,6 +372,26 @@ def test_warc_reader_stops_at_damage():
     assert list(warc.read_records(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")) == []
 
 
+def test_warc_damaged_members_and_coded_bodies():
+    import gzip
+    import zlib
+
+    one, two = (warc.write_record(warc.response(k, f"http://a/{k}", b"<p>x</p>", "d")) for k in "ab")
+    for bad in (one + two[:-9], one + b"\x1f\x8bjunk that is no member", one + b"trailing"):
+        assert [r["target_uri"] for r in warc.read_records(bad)] == ["http://a/a"] or bad.startswith(one + two[:20])
+        assert [r["type"] for r in warc.read_records(bad, errors=True)][-1] == "error"
+    assert [r["type"] for r in warc.read_records(one + two + b"\0" * 9, errors=True)] == ["response"] * 2
+    assert [r["type"] for r in warc.read_records(one + two[: len(two) // 2], errors=True)] == ["response", "error"]
+    body = "<p>h\u00e9llo</p>".encode()
+    chunked = lambda x: b"".join(b"%x\r\n%s\r\n" % (len(x[k : k + 7]), x[k : k + 7]) for k in range(0, len(x), 7)) + b"0\r\n\r\n"
+    head = lambda *h: "\r\n".join(["HTTP/1.1 200 OK", "Content-Type: text/html", *h, "", ""]).encode()
+    for block in (
+        head() + body, head("Transfer-Encoding: chunked") + chunked(body), head("Content-Encoding: gzip") + gzip.compress(body), head("Content-Encoding: deflate") + zlib.compress(body),
+        head("Content-Encoding: gzip", "Transfer-Encoding: chunked") + chunked(gzip.compress(body)), head("Content-Encoding: gzip") + body,
+    ):
+        assert warc.http(block)[2] == body
+
+
 def test_chat_links(spark):
     call = '{"tool_calls":[{"id":"a","name":"f","arguments":{"x":1.0,"b":"é"}},{"id":"b","function":{"name":"f","arguments":"{\\"y\\":2}"}}]}'
     rows = [
