@@ -231,6 +231,12 @@ def unblocked(out: DataFrame, docs: DataFrame, doc_id: str, text: str, made: lis
     return out.select(*cols, *made)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name like `name` that isn't taken (names don't tell case apart)."""
+    taken = {c.lower() for c in taken}
+    return next(x for k in range(len(taken) + 1) if (x := f"__{name}{k}") not in taken)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

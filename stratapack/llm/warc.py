@@ -125,7 +125,7 @@ def plain_text(body: bytes, content_type: str) -> str:
         source = body.decode("utf-8", errors="replace")
     if "html" not in content_type.lower():
         return source
-    return "\n".join(text for _, text, _, _ in Page(source).blocks)
+    return "\n".join(text for _, text, _ in Page(source).blocks)
 
 
 def derive(source: dict) -> list[dict]:

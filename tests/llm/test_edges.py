@@ -76,6 +76,8 @@ def test_no_training_rows(spark, frames):
 
 def test_pages_and_messages(spark):
     pages = spark.createDataFrame([(1, "http://a.example.com", "<p>x</p>"), (1, "http://a.example.com", "<p>x</p>"), (None, None, None), (2, "", ""), (3, "http://b.example.com", "<div>" * 3000 + LONG)], "page_id long, url string, html string")
+    mapped = pages.withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    assert html_extraction.extract(mapped).count() == 5
     odd = pages.withColumns({c: F.lit(1) for c in ("text", "__host", "__main", "host", "record_id", "type", "block")})
     for df in (pages, odd):
         out = html_extraction.extract(df)

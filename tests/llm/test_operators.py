@@ -323,10 +323,94 @@ def test_html_extraction(spark):
     assert got[103] == "Only a paragraph\nand more" or got[103].startswith("Only a paragraph")
 
 
+def extracted(source):
+    return html_extraction.Page(source, True).own_text()
+
+
 def test_html_camel_case_and_inline_asides():
     page = html_extraction.Page('<article><p>One <span class="ad">buy <span>now</span></span>two</p><div class="siteNav">menu</div><div id="Sidebar">side</div><p>three <b class="x">bold</b><a class="shareLink">share<p>four</p></article><p>five</p>', True)
-    assert page.text("/article") == "One two\nthree bold\nfour"
-    assert [t for _, t, _, aside in page.blocks if aside] == ["menu", "side"]
+    assert page.own_text() == "One two\nthree bold\nfour"
+    assert [t for e, t, _ in page.blocks if page.aside[e]] == ["menu", "side"]
+
+
+def test_html_markup():
+    """Forms of markup that pages have: each keeps what an article says, and nothing else."""
+    art = "<html><body><nav>menu</nav><article>{}</article><footer>foot</footer></body></html>"
+    cases = {
+        "İ" * 10 + '<script>var a = "</p>"</script><p>abc': "İ" * 10 + "\nabc",
+        "<p>one <script>x()</script>two <!-- <p> -->three</p>": "one two three",
+        "<p title=don't>it</p><p title=\"it's\">is</p>": "it\nis",
+        '<p>a</p><p class="x>b</p><p>c</p>': "a\nb\nc",
+        '<section id="search-algorithms"><p>Binary search</p></section><h2 class="social">Social</h2><p class="legal-history">Law</p>': "Binary search\nSocial\nLaw",
+        '<div class="cookie-notice">c</div><div id="comments">d</div><div class="ad-banner top">e</div><p>f</p>': "f",
+        "<p>x <math><mi>y</mi></math> <svg><text>z</text></svg><object>w</object>": "x y\nz\nw",
+        "<p>a<br>b<br/>c</p>": "a b c",
+        "<p>a &lt;b&gt; &amp;amp; &#x41;&nbsp;&copy</p>": "a <b> &amp; A ©",
+        "<h1>T</h1>lead<ul><li>i<li>j</ul><table><tr><td>u<td>v</table>tail": "T\nlead\ni\nj\nu\nv\ntail",
+        "<p>3 < 4 > 2 <</p></><p>end</ p>": "3 < 4 > 2 <\nend",
+        "<!-- a --!><p>b<!--></p><p>c<!---></p><!-- open <p>d": "b\nc",
+        "<SCRIPT>a</SCRIPT ><STYLE>b</style><p>c": "c",
+    }
+    for inner, want in cases.items():
+        got = extracted(art.format(inner))
+        assert got == want, (inner, got)
+    assert extracted("<main><article class=a><p>" + "long " * 50 + "</p></article><article class=b><p>short</p></article><aside>x</aside></main>").split("\n")[1] == "short"
+    assert extracted("<body><article class=a><p>one</p></article><div><article class=b><p>two</p></article></div><p>three</p></body>") == "one\ntwo"
+    deep = "<body><p>out</p>" + "<div>" * 100 + "<article><p>in</p></article>" + "</div>" * 100 + "<p>side</p></body>"
+    assert extracted(deep) == "in"
+    assert extracted("<div>" * 20_000 + "deep") == "deep"
+    assert extracted('<body><div class="content-sidebar-wrap"><p>all</p></div></body>') == "all" and extracted('<body><div class="ad">buy</div><article></article></body>') == ""
+    assert extracted('<body><div class="widget"><p>all of it</p><div class="ad">buy</div></div></body>') == "all of it"
+
+
+TEMPLATE = "<html><body><div class='top'>Welcome to our long and friendly greeting, dear readers</div><div class='box'><h1>{0}</h1><p>{1}</p></div><div class='end'>{2}</div></body></html>"
+
+
+def test_html_template_decides(spark, monkeypatch):
+    """What the pages of a host share is known only from all of them: without vectors the greeting stays."""
+    rng = random.Random(6)
+    pages = [(k, "http://h.example.com/", TEMPLATE.format(prose(rng, 3, 10**6), prose(rng, 30, 10**6), prose(rng, 20, 10**6))) for k in range(9)]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {k: "\n".join(re.findall(r"<(?:h1|p|div class='end')>(.*?)</", src)) for k, _, src in pages}
+    assert {r.page_id: r.text for r in html_extraction.extract(docs).collect()} == want
+    alone = {k: extracted(src) for k, _, src in pages}
+    assert all(alone[k].startswith("Welcome") for k in alone)
+    tokens, texts = host_tokens([p[2] for p in pages])
+    assert len(html_extraction.main_slots(tokens, texts)["quiet"]) == 1
+    shuffled = [t | {"vector": k + 7, "pages": 2} for k, t in enumerate(texts)]
+    assert html_extraction.main_slots(tokens, shuffled)["quiet"] == []
+
+
+def host_tokens(sources):
+    """Tokens and repeated texts of pages of one host, with whole vectors."""
+    tokens, texts = {}, {}
+    for k, src in enumerate(sources):
+        page = html_extraction.Page(src, True)
+        for p, (n, up, name, size) in page.tokens().items():
+            t = tokens.setdefault(p, {"parent": up, "name": name, "vector": [0] * len(sources), "chars": 0})
+            t["vector"][k] = n
+            t["chars"] += size
+        for e, text, linked in page.blocks:
+            if not page.aside[e]:
+                t = texts.setdefault((page.path[e], text), {"path": page.path[e], "vector": [0] * len(sources), "chars": 0})
+                t["vector"][k] += 1
+                t["chars"] += len(text) - linked
+    for t in (*tokens.values(), *texts.values()):
+        t["vector"] = tuple(t["vector"])
+        t["pages"] = sum(map(bool, t["vector"]))
+    return {p: t for p, t in tokens.items() if t["pages"] > 1}, [t for t in texts.values() if t["pages"] > 1]
+
+
+def test_html_distributed_vectors_equal_whole_ones(spark):
+    """Sums of marks give the same slots as vectors that are written out."""
+    rng = random.Random(12)
+    make = lambda k: f"<html><body><div class=m{k % 2}>{'same words here ' * 3}</div><div id=c><h2>{prose(rng, 4, 10**6)}</h2>{''.join(f'<p>{prose(rng, 9, 10**6)}</p>' for _ in range(k % 4))}</div><div class=s>{prose(rng, 8, 10**6)}</div></body></html>"
+    sources = {h: [make(k) for k in range(7)] for h in range(5)}
+    rows = [(f"http://h{h}.example.com/", s) for h, ss in sources.items() for s in ss]
+    got = {r.host: r.main.asDict() for r in html_extraction.templates(spark.createDataFrame(rows, "url string, html string").repartition(6)).collect()}
+    for h, ss in sources.items():
+        want = html_extraction.main_slots(*host_tokens(ss))
+        assert {k: set(v) for k, v in got[f"h{h}.example.com"].items()} == {k: set(want[k]) for k in ("slots", "heads", "quiet")}
 
 
 def test_html_without_article(spark):
