@@ -204,25 +204,34 @@ def deal(records: np.ndarray, bucket: np.ndarray, kind: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(keys.astype(np.int32), pa.int32()), pa.array(np.full(len(parts), kind, np.int32)), pa.array([pack(p) for p in parts], pa.binary())], schema=_BLOB)
 
 
-_LEHMER, _PRIME = 48271, (1 << 31) - 1
+#: Text (and other strings) of a block: what a task holds at a time.
+BLOCK_BYTES = 12 << 20
+#: Partitions of an exchange at most; beyond, a partition holds several blocks, which are read one after the other.
+MOST_PARTITIONS = 100_000
 
 
-def block_of(doc_id: str, n: int):
-    """Block of a document: a JVM expression of its id alone, so rows of one id share a block; a null id has block 0."""
-    return F.coalesce(F.pmod(F.pmod(F.pmod(F.col(doc_id).cast("bigint"), F.lit(_PRIME)) * F.lit(_LEHMER), F.lit(_PRIME)), F.lit(n)), F.lit(0)).cast("int").alias("block")
+def dealt_by(frame: DataFrame, n: int, column: str) -> DataFrame:
+    """Number k of `column` goes to partition k, so that no two numbers share one as long as there are partitions enough."""
+    return frame.repartitionById(n, F.col(column)) if n <= MOST_PARTITIONS else frame.repartition(MOST_PARTITIONS, column)
 
 
-def blocked(docs: DataFrame, doc_id: str, text: str, per_partition: int = 2) -> tuple[DataFrame, int]:
-    """(block, id, text[, rest]) dealt by block, and the number of blocks.
+def blocked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """(block, id, text[, rest]) dealt by block, and the number of blocks, which follows from the measured bytes.
 
-    All other columns ride along in the struct `rest`, so their names can't clash.  The exchange is written
-    once: plans that use the returned frame several times share it (ReusedExchange).
+    Blocks come from a hash of id and text, so neither rows of one id nor rows without id meet in one block.  All other columns ride
+    along in the struct `rest`, so their names can't clash.  The exchange is written once: plans that use the returned frame several
+    times share it (ReusedExchange).
     """
-    parts = n_partitions(docs.sparkSession)
-    n = parts * per_partition
+    wide = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in docs.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    width = F.lit(16)
+    for w in wide:
+        width = width + w
+    total = docs.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()[0]
+    n = max(1, -(-total // BLOCK_BYTES), min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // (2 << 20))))
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)]
-    cols = [block_of(doc_id, n), F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")]
-    return docs.select(*cols, *([F.struct(*rest).alias("rest")] if rest else [])).repartition(parts, "block"), n
+    own = [F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text")]
+    block = F.pmod(F.xxhash64(*own), F.lit(n)).cast("int").alias("block")
+    return dealt_by(docs.select(block, *own, *([F.struct(*rest).alias("rest")] if rest else [])), n, "block"), n
 
 
 def unblocked(out: DataFrame, docs: DataFrame, doc_id: str, text: str, made: list[str]) -> DataFrame:
@@ -237,19 +246,29 @@ def free_name(name: str, taken: list[str]) -> str:
     return next(x for k in range(len(taken) + 1) if (x := f"__{name}{k}") not in taken)
 
 
-def n_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; a private one only where none is set (tests)."""
+    """The folder for intermediate results that all executors share: spark.checkpoint.dir, or the checkpoint folder that the application has set.
+
+    Only where neither is set and driver and executors are one process a private folder is made; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if folder and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    if not folder and sc._jsc.sc().getCheckpointDir().isEmpty():
+    have = sc._jsc.sc().getCheckpointDir()
+    if folder:
+        if have.isEmpty():
+            sc.setCheckpointDir(folder)
+        return folder
+    if have.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="stratapack-"))
-    return folder or sc._jsc.sc().getCheckpointDir().get()
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, wherever Spark keeps it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Each block of documents gives a sorted run of its distinct line keys, with the number of its documents that hold the key and
-the largest of their ids.  Where the runs of a hash range meet, they enter in batches.  A new batch is merge-anti-joined with the
-runs that are there: known keys are counted where they stand, new keys become a run of level 0.  A level that holds
-`fanout` runs is compacted into one run of the next, so there are never many runs to merge with.
-When all batches are in, the blocks of the keys that must go are told the surviving document.
+A task with blocks of documents sends each line key of a block once, with the largest ids of the block's documents that hold it: as many as decide
+whether a line is too common.  Where the keys of a hash range meet, they enter in batches.  A new batch is sorted and merge-anti-joined with the runs that are there: known keys
+take up its ids where they stand, new keys become a run of level 0.  A level that holds `fanout` runs is compacted into one run of the next, so there are
+never many runs to merge with.  When all batches are in, the blocks of the keys that must go are told the surviving document.
+
+The runs can be kept as a table and given again with later documents, whose lines then count with those of all earlier ones.
 """
 
 from __future__ import annotations
@@ -16,84 +17,107 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import _BLOB, BLOB, U64, Words, blocked, chunks, deal, join_spans, sha256_of, span_hashes, table, text_buffers, unblocked, unpack
+from .common import BLOB, U64, Words, blocked, chunks, cut, deal, dealt_by, join_spans, sha256_of, span_hashes, table, text_buffers, unblocked, unpack
 
-_RUN = np.dtype([("h", "<u8"), ("g", "<u4"), ("n", "<i4"), ("top", "<i8"), ("block", "<i4")])
-#: Small runs of blocks wait until they hold so many keys and then enter as one batch.
+#: Keys wait until there are so many and then enter as one batch.
 _BATCH = 1 << 16
-#: Stands for a null id: all rows without id count as one document, the one with the smallest id.
-NO_ID = -(1 << 63)
-
-
-def _new(run: np.ndarray) -> np.ndarray:
-    """Marks the first record of each key of a sorted run."""
-    new = np.ones(len(run), bool)
-    new[1:] = (run["h"][1:] != run["h"][:-1]) | (run["g"][1:] != run["g"][:-1])
-    return new
+#: Records that a task collects before it sends them.
+_FLUSH = 1 << 20
+#: Stands for no id in a list of ids, and for the id of rows without id: these count as one document, the one with the smallest id.
+NONE, NO_ID = -(1 << 63), 1 - (1 << 63)
+_KEY = [("h", "<u8"), ("g", "<u4"), ("block", "<i4")]
+#: Kinds of rows in an exchange: keys of blocks, verdicts for blocks, and runs (their level is added).
+KEYS, GONE, RUN = range(3)
+_TOLD = np.dtype([*_KEY, ("top", "<i8")])
+
+
+def record(min_docs: int) -> np.dtype:
+    """A key, its block, and the largest ids of documents that hold it, falling."""
+    return np.dtype([*_KEY, ("top", "<i8", (min_docs,))])
+
+
+def merged(rec: np.ndarray, by_block: bool = False) -> np.ndarray:
+    """Sorted, one record a key (with `by_block` a key and block), which has the largest distinct ids of all its records."""
+    rec = rec[np.lexsort((rec["block"], rec["g"], rec["h"]) if by_block else (rec["g"], rec["h"]))]
+    new = np.ones(len(rec), bool)
+    new[1:] = (rec["h"][1:] != rec["h"][:-1]) | (rec["g"][1:] != rec["g"][:-1])
+    if by_block:
+        new[1:] |= rec["block"][1:] != rec["block"][:-1]
+    at = np.flatnonzero(new)
+    if len(at) == len(rec):
+        return rec
+    out, m = rec[at].copy(), rec["top"].shape[1]
+    several = np.repeat(np.diff(np.append(at, len(rec))) > 1, np.diff(np.append(at, len(rec))))
+    group, ids = np.repeat((np.cumsum(new) - 1)[several], m), rec["top"][several].ravel()
+    group, ids = group[ids != NONE], ids[ids != NONE]
+    order = np.lexsort((ids, group))[::-1]
+    group, ids = group[order], ids[order]
+    keep = np.ones(len(ids), bool)
+    keep[1:] = (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])
+    group, ids = group[keep], ids[keep]
+    first = np.ones(len(ids), bool)
+    first[1:] = group[1:] != group[:-1]
+    rank = np.arange(len(ids)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    out["top"][np.unique(group)] = NONE
+    out["top"][group[rank < m], rank[rank < m]] = ids[rank < m]
+    return out
 
 
 class Runs:
-    """Levelled sorted runs of (h, g) keys, each with a count of documents and the largest id."""
+    """Levelled sorted runs of records by key."""
 
-    def __init__(self, fanout: int = 8):
-        self.fanout, self.levels = fanout, []
+    def __init__(self, min_docs: int = 3, fanout: int = 8):
+        self.kind, self.fanout, self.levels = record(min_docs), fanout, []
 
-    def find(self, batch: np.ndarray, run: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def find(batch: np.ndarray, run: np.ndarray) -> np.ndarray:
         """Index in `run` of each key of `batch`, or -1: a merge of two sorted sequences."""
         out = np.full(len(batch), -1)
         if not len(run):
             return out
-        at = np.searchsorted(run["h"], batch["h"])
+        h, g = np.ascontiguousarray(run["h"]), run["g"]
+        at = np.searchsorted(h, batch["h"])
         while True:  # keys of equal h stand together, by g
             ok = at < len(run)
             same = np.zeros(len(batch), bool)
-            same[ok] = run["h"][at[ok]] == batch["h"][ok]
+            same[ok] = h[at[ok]] == batch["h"][ok]
             less = same.copy()
-            less[same] = run["g"][at[same]] < batch["g"][same]
+            less[same] = g[at[same]] < batch["g"][same]
             if not less.any():
                 break
             at[less] += 1
         hit = np.flatnonzero(same)
-        hit = hit[run["g"][at[hit]] == batch["g"][hit]]
+        hit = hit[g[at[hit]] == batch["g"][hit]]
         out[hit] = at[hit]
         return out
 
     def add(self, batch: np.ndarray) -> None:
-        """Merge-anti-joins a sorted batch of distinct keys with the runs: known keys are counted where they stand, the new ones become a run."""
+        """Merge-anti-joins a batch with the runs: known keys take up its ids where they stand, the new ones become a run."""
+        batch = merged(batch)
         new = np.ones(len(batch), bool)
         for level in self.levels:
             for run in level:
                 at = self.find(batch, run)
-                hit = at >= 0
-                run["n"][at[hit]] += batch["n"][hit]
-                run["top"][at[hit]] = np.maximum(run["top"][at[hit]], batch["top"][hit])
-                new &= ~hit
-        self._put(0, batch[new].copy())
-
-    def _put(self, k: int, run: np.ndarray) -> None:
-        if k == len(self.levels):
+                hit = np.flatnonzero(at >= 0)
+                if len(hit):
+                    both = merged(np.concatenate([run[at[hit]], batch[hit]]))
+                    run["top"][at[hit]] = both["top"]  # both are in the order of their keys
+                    new[hit] = False
+        if new.any():
+            self.put(0, batch[new].copy())
+
+    def put(self, k: int, run: np.ndarray) -> None:
+        """A run of level k; a full level is compacted into a run of the next one."""
+        while k >= len(self.levels):
             self.levels.append([])
         self.levels[k].append(run)
         if len(self.levels[k]) >= self.fanout:
             full, self.levels[k] = self.levels[k], []
-            self._put(k + 1, _compact(full))
+            self.put(k + 1, merged(np.concatenate(full)))
 
     def whole(self) -> np.ndarray:
         runs = [r for level in self.levels for r in level]
-        return _compact(runs) if runs else np.zeros(0, _RUN)
-
-
-def _compact(runs: list[np.ndarray]) -> np.ndarray:
-    """One run of several: counts of equal keys add up, ids keep the largest."""
-    run = np.concatenate(runs)
-    run = run[np.lexsort((run["g"], run["h"]))]
-    if not len(run):
-        return run
-    at = np.flatnonzero(_new(run))
-    out = run[at].copy()
-    out["n"] = np.add.reduceat(run["n"], at)
-    out["top"] = np.maximum.reduceat(run["top"], at)
-    return out
+        return merged(np.concatenate(runs)) if runs else np.zeros(0, self.kind)
 
 
 class _Lines:
@@ -124,79 +148,106 @@ class _Lines:
         self.h, self.g = span_hashes(data, key_start[long], key_end[long], lower=True)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, known: DataFrame | None = None, keep: str | None = None) -> DataFrame:
     """Drops lines whose key stands in at least `min_docs` documents, except in the one with the largest id.
 
     A key is the line without spaces, tabs and such (0x20, 0x09-0x0D) at its ends and with A-Z lower-cased; shorter ones than
     `min_chars` code points never go.  Returns the columns of `docs` with the other lines joined by \\n as text, and n_lines and
     n_dropped.  A null or empty text is one empty line and becomes ''.  Rows of equal id are one document, and so are all rows
-    without id, whose id counts as the smallest.  Input columns named n_lines or n_dropped are replaced; all others pass
+    without id, whose id counts as the smallest.  Very long texts are read whole.  Input columns named n_lines or n_dropped are replaced; all others pass
     unchanged.  An empty table gives an empty table.
+
+    `known` is a table of runs that an earlier call kept: its documents count too.  `keep` is a folder to which the runs of all documents so far are written.
     """
-    dealt, n_blocks = blocked(docs, doc_id, text)
-    ids = lambda t: t.column("id").fill_null(NO_ID).to_numpy().astype(np.int64)
-
-    def lines(t: pa.Table):
-        for batch in t.combine_chunks().to_batches():
-            for chunk in chunks(batch):
-                yield chunk, _Lines(*text_buffers(chunk.column("text")), min_chars)
-
-    def send(t: pa.Table) -> pa.Table:
-        parts = []
-        for chunk, x in lines(t):
-            doc = ids(chunk)[x.text[x.keyed]]
-            rec = np.zeros(len(x.keyed), _RUN)
-            rec["h"], rec["g"], rec["top"], rec["n"] = x.h, x.g, doc, 1
-            parts.append(rec)
-        if not parts:
-            return pa.Table.from_batches([], _BLOB)
-        rec = np.concatenate(parts)
-        rec = rec[np.lexsort((rec["top"], rec["g"], rec["h"]))]
-        once = _new(rec)
-        once[1:] |= rec["top"][1:] != rec["top"][:-1]
-        rec = _compact([rec[once]])
-        rec["block"] = t.column("block")[0].as_py()
-        return pa.Table.from_batches([deal(rec, ((rec["h"] >> U64(20)) % U64(n_blocks)).astype(np.int32), 0)])
+    dealt, n = blocked(docs, doc_id, text)
+    kind = record(min_docs)
+    ids = lambda t: np.maximum(t.column("id").fill_null(NO_ID).to_numpy().astype(np.int64), NO_ID)
+    bucket = lambda rec: ((rec["h"] >> U64(20)) % U64(n)).astype(np.int32)
+
+    def lines(batch: pa.RecordBatch):
+        for chunk in chunks(batch):
+            yield chunk, _Lines(*text_buffers(chunk.column("text")), min_chars)
+
+    def send(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for chunk, x in lines(batch):
+                rec = np.empty(len(x.keyed), kind)
+                rec["h"], rec["g"], rec["top"] = x.h, x.g, NONE
+                rec["top"][:, 0], rec["block"] = ids(chunk)[x.text[x.keyed]], chunk.column("block").to_numpy()[x.text[x.keyed]]
+                parts.append(rec)
+                size += len(rec)
+                if size > _FLUSH:
+                    rec = merged(np.concatenate(parts), True)
+                    yield deal(rec, bucket(rec), KEYS)
+                    parts, size = [], 0
+        if size:
+            rec = merged(np.concatenate(parts), True)
+            yield deal(rec, bucket(rec), KEYS)
+
+    def again(batches):
+        """Runs of earlier calls, dealt to the buckets of this one."""
+        for batch in batches:
+            for level, blob in zip(batch.column("level").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                rec = unpack(blob, kind)
+                yield deal(rec, bucket(rec), RUN + level)
 
     def settle(batches):
-        runs, came, waiting = Runs(), [], []
+        runs, came, waiting, size = Runs(min_docs), [], [], 0
 
         def take():
-            came.append(np.concatenate(waiting))
+            batch = np.concatenate(waiting)
             waiting.clear()
-            runs.add(_compact([came[-1]]))
+            held = np.empty(len(batch), _KEY)
+            for c in ("h", "g", "block"):
+                held[c] = batch[c]
+            came.append(held)
+            runs.add(batch)
 
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                waiting.append(unpack(blob, _RUN))
-                if sum(map(len, waiting)) >= _BATCH:
+            for what, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                rec = unpack(blob, kind)
+                if what >= RUN:
+                    runs.put(what - RUN, merged(rec))
+                    continue
+                waiting.append(rec)
+                size += len(rec)
+                if size >= _BATCH:
                     take()
+                    size = 0
         if waiting:
             take()
         total = runs.whole()
-        total = total[total["n"] >= min_docs]
-        for rec in came:  # the blocks that brought a key which is too common are told the id that keeps it
-            rec = rec[np.lexsort((rec["g"], rec["h"]))]
-            at = runs.find(rec, total)
-            rec = rec[at >= 0].copy()
-            rec["top"] = total["top"][at[at >= 0]]
-            if len(rec):
-                yield deal(rec, rec["block"].astype(np.int32), 1)
+        total = total[total["top"][:, -1] != NONE]
+        while came:  # the blocks that brought a key which is too common are told the id that keeps it
+            rec = came.pop()
+            at = Runs.find(rec, total)
+            told = np.empty((at >= 0).sum(), _TOLD)
+            for c in ("h", "g", "block"):
+                told[c] = rec[c][at >= 0]
+            told["top"] = total["top"][at[at >= 0], 0]
+            yield deal(told, told["block"].astype(np.int32), GONE)
+        if keep:
+            for k, level in enumerate(runs.levels):
+                for run in level:
+                    yield deal(run, np.zeros(len(run), np.int32), RUN + k)
 
     def drop(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        blobs = [unpack(b, _RUN) for b in right.column("blob").to_pylist()]
-        gone = _compact(blobs) if blobs else np.zeros(0, _RUN)
+        gone = [unpack(b, _TOLD) for b in right.column("blob").to_pylist()]
+        gone = np.concatenate(gone) if gone else np.zeros(0, _TOLD)
+        gone = gone[np.lexsort((gone["g"], gone["h"]))]
         outs = []
-        for chunk, x in lines(left):
-            keep = np.ones(len(x.starts), bool)
-            rec = np.zeros(len(x.keyed), _RUN)
-            rec["h"], rec["g"] = x.h, x.g
-            at = Runs().find(rec, gone)
-            hit = at >= 0
-            keep[x.keyed[hit]] = gone["top"][at[hit]] == ids(chunk)[x.text[x.keyed[hit]]]
-            data, _ = text_buffers(chunk.column("text"))
-            kept = join_spans(data, x.starts[keep], (x.ends - x.starts)[keep], x.text[keep], len(x.counts), 0x0A)
-            outs.append((chunk, kept, x.counts, np.bincount(x.text[~keep], minlength=len(x.counts))))
+        for batch in left.combine_chunks().to_batches():
+            for chunk, x in lines(batch):
+                stays = np.ones(len(x.starts), bool)
+                rec = np.empty(len(x.keyed), _KEY)
+                rec["h"], rec["g"] = x.h, x.g
+                at = Runs.find(rec, gone)
+                hit = at >= 0
+                stays[x.keyed[hit]] = gone["top"][at[hit]] == ids(chunk)[x.text[x.keyed[hit]]]
+                data, _ = text_buffers(chunk.column("text"))
+                kept = join_spans(data, x.starts[stays], (x.ends - x.starts)[stays], x.text[stays], len(x.counts), 0x0A)
+                outs.append((chunk, kept, x.counts, np.bincount(x.text[~stays], minlength=len(x.counts))))
         if not outs:
             return empty
         cols = {c: pa.chunked_array([o[0].column(c) for o in outs]) for c in left.column_names if c not in ("text", "block")}
@@ -205,8 +256,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     fields = [f for f in dealt.schema.fields if f.name not in ("text", "block")]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     empty = to_arrow_schema(schema).empty_table()
-    runs = dealt.groupBy("block").applyInArrow(send, BLOB)
-    found = runs.repartition(n_blocks // 2, "bucket").mapInArrow(settle, BLOB).select(F.col("bucket").alias("block"), "blob")
+    keys = dealt.mapInArrow(send, BLOB)
+    if known is not None:
+        keys = keys.union(known.mapInArrow(again, BLOB))
+    keys = dealt_by(keys, n, "bucket")
+    if known is not None:
+        keys = keys.sortWithinPartitions(F.desc("kind"))  # runs before keys
+    found = keys.mapInArrow(settle, BLOB)
+    if keep:
+        found = cut(found)
+        found.where(F.col("kind") >= RUN).select((F.col("kind") - RUN).alias("level"), "blob").write.parquet(keep)
+    found = dealt_by(found.where(F.col("kind") == GONE).select(F.col("bucket").alias("block"), "blob"), n, "block")
     out = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(drop, schema)
     return unblocked(out, docs, doc_id, text, ["n_lines", "n_dropped"])
 

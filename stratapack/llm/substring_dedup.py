@@ -9,10 +9,10 @@ anchor at equal distance from their starts.
 1. Anchors are hashed and counted by hash.  Those that occur once are dropped.
 2. Around the others the windows of full length that hold an anchor are hashed (128 bits: 96 are kept) and
    counted: this is the extension of an anchor match to a whole match.
-3. Every word covered by a window that occurs twice goes.
+3. Every word covered by a window that occurs twice goes.  Again only windows around repeated anchors are hashed.
 
 Blocks of documents, not documents, own hashes: a block sends each of its hashes once, with a mark if it has it
-twice, so a passage in a third of all documents costs one record a block.
+twice, so a passage in a third of all documents costs one record a block.  Blocks have a fixed size, so tasks don't grow with the input.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLOB, U64, Words, blocked, chunks, deal, join_spans, run_hashes, sha256_of, table, text_buffers, unblocked, unpack
+from .common import BLOB, U64, Words, blocked, chunks, deal, dealt_by, join_spans, run_hashes, sha256_of, table, text_buffers, unblocked, unpack
 
 #: Perfect difference sets (fixed values): every residue modulo v is a difference of two members.
 COVERS = {21: (0, 1, 4, 14, 16), 13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1), 1: (0,)}
@@ -68,7 +68,11 @@ class _Sender:
         yield deal(rec, ((rec["h"] >> U64(20)) % U64(self.n)).astype(np.int32), 0)
 
 
-def _repeated(batches):
+#: Kinds of keys: of anchors and of windows.
+ANCHORS, WINDOWS = range(2)
+
+
+def _repeated(batches, kind: int):
     """Of one partition's buckets: the keys that occur twice anywhere, sent to every block that has them."""
     parts = [unpack(b, _KEY) for batch in batches for b in batch.column("blob").to_pylist()]
     if not parts:
@@ -82,7 +86,7 @@ def _repeated(batches):
     twice = np.add.reduceat((rec["block"] < 0).astype(np.int64), at) + size > 1
     rec = rec[np.repeat(twice, size)].copy()
     rec["block"] = np.where(rec["block"] < 0, -1 - rec["block"], rec["block"])
-    yield deal(rec, rec["block"].astype(np.int32), 1)
+    yield deal(rec, rec["block"].astype(np.int32), kind)
 
 
 def _anchors(w: Words, h: np.ndarray, v: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +108,8 @@ def _words(t: pa.Table):
             yield chunk, w, w.hashes()
 
 
-def _keys(t: pa.Table) -> np.ndarray:
-    parts = [unpack(b, _KEY) for b in t.column("blob").to_pylist()]
+def _keys(t: pa.Table, kind: int) -> np.ndarray:
+    parts = [unpack(b, _KEY) for k, b in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist(), strict=True) if k == kind]
     return np.concatenate(parts) if parts else np.zeros(0, _KEY)
 
 
@@ -117,22 +121,45 @@ def _cover(at: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return known[at] == keys
+
+
+def _pairs_among(h: np.ndarray, g: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which (h, g) are among known records, which are sorted by h, then g."""
+    out, kh, kg = np.zeros(len(h), bool), np.ascontiguousarray(known["h"]), known["g"]
+    at = np.searchsorted(kh, h)
+    left = np.arange(len(h))
+    while len(left):  # records of equal h stand together
+        left = left[at[left] < len(kh)]
+        left = left[kh[at[left]] == h[left]]
+        hit = kg[at[left]] == g[left]
+        out[left[hit]] = True
+        left = left[~hit]
+        at[left] += 1
+    return out
+
+
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
     """Removes every word covered by a window of `window` words that also begins elsewhere in `docs`.
 
     Returns the columns of `docs`, with the kept words joined by one space as text, and n_words and n_removed.
     A null or empty text has no words and becomes ''.  A text shorter than the window is kept.  Rows of equal id are
-    separate texts, as are rows without id: repeated rows remove each other's windows.  Input columns named n_words
+    separate texts, as are rows without id: repeated rows remove each other's windows.  Very long texts are read whole.  Input columns named n_words
     or n_removed are replaced; all others pass unchanged.  An empty table gives an empty table.
     """
     v = period(window)
     length = window - v + 1
-    dealt, n_blocks = blocked(docs, doc_id, text)
-    n_buckets = n_blocks
+    dealt, n = blocked(docs, doc_id, text)
     # all three passes read `dealt` with all its columns, so that they share one exchange of the texts
 
     def send_anchors(batches):
-        out = _Sender(n_buckets)
+        out = _Sender(n)
         for batch in batches:
             for chunk, w, h in _words(pa.Table.from_batches([batch])):
                 at, keys = _anchors(w, h, v, length)
@@ -140,33 +167,33 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 yield from out.add(keys, np.zeros(len(at), np.uint32), block)
         yield from out.flush()
 
+    def starts_near(w: Words, h: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Where the windows begin that hold a shared anchor: up to v - 1 words before it."""
+        at, keys = _anchors(w, h, v, length)
+        at = at[_among(keys, shared)]
+        near = _cover(np.maximum(at - (v - 1), 0), v, len(h))
+        room = np.repeat(w.first[1:], w.counts) - np.arange(len(h)) >= window
+        return np.flatnonzero(near & room)
+
     def send_windows(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        shared, out = np.unique(_keys(right)["h"]), _Sender(n_buckets)
+        shared, out = np.unique(_keys(right, ANCHORS)["h"]), _Sender(n)
         sent = []
         for _, w, h in _words(left) if len(shared) else ():
-            at, keys = _anchors(w, h, v, length)
-            at = at[np.isin(keys, shared)]
-            # a window that begins up to v-1 words before an anchor holds it
-            near = _cover(np.maximum(at - (v - 1), 0), v, len(h))
-            room = np.repeat(w.first[1:], w.counts) - np.arange(len(h)) >= window
-            starts = np.flatnonzero(near & room)
+            starts = starts_near(w, h, shared)
             sent += out.add(*_windows(h, starts, window), np.full(len(starts), key[0].as_py(), np.int32))
         sent += out.flush()
         return pa.Table.from_batches(sent, pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())]))
 
     def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        shared = _keys(right)
-        hs, outs, counts = np.unique(shared["h"]), [], []
-        pairs = set(zip(shared["h"].tolist(), shared["g"].tolist(), strict=True))
+        shared, twice = np.unique(_keys(right, ANCHORS)["h"]), _keys(right, WINDOWS)
+        twice = twice[np.lexsort((twice["g"], twice["h"]))]
+        outs, counts = [], []
         for chunk, w, h in _words(left):
             gone = np.zeros(len(h), bool)
-            if len(hs):
-                room = np.repeat(w.first[1:], w.counts) - np.arange(len(h)) >= window
-                starts = np.flatnonzero(room)
+            if len(twice):
+                starts = starts_near(w, h, shared)
                 full, more = _windows(h, starts, window)
-                hit = np.flatnonzero(np.isin(full, hs))
-                hit = hit[[(a, b) in pairs for a, b in zip(full[hit].tolist(), more[hit].tolist(), strict=True)]] if len(hit) else hit
-                gone = _cover(starts[hit], window, len(h))
+                gone = _cover(starts[_pairs_among(full, more, twice)], window, len(h))
             outs.append((chunk, _kept(w, ~gone)))
             counts.append((w.counts, np.add.reduceat(np.append(gone, False).astype(np.int64), w.first[:-1]) * (w.counts > 0)))
         cols = {c: pa.chunked_array([o.column(c) for o, _ in outs]) for c in left.column_names if c not in ("text", "block")}
@@ -177,14 +204,14 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     empty = to_arrow_schema(schema).empty_table()
 
-    def again(keys: DataFrame) -> DataFrame:
-        """Deals keys by hash, keeps repeated ones, and groups them by block."""
-        found = keys.repartition(n_blocks // 2, "bucket").mapInArrow(_repeated, BLOB)
-        return found.select(F.col("bucket").alias("block"), "blob").groupBy("block")
+    def repeated(keys: DataFrame, kind: int) -> DataFrame:
+        """Deals keys by hash and keeps the repeated ones, for the blocks that have them."""
+        found = dealt_by(keys, n, "bucket").mapInArrow(lambda batches: _repeated(batches, kind), BLOB)
+        return found.select(F.col("bucket").alias("block"), "kind", "blob")
 
-    anchors = dealt.mapInArrow(send_anchors, BLOB)
-    windows = dealt.groupBy("block").cogroup(again(anchors)).applyInArrow(send_windows, BLOB)
-    out = dealt.groupBy("block").cogroup(again(windows)).applyInArrow(remove, schema)
+    anchors = repeated(dealt.mapInArrow(send_anchors, BLOB), ANCHORS)
+    windows = repeated(dealt.groupBy("block").cogroup(dealt_by(anchors, n, "block").groupBy("block")).applyInArrow(send_windows, BLOB), WINDOWS)
+    out = dealt.groupBy("block").cogroup(dealt_by(anchors.union(windows), n, "block").groupBy("block")).applyInArrow(remove, schema)
     return unblocked(out, docs, doc_id, text, ["n_words", "n_removed"])
 
 
