@@ -103,6 +103,11 @@ def test_stage(spark, frames, tmp_path, k):
     want = {"language_id": 5, "line_dedup": 9, "near_dedup": 9, "decontamination": 8, "sentencepiece": 9}
     assert len(got) == want[name]
     assert stage(spark, empty, str(tmp_path)).count() == 0
+    odd = docs.withColumns({c: F.lit(f"own {c}") for c in [*CLASH, "Matches", "n_pieces", "__id0"] if c.lower() not in [x.lower() for x in docs.columns] and c != "matches"})
+    out = stage(spark, odd, str(tmp_path))
+    if k < 4:
+        assert out.columns == odd.columns and all(r[c] == f"own {c}" for r in out.collect() for c in odd.columns if c not in docs.columns)
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, got))
 
 
 def test_language_stage_without_labels_keeps_all(spark, tmp_path):

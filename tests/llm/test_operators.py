@@ -93,19 +93,52 @@ def test_line_dedup(corpus):
 
 
 def test_levelled_runs():
-    rng, runs, want = np.random.default_rng(1), line_dedup.Runs(fanout=3), collections.Counter()
+    rng, runs, want = np.random.default_rng(1), line_dedup.Runs(min_docs=3, fanout=3), collections.defaultdict(set)
     for _ in range(40):
-        keys = np.unique(rng.integers(0, 50, 12)).astype(np.uint64)
-        batch = np.zeros(len(keys), line_dedup._RUN)
-        batch["h"], batch["g"], batch["n"] = keys // 2, keys % 2, 1
+        keys = rng.integers(0, 50, 12).astype(np.uint64)
+        batch = np.zeros(len(keys), line_dedup.record(3))
+        batch["h"], batch["g"], batch["top"] = keys // 2, keys % 2, line_dedup.NONE
+        batch["top"][:, 0] = rng.integers(0, 9, len(keys))
         runs.add(batch)
-        want.update(keys.tolist())
+        for r in batch:
+            want[int(r["h"] * 2 + r["g"])].add(int(r["top"][0]))
     whole = runs.whole()
-    assert {int(r["h"] * 2 + r["g"]): int(r["n"]) for r in whole} == dict(want)
+    assert {int(r["h"] * 2 + r["g"]): [i for i in r["top"].tolist() if i != line_dedup.NONE] for r in whole} == {k: sorted(v, reverse=True)[:3] for k, v in want.items()}
     assert all(len(level) < 3 for level in runs.levels)
     assert sum(len(r) for level in runs.levels for r in level) == len(want)  # every key stands once
 
 
+def test_line_dedup_against_kept_runs(spark, corpus, tmp_path):
+    """A second batch of documents is judged with the lines of the first, whose runs were kept."""
+    rows, docs = corpus
+    first, second = docs.where("doc_id < 200"), docs.where("doc_id >= 200")
+    assert line_dedup.dedup_lines(first, keep=str(tmp_path / "a")).count() == first.count()
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(second, known=spark.read.parquet(str(tmp_path / "a")), keep=str(tmp_path / "b")).collect()}
+    whole = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {k: whole[k] for k in got} and len(got) > 50  # later documents have larger ids here
+    line = "a line that stands in one later document and two earlier ones, " * 2
+    third = spark.createDataFrame([(k, line, None, None, None) for k in (-900, -901)], docs.schema)
+    fourth = spark.createDataFrame([(-902, line, None, None, None)], docs.schema)
+    line_dedup.dedup_lines(third, known=spark.read.parquet(str(tmp_path / "b")), keep=str(tmp_path / "c")).count()
+    assert [r.n_dropped for r in line_dedup.dedup_lines(fourth, known=spark.read.parquet(str(tmp_path / "c"))).collect()] == [1]
+    assert [r.n_dropped for r in line_dedup.dedup_lines(fourth, known=spark.read.parquet(str(tmp_path / "b"))).collect()] == [0]
+
+
+def test_blocks(spark, corpus, monkeypatch):
+    """Many small blocks, and more blocks than partitions, give the same rows."""
+    from stratapack.llm import common
+
+    rows, docs = corpus
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit(5).cast("long")).when(F.col("doc_id") % 7 != 0, F.col("doc_id")))
+    ops = [lambda: sorted(map(str, substring_dedup.dedup_substrings(docs, window=9).collect())), lambda: sorted(map(str, line_dedup.dedup_lines(odd).collect()))]
+    want = [op() for op in ops]
+    monkeypatch.setattr(common, "BLOCK_BYTES", 900)
+    assert common.blocked(docs, "doc_id", "text")[1] > 30
+    assert [op() for op in ops] == want
+    monkeypatch.setattr(common, "MOST_PARTITIONS", 3)
+    assert [op() for op in ops] == want
+
+
 def components(sets, percent=75):
     parent = {i: i for i in sets}
 
@@ -160,6 +193,16 @@ def test_near_dedup_links_through_a_document_without_id(spark):
     assert sorted(((r.id, r.component_id, r.kept) for r in got), key=str) == [(1, 1, True), (3, 1, False), (4, 4, True), (None, 1, False), (None, None, True)]
 
 
+def test_near_duplicates_go_by_row(spark):
+    """An id with several texts keeps those that no smaller id has."""
+    x, y = prose(random.Random(1), 40, 10**6), prose(random.Random(2), 40, 10**6)
+    rows = [(3, x), (5, x), (5, y), (5, y), (6, y), (7, None), (7, ""), (7, x), (None, x)]
+    docs = spark.createDataFrame([(i, t, "c", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, __node0 string, id long")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.id for r in kept.collect()) == [0, 2, 3, 5, 6, 8]
+
+
 def test_rest_pairs_lose_no_link(spark):
     rng = random.Random(4)
     sets = {}
@@ -504,7 +547,7 @@ def test_chat_without_turn_links_with_nothing(spark):
     }
 
 
-def test_chat_query_checks_arguments(spark, tmp_path):
+def test_chat_checks_arguments(spark):
     f = '{"name":"f","parameters":{"type":"object","required":["x"],"properties":{"x":{"type":"integer"},"any":true}}}'
     one = lambda name, args, at="a": json.dumps({"tool_calls": [{"id": at, "name": name, "arguments": args}]})
     rows = [
@@ -514,8 +557,7 @@ def test_chat_query_checks_arguments(spark, tmp_path):
         (2, 0, "system", "You call f."), (2, 1, "assistant", one("f", {"x": "1"})), (2, 2, "assistant", one("f", "{x", "b")),
         (3, 0, "system", '{"tools":[]}'), (3, 1, "assistant", one("f", {"x": 1})), (4, 0, "system", '{"tools":[{"name":"f","input_schema":{"maxProperties":0}}]}'), (4, 1, "assistant", one("f", {"x": 1})), (None, 0, "assistant", one("f", "{x")),
     ]
-    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = chat.op5_chat_formatting(spark, str(tmp_path)).collect()
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert len(got) == len(rows)
     bad = {(r.conv_id, r.turn): json.loads(r.message)["tool_calls"][0]["violations"] for r in got if r.status == "invalid_arguments"}
     assert bad == {
@@ -523,7 +565,7 @@ def test_chat_query_checks_arguments(spark, tmp_path):
         (2, 2): ["$: not JSON"], (3, 1): ["no such tool"], (4, 1): ["$: maxProperties 0"], (None, 0): ["$: not JSON"],
     }
     assert all(r.n_invalid == ((r.conv_id, r.turn) in bad) for r in got)
-    assert [(r.status, r.call_turn) for r in got if r.role == "tool"] == [("ok", 2)]
+    assert [(r.status, r.links.turn) for r in got if r.role == "tool"] == [("ok", 2)]
 
 
 def test_json_schema():
@@ -534,6 +576,53 @@ def test_json_schema():
     assert chat.canonical({"b": 1.0, "a": [float("nan"), "é\n", True]}) == '{"a":[null,"é\\n",true],"b":1}'
 
 
+def test_json_schema_keywords():
+    """Pairs of a schema with values that fit it and values that don't."""
+    tree = {"$defs": {"n": {"type": "object", "properties": {"next": {"$ref": "#/$defs/n"}, "v": {"type": "integer"}}, "required": ["v"]}}, "$ref": "#/$defs/n"}
+    cases = [
+        ({"multipleOf": 0.1}, [0.3, 1, 0], [0.25]), ({"enum": [1, "a", [1]]}, [1, 1.0, [1.0]], [True, "1", [True]]), ({"const": 0}, [0, 0.0], [False, None]), ({"not": {"type": "string"}}, [1], ["a"]),
+        ({"prefixItems": [{"type": "integer"}, {"type": "string"}], "items": False}, [[1, "a"], [1], []], [["a"], [1, "a", 2]]), ({"patternProperties": {"^n_": {"type": "integer"}}, "additionalProperties": False}, [{"n_a": 1}], [{"n_a": "1"}, {"x": 1}]),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"required": ["c"]}}, [{"a": 1, "b": 1}, {"c": 1}], [{"a": 1}, {}]), ({"contains": {"const": 1}, "maxContains": 1}, [[1, 2]], [[], [2], [1, 1]]),
+        ({"propertyNames": {"maxLength": 1}}, [{"a": 1}], [{"ab": 1}]), ({"dependentRequired": {"a": ["b"]}}, [{}, {"a": 1, "b": 2}], [{"a": 1}]), (tree, [{"v": 1, "next": {"v": 2}}], [{"v": 1, "next": {}}, {"next": {"v": 1}}]),
+        ({"oneOf": [{"type": "integer"}, {"minimum": 3}]}, [1, 3.5], [4, 2.5]), ({"uniqueItems": True}, [[1, True, "1"]], [[1, 1.0]]), (True, [1], []), (False, [], [1]),
+    ]
+    for schema, good, bad in cases:
+        assert not any(chat.violations(v, schema) for v in good), schema
+        assert all(chat.violations(v, schema) for v in bad), schema
+
+
+def test_chat_odd_json(spark):
+    """Nothing that a message can say stops the job."""
+    deep = "[" * 1500 + "]" * 1500
+    schema = lambda x: json.dumps({"tools": [{"name": "f", "parameters": x}]})
+    one = lambda args: '{"tool_calls":[{"id":"a","name":"f","arguments":%s}]}' % args
+    cases = [
+        ({}, one('{"x":"\\ud800"}'), "ok"), ({}, one(f'{{"x":{deep}}}'), "ok"), ({}, one(json.dumps(deep)), "invalid_arguments"), ({"properties": {"x": {"multipleOf": 0}}}, one('{"x":1}'), "invalid_arguments"),
+        ({"properties": {"x": {"pattern": "("}}}, one('{"x":"a"}'), "invalid_arguments"), ({"$ref": "#"}, one('{"x":1}'), "invalid_arguments"), ({"$ref": "http://other"}, one("{}"), "invalid_arguments"), ({}, one("NaN"), "ok"), ({}, '{"tool_calls":[{"id":{"a":[1]},"name":7,"arguments":null},3,null]}', "invalid_arguments"),
+        ({}, one('"{\\"x\\":1e400}"'), "ok"), ({"minLength": "a"}, one('"\\"s\\""'), "invalid_arguments"), ({}, '{"tool_calls":{}}', "ok"),
+    ]
+    rows = [m for k, (s, call, _) in enumerate(cases) for m in ((k, 0, "system", schema(s)), (k, 1, "assistant", call), (k, 1, "assistant", call), (k, 2, "tool", '{"tool_call_id":"a"}'))]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    for k, (_, call, want) in enumerate(cases):
+        assert [r.status for r in got if r.conv_id == k and r.role == "assistant"] == [want] * 2, call
+    message = next(r.message for r in got if r.conv_id == 0 and r.turn == 1)
+    assert "\ufffd" in message and json.loads(message)
+
+
+def test_chat_query_links(spark):
+    """The query's replayed conversations have every status, and results before their calls are sorted behind them."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(14) for t in range(8)]
+    made = chat.replayed(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.format_chat(made).collect()
+    assert {r.status for r in got} == {"ok", "invalid_arguments", "duplicate_id", "orphan"}
+    moved = [r for r in got if r.links and r.links.turn >= r.turn]
+    assert moved
+    for r in moved:
+        call = next(x for x in got if (x.conv_id, x.turn, x.role) == (r.conv_id, r.links.turn, "assistant"))
+        assert call.order_key < r.order_key
+
+
 def test_text_kernels_match_python():
     from stratapack.llm.common import Words, text_buffers
 
