@@ -23,8 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import U64, Words, chunks, cut, distinct_per_text, mix, shingles, table, text_buffers
+from .common import U64, Words, chunks, cut, distinct_per_text, free_name, mix, shingles, table, text_buffers
 
 K, MATCHES = 64, 32
 #: Postings of up to so many nodes give all their pairs at once.
@@ -83,7 +85,7 @@ def prefixes(nodes: DataFrame) -> DataFrame:
     stats = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     own = posts.join(stats, "token").groupBy("node", "size").agg(F.collect_list(F.struct("n", "token")).alias("t"), F.sum(F.log("n")).alias("score"))  # K at most
     own = own.where(F.size("t") >= MATCHES).withColumn("t", F.slice(F.sort_array("t"), F.lit(1), F.size("t") - (MATCHES - 1)))
-    prefix = own.select("node", "size", "score", F.explode("t.token").alias("token"))
+    prefix = cut(own.select("node", "size", "score", F.explode("t.token").alias("token")))  # written, so that lengths and leaders don't make it again
     lead = prefix.groupBy("token").agg(F.count("*").alias("m"), F.max(F.struct("score", "node", "size")).alias("l")).where("m > 1")
     return prefix.join(lead.select("token", "m", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size")), "token").select("node", "size", "token", "m", "leader", "leader_size")
 
@@ -191,10 +193,15 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(id, n_shingles, component_id, kept) of each row of `docs`.
 
     Words are lower-cased (A-Z); fewer than five words are one shingle.  Null and empty texts have no shingles and
-    are linked with nothing: they are their own component.  component_id is the smallest id of the component and kept whether it is the row's own.  Rows of
+    are linked with nothing: they are their own component.  Very long texts give whole sets.  component_id is the smallest id of the component and kept whether it is the row's own.  Rows of
     equal id are separate texts under one id.  A row without id links others but can't name a component; its kept is true only if
     its component has no id at all, and component_id is null then.  An empty table gives an empty table.
     """
+    return node_components(docs, doc_id, text, percent).drop("node")
+
+
+def node_components(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """near_components(), and each row's node: the hash of its set, null without shingles."""
     rows = cut(signatures(docs, doc_id, text))
     nodes = cut(rows.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")))
     posts = cut(prefixes(nodes))
@@ -221,7 +228,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_node = named.join(smallest, "label").select("node", "component_id")
     out = rows.select("id", "n_shingles", "node").join(by_node, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    return out.select("id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), "node")
 
 
 def _links(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -230,12 +237,47 @@ def _links(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, pairs: Dat
     return cut(confirm(pairs, full_sets(docs, wanted, doc_id, text), percent))
 
 
+def _few(frame: DataFrame, width: int) -> DataFrame:
+    """Broadcast if it is measured to be small."""
+    return F.broadcast(frame) if frame.count() * width <= BROADCAST_BYTES else frame
+
+
+def with_node(docs: DataFrame, text: str, to: str) -> DataFrame:
+    """`docs` with the node of each row's text in column `to`."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def scan(batches):
+        for batch in batches:
+            for chunk in chunks(batch, text):
+                _, first, key = _sets(chunk, text)
+                yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(key, mask=np.diff(first) == 0)], schema=arrow)
+
+    return docs.mapInArrow(scan, schema)
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of `docs` that stay: of each component the document of the smallest id, and all rows without id."""
-    gone = cut(near_components(docs, doc_id, text, percent).where(~F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias(doc_id)).distinct())
-    if gone.count() * 16 <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    """The rows of `docs` that stay: of each component the rows with its smallest id, and all rows without id.
+
+    Rows of equal id are judged each by its own text, and equal rows alike.  What near_components() says of null, empty and long texts holds.
+    No column of `docs` is changed.
+    """
+    verdicts = cut(node_components(docs, doc_id, text, percent).where("id is not null"))
+    by_id = verdicts.groupBy("id").agg(F.max("kept").alias("some"), F.min("kept").alias("all")).where("not all")
+    key, node = free_name("id", docs.columns), free_name("node", docs.columns)
+    by_id = cut(by_id.select(F.col("id").alias(key), "some"))
+    gone = _few(by_id.where("not some").drop("some"), 16)
+    same = lambda other: F.col(f"`{doc_id}`").cast("bigint") == other[key]
+    left = docs.join(gone, same(gone), "left_anti")
+    # ids of which some rows stay and others go: their rows are told apart by their texts
+    mixed = by_id.where("some").drop("some")
+    if mixed.limit(1).count():
+        mixed = _few(mixed, 16)
+        ends = verdicts.where("not kept").select(F.col("id").alias(key), F.col("node").alias(f"{node}_gone")).distinct()
+        rows = with_node(left.join(mixed, same(mixed), "left_semi"), text, node)
+        rows = rows.join(ends, same(ends) & F.col(node).eqNullSafe(ends[f"{node}_gone"]), "left_anti").drop(node)
+        left = left.join(mixed, same(mixed), "left_anti").union(rows)
+    return left
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
