@@ -252,6 +252,43 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {r.doc_id: [m.item_id for m in r.matches] for r in got.collect()} == {1: [1], 2: [2]}
 
 
+def test_hamming_index():
+    """Of pairs at the threshold all lie within the radius, and the blocks admit few unrelated pairs."""
+    rng = np.random.default_rng(5)
+    make = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    lost, total = 0, 0
+    for n in (5, 6, 7, 13, 28, 70, 140, 400):
+        change = max(k for k in range(n) if 4 * (n - k) >= 3 * (n + k))
+        for _ in range(150):
+            item = make(n)
+            other = np.concatenate([item[: n - change], make(change)])
+            d = int(np.bitwise_count(decontamination.fingerprint(item) ^ decontamination.fingerprint(other)).sum())
+            lost, total = lost + (d > decontamination.RADIUS), total + 1
+    assert lost == 0 and total == 1200
+    prints = np.stack([decontamination.fingerprint(make(30)) for _ in range(300)])
+    w, i, d, admitted = decontamination.near(prints, prints, decontamination.RADIUS)
+    assert (w == i).all() and len(w) == 300 and (d == 0).all() and admitted < 0.06 * 300 * 300
+
+
+def test_decontamination_with_runs(spark):
+    """Runs of one word: weights, not their squares, decide the distance."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    items = [(k, " ".join([*base[: 88 + k], *["zero"] * 14])) for k in range(12)]
+    docs = [(k, " ".join(["a", *base[: 88 + k], *["other"] * 14, "b"])) for k in range(12)]
+    got = decontamination.match_benchmark(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    for r in got:
+        want = set()
+        w = r.text.split()
+        for k, t in items:
+            a = grams(t.split())
+            n = len(t.split())
+            if any(4 * (a & b).total() >= 3 * (a | b).total() for b in (grams(w[s : s + n]) for s in range(max(1, len(w) - n + 1)))):
+                want.add(k)
+        assert {m.item_id for m in r.matches} == want and r.doc_id in want
+
+
 @pytest.fixture(scope="module")
 def model():
     return sentencepiece_nbest.Model()
