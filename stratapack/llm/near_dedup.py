@@ -31,6 +31,8 @@ from .common import U64, Words, chunks, cut, distinct_per_text, free_name, mix,
 K, MATCHES = 64, 32
 #: Postings of up to so many nodes give all their pairs at once.
 SHORT = 12
+#: A posting's members are dealt to parts of about so many.
+SHARE = 1000
 #: Node lists of up to so many bytes are broadcast, larger ones joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 _A = np.random.Generator(np.random.PCG64(75)).integers(1, 1 << 63, K, dtype=np.uint64) * U64(2) + U64(1)
@@ -85,9 +87,11 @@ def prefixes(nodes: DataFrame) -> DataFrame:
     stats = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     own = posts.join(stats, "token").groupBy("node", "size").agg(F.collect_list(F.struct("n", "token")).alias("t"), F.sum(F.log("n")).alias("score"))  # K at most
     own = own.where(F.size("t") >= MATCHES).withColumn("t", F.slice(F.sort_array("t"), F.lit(1), F.size("t") - (MATCHES - 1)))
-    prefix = cut(own.select("node", "size", "score", F.explode("t.token").alias("token")))  # written, so that lengths and leaders don't make it again
-    lead = prefix.groupBy("token").agg(F.count("*").alias("m"), F.max(F.struct("score", "node", "size")).alias("l")).where("m > 1")
-    return prefix.join(lead.select("token", "m", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size")), "token").select("node", "size", "token", "m", "leader", "leader_size")
+    prefix = cut(own.select("node", "size", "score", F.explode("t").alias("t")).select("node", "size", "score", "t.token", F.ceil(F.col("t.n") / SHARE).cast("int").alias("parts")))  # written, so that lengths and leaders don't make it again
+    lead = prefix.groupBy("token", "parts").agg(F.count("*").alias("m"), F.max(F.struct("score", "node", "size")).alias("l")).where("m > 1")
+    lead = lead.select("token", "m", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = prefix.withColumn("part", F.pmod(F.col("node"), F.col("parts")).cast("int"))  # the members of a long posting meet its leader in several parts
+    return dealt.join(lead, ["token", "part"]).select("node", "size", "token", "m", "leader", "leader_size")
 
 
 def _sizes_fit(x: str, y: str, percent: int) -> Column:
