@@ -33,13 +33,34 @@ def read_varint(data: bytes, at: int = 0) -> tuple[int, int]:
     raise FormatError("a length has more than 64 bits")
 
 
+def _sum_bytes(byte: np.ndarray, parts, n: int) -> bytes:
+    """n bytes: `parts` are bytes of the values for places that follow each other from `byte` on.  Values don't share bits, so their bytes can be added up."""
+    out = np.zeros(n + 8, np.uint8)
+    for k, part in enumerate(parts):
+        out += np.bincount(byte + k, part.astype(np.uint8), n + 8).astype(np.uint8)
+    return out[:n].tobytes()
+
+
 def pack(values: np.ndarray, widths: np.ndarray) -> bytes:
-    """Values of the given widths (64 at most), the most significant bit first, filled up with 0 bits."""
+    """Values of the given widths (56 at most), the most significant bit first, filled up with 0 bits."""
     widths = np.broadcast_to(np.asarray(widths, np.int64), np.shape(values))
+    if not len(widths):
+        return b""
+    ends = np.cumsum(widths)
+    start = ends - widths
+    moved = np.asarray(values, np.uint64) << (64 - widths - (start & 7)).astype(np.uint64)  # the first byte is the highest
+    reach = int(widths.max() + 14) >> 3
+    return _sum_bytes(start >> 3, (moved >> np.uint64(56 - 8 * k) for k in range(reach)), int(ends[-1]) + 7 >> 3)
+
+
+def pack_low_first(values: np.ndarray, widths: np.ndarray) -> bytes:
+    """Values of the given widths (56 at most), the least significant bit first, from the lowest bit of each byte on."""
+    if not len(widths):
+        return b""
     ends = np.cumsum(widths)
-    n = int(ends[-1]) if len(ends) else 0
-    left = np.repeat(ends, widths) - 1 - np.arange(n)
-    return np.packbits((np.repeat(np.asarray(values, np.uint64), widths) >> left.astype(np.uint64) & np.uint64(1)).astype(np.uint8)).tobytes()
+    start = ends - widths
+    moved = np.asarray(values, np.uint64) << (start & 7).astype(np.uint64)
+    return _sum_bytes(start >> 3, (moved >> np.uint64(8 * k) for k in range(int(widths.max() + 14) >> 3)), int(ends[-1]) + 7 >> 3)
 
 
 def window_values(data: bytes, width: int = 16) -> np.ndarray:
