@@ -129,25 +129,39 @@ def alias_of(word: Column, names: dict[str, str]) -> Column:
 # --- formatting and paths -----------------------------------------------------------------------
 
 
-def _two(x: Column, unit: str) -> Column:
-    """Two decimals; a tie goes to the even digit, as C's printf does it, and not up."""
-    return F.format_string(f"%.2f {unit}", F.bround(x, 2))
+def fixed(x: Column, places: int) -> Column:
+    """A double with so many decimals, as C's printf writes it: the binary value is rounded, and a tie goes to the even digit.
+
+    x * 10**places is taken as a rounded product and its exact error (Dekker's split), so that ties are told from values next to them.
+    Beyond 2**45 the decimals are the JVM's.
+    """
+    scale = 10**places
+    size = F.abs(x)
+    high = size * F.lit(134217729.0) - (size * F.lit(134217729.0) - size)
+    product = size * F.lit(float(scale))
+    error = (high * F.lit(float(scale)) - product) + (size - high) * F.lit(float(scale))
+    whole = F.floor(product)
+    over = (product - whole - F.lit(0.5)) + error
+    up = (over > 0) | ((over == 0) & (whole % 2 == 1))
+    digits = whole.cast("bigint") + up.cast("bigint")
+    text = F.format_string(f"%s%d.%0{places}d", F.when(F.signum(x) < 0, F.lit("-")).otherwise(F.lit("")), F.floor(digits / scale).cast("bigint"), F.pmod(digits, F.lit(scale)))
+    return F.when(size < F.lit(float(1 << 45)), text).otherwise(F.format_string(f"%.{places}f", x))
 
 
 def human_size(n: Column) -> Column:
     """1024-based, two decimals from KiB on."""
     out = F.when(n < 1024, F.format_string("%d B", n.cast("bigint")))
     for k, unit in enumerate(["KiB", "MiB", "GiB", "TiB"], 1):
-        out = out.when(n < 1024 ** (k + 1), _two(n.cast("double") / 1024**k, unit))
-    return out.otherwise(_two(n.cast("double") / 1024**5, "PiB"))
+        out = out.when(n < 1024 ** (k + 1), F.concat(fixed(n.cast("double") / 1024**k, 2), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(fixed(n.cast("double") / 1024**5, 2), F.lit(" PiB")))
 
 
 def human_rate(mbps: Column) -> Column:
-    return F.when(mbps >= 1000, _two(mbps / 1000, "GB/s")).otherwise(_two(mbps, "MB/s"))
+    return F.when(mbps >= 1000, F.concat(fixed(mbps / 1000, 2), F.lit(" GB/s"))).otherwise(F.concat(fixed(mbps, 2), F.lit(" MB/s")))
 
 
 def format_ratio(ratio: Column) -> Column:
-    return F.format_string("%.4f", F.bround(ratio, 4))
+    return fixed(ratio, 4)
 
 
 _SIZE = r"^(\d+)(?:([kKmMgG])(?:[iI]?[bB])?)?$"
