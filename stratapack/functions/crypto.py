@@ -1,4 +1,4 @@
-"""Checksums and ciphers: combinable CRC-32, HMAC-SHA256, PBKDF2 and ChaCha20 (RFC 8439)."""
+"""Checksums and ciphers: combinable CRC-32, incremental digests, HMAC-SHA256, PBKDF2 and ChaCha20 (RFC 8439)."""
 
 from __future__ import annotations
 
@@ -87,25 +87,67 @@ def _quarter(s, a, b, c, d):
         s[z] = s[z] << np.uint32(turn) | s[z] >> np.uint32(32 - turn)
 
 
-def chacha20(key: bytes, nonce: bytes, data: bytes, counter: int = 1) -> bytes:
-    """`data` under the key stream; all blocks are computed side by side."""
-    n = -(-len(data) // 64)
-    if len(key) != 32 or len(nonce) != 12:
+#: Blocks of key stream that are computed side by side.
+_SIDE = 1 << 15
+
+
+def chacha20_all(key: bytes, nonces: list[bytes], texts: list[bytes], counter: int = 1) -> list[bytes]:
+    """Each text under the key stream of its own nonce; the blocks of all texts are computed side by side."""
+    blocks = np.array([-(-len(t) // 64) for t in texts], np.int64)
+    if len(key) != 32 or any(len(n) != 12 for n in nonces):
         raise ValueError("a key has 32 bytes and a nonce 12")
-    if counter + n > 1 << 32:
+    if counter + int(blocks.max(initial=0)) > 1 << 32:
         raise ValueError("too much data for one nonce")
-    if not n:
-        return b""
+    if not blocks.sum():
+        return [b""] * len(texts)
     head = np.frombuffer(b"expand 32-byte k" + key, "<u4")
-    start = [np.full(n, w, np.uint32) for w in head] + [np.arange(counter, counter + n, dtype=np.uint64).astype(np.uint32)] + [np.full(n, w, np.uint32) for w in np.frombuffer(nonce, "<u4")]
-    s = [w.copy() for w in start]
-    for _ in range(10):
-        for k in range(4):
-            _quarter(s, k, k + 4, k + 8, k + 12)
-        for k in range(4):
-            _quarter(s, k, (k + 1) % 4 + 4, (k + 2) % 4 + 8, (k + 3) % 4 + 12)
-    stream = np.stack([a + b for a, b in zip(s, start, strict=True)], axis=1).astype("<u4").tobytes()
-    return (np.frombuffer(data, np.uint8) ^ np.frombuffer(stream, np.uint8)[: len(data)]).tobytes()
+    words = np.frombuffer(b"".join(nonces), "<u4").reshape(-1, 3)
+    owner = np.repeat(np.arange(len(texts)), blocks)
+    count = (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks) + counter).astype(np.uint32)
+    stream = np.empty((len(owner), 16), "<u4")
+    for k in range(0, len(owner), _SIDE):
+        own = owner[k : k + _SIDE]
+        start = [np.full(len(own), w, np.uint32) for w in head] + [count[k : k + _SIDE]] + [words[own, j] for j in range(3)]
+        s = [w.copy() for w in start]
+        for _ in range(10):
+            for q in range(4):
+                _quarter(s, q, q + 4, q + 8, q + 12)
+            for q in range(4):
+                _quarter(s, q, (q + 1) % 4 + 4, (q + 2) % 4 + 8, (q + 3) % 4 + 12)
+        for j in range(16):
+            stream[k : k + _SIDE, j] = s[j] + start[j]
+    flat, out, at = stream.view(np.uint8).reshape(-1), [], 0
+    for t, n in zip(texts, blocks.tolist(), strict=True):
+        out.append((np.frombuffer(t, np.uint8) ^ flat[at : at + len(t)]).tobytes())
+        at += 64 * n
+    return out
+
+
+def chacha20(key: bytes, nonce: bytes, data: bytes, counter: int = 1) -> bytes:
+    """`data` under the key stream."""
+    return chacha20_all(key, [nonce], [data], counter)[0]
+
+
+class Digest:
+    """CRC-32, SHA-256 and, with a key, HMAC-SHA256 of bytes that come piece by piece."""
+
+    def __init__(self, key: bytes | None = None):
+        self.size, self.crc, self._sha = 0, 0, hashlib.sha256()
+        self._mac = None if key is None else hmac.new(key, digestmod=hashlib.sha256)
+
+    def update(self, data: bytes) -> Digest:
+        self.size += len(data)
+        self.crc = zlib.crc32(data, self.crc)
+        self._sha.update(data)
+        if self._mac is not None:
+            self._mac.update(data)
+        return self
+
+    def sha256(self) -> bytes:
+        return self._sha.digest()
+
+    def mac(self) -> bytes | None:
+        return None if self._mac is None else self._mac.digest()
 
 
 def same(a: bytes, b: bytes) -> bool:

@@ -1,13 +1,11 @@
 """The chunk pipeline: files become tables of chunks that are encoded, kept, decoded and verified independently.
 
-A file is a row (file_id, content).  A chunk is a row (file_id, chunk_id, ...).  Only kernels that make bytes run in Python; sizes, flags, offsets,
+A file is a row (file_id, content), or chunks from the beginning (sources.container.ByteRanges).  A chunk is a row (file_id, chunk_id, ...).  Only kernels that make bytes run in Python; sizes, flags, offsets,
 totals and checks are DataFrame expressions.  Secrets are derived on the driver and reach the tasks in closures, never in plans.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import os
 import zlib
 
@@ -19,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.bits import FormatError
 from ..functions.codecs import CODECS, clamp_level
-from ..functions.crypto import KDF_ITERATIONS, chacha20, chunk_nonce, crc32_fold, derive_keys, hmac_sha256, same
+from ..functions.crypto import KDF_ITERATIONS, chacha20_all, chunk_nonce, crc32_combine, derive_keys, hmac_sha256, same
 
 #: A batch that a kernel emits holds at most about so many bytes.
 BATCH_BYTES = 16 << 20
@@ -69,40 +67,64 @@ def split_chunks(files: DataFrame, chunk_size: int) -> DataFrame:
     return files.select("file_id", "content").mapInArrow(split, CHUNK)
 
 
-ENCODED = "file_id bigint, chunk_id int, algo string, orig_size bigint, comp_size bigint, raw boolean, crc bigint, payload_crc bigint, payload binary"
+ENCODED = "file_id bigint, chunk_id int, algo string, orig_size bigint, comp_size bigint, raw boolean, crc bigint, payload_crc bigint, salt binary, payload binary"
+#: Chunks that a kernel works on side by side, in rows and in bytes.
+_ROWS, _BYTES = 256, 8 << 20
 
 
 class Secret:
-    """Keys of one password for many files; each file's nonce follows from its id and a random salt."""
+    """Keys of one password for many files.  A nonce follows from the file's id, the chunk's number and a salt that is drawn anew for each table that is made, and which its rows carry."""
 
     def __init__(self, password: str, salt: bytes | None = None, iterations: int = KDF_ITERATIONS):
         self.salt = salt or os.urandom(16)
         self.cipher_key, self.mac_key = derive_keys(password, self.salt, iterations)
 
-    def nonce(self, file_id: int, chunk_id: int) -> bytes:
-        return chunk_nonce(hmac_sha256(self.cipher_key, b"nonce", str(file_id).encode())[:12], chunk_id)
+    def nonce(self, file_id: int, chunk_id: int, salt: bytes) -> bytes:
+        return chunk_nonce(hmac_sha256(self.cipher_key, b"nonce", salt, str(file_id).encode())[:12], chunk_id)
+
+    def apply(self, rows: list[dict], texts: list[bytes]) -> list[bytes]:
+        """The texts under the key streams of their chunks."""
+        return chacha20_all(self.cipher_key, [self.nonce(r["file_id"], r["chunk_id"], r["salt"] or b"") for r in rows], texts)
 
     def __repr__(self) -> str:
         return "Secret(...)"
 
 
+def _parts(batches, column: str):
+    """Rows of some chunks at a time."""
+    held, size = [], 0
+    for r in _rows(batches):
+        held.append(r)
+        size += len(r[column] or b"")
+        if len(held) >= _ROWS or size >= _BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encode_chunks(chunks: DataFrame, algo: str = "lz77", level: int = 6, secret: Secret | None = None) -> DataFrame:
     """The chunk table: each chunk encoded, or kept raw where that isn't smaller, then encrypted if there is a secret.
 
-    A column `algo` of `chunks` chooses the codec by row; `algo` holds for rows without.
+    A column `algo` of `chunks` chooses the codec by row; `algo` holds for rows without.  The salt of the nonces is drawn here, once: a table that is computed again is the same, a new table of
+    the same files has other key streams.
     """
-    schema, level = to_arrow_schema(T._parse_datatype_string(ENCODED)), clamp_level(level)
+    schema, level, salt = to_arrow_schema(T._parse_datatype_string(ENCODED)), clamp_level(level), None if secret is None else os.urandom(16)
 
     def encode(batches):
         def rows():
-            for r in _rows(batches):
-                data, codec = r["data"] or b"", CODECS[r.get("algo") or algo]
-                out = codec.encode(data, level)
-                raw = len(out) >= len(data)
-                out = data if raw else out
+            for part in _parts(batches, "data"):
+                made, out = [], []
+                for r in part:
+                    data, codec = r["data"] or b"", CODECS[r.get("algo") or algo]
+                    packed = codec.encode(data, level)
+                    raw = len(packed) >= len(data)
+                    out.append(data if raw else packed)
+                    made.append({"file_id": r["file_id"], "chunk_id": r["chunk_id"], "algo": codec.name, "orig_size": len(data), "comp_size": len(out[-1]), "raw": raw, "crc": zlib.crc32(data), "salt": salt})
                 if secret is not None:
-                    out = chacha20(secret.cipher_key, secret.nonce(r["file_id"], r["chunk_id"]), out)
-                yield {"file_id": r["file_id"], "chunk_id": r["chunk_id"], "algo": codec.name, "orig_size": len(data), "comp_size": len(out), "raw": raw, "crc": zlib.crc32(data), "payload_crc": zlib.crc32(out), "payload": out}
+                    out = secret.apply(made, out)
+                for r, payload in zip(made, out, strict=True):
+                    yield r | {"payload_crc": zlib.crc32(payload), "payload": payload}
 
         yield from _emit(rows(), schema, "payload")
 
@@ -124,27 +146,29 @@ def decode_chunks(encoded: DataFrame, secret: Secret | None = None) -> DataFrame
 
     def decode(batches):
         def rows():
-            for r in _rows(batches):
-                out = {"file_id": r["file_id"], "chunk_id": r["chunk_id"], "data": None, "error": None}
-                payload = r["payload"] or b""
-                if len(payload) != r["comp_size"] or zlib.crc32(payload) != r["payload_crc"]:
-                    yield out | {"error": "payload checksum differs"}
-                    continue
+            for part in _parts(batches, "payload"):
+                payloads = [r["payload"] or b"" for r in part]
+                whole = [len(p) == r["comp_size"] and zlib.crc32(p) == r["payload_crc"] for r, p in zip(part, payloads, strict=True)]
                 if secret is not None:
-                    payload = chacha20(secret.cipher_key, secret.nonce(r["file_id"], r["chunk_id"]), payload)
-                try:
-                    data = payload if r["raw"] else CODECS[r["algo"]].decode(payload, r["orig_size"])
-                except (FormatError, KeyError) as e:
-                    yield out | {"error": str(e)}
-                    continue
-                if len(data) != r["orig_size"] or zlib.crc32(data) != r["crc"]:
-                    yield out | {"error": "checksum differs"}
-                    continue
-                yield out | {"data": data}
+                    payloads = secret.apply(part, payloads)
+                for r, payload, ok in zip(part, payloads, whole, strict=True):
+                    out = {"file_id": r["file_id"], "chunk_id": r["chunk_id"], "data": None, "error": None}
+                    if not ok:
+                        yield out | {"error": "payload checksum differs"}
+                        continue
+                    try:
+                        data = payload if r["raw"] else CODECS[r["algo"]].decode(payload, r["orig_size"])
+                    except (FormatError, KeyError) as e:
+                        yield out | {"error": str(e)}
+                        continue
+                    if len(data) != r["orig_size"] or zlib.crc32(data) != r["crc"]:
+                        yield out | {"error": "checksum differs"}
+                        continue
+                    yield out | {"data": data}
 
         yield from _emit(rows(), schema, "data")
 
-    return encoded.select("file_id", "chunk_id", "algo", "orig_size", "comp_size", "raw", "crc", "payload_crc", "payload").mapInArrow(decode, DECODED)
+    return encoded.select("file_id", "chunk_id", "algo", "orig_size", "comp_size", "raw", "crc", "payload_crc", "salt", "payload").mapInArrow(decode, DECODED)
 
 
 def join_chunks(decoded: DataFrame) -> DataFrame:
@@ -165,48 +189,67 @@ def join_chunks(decoded: DataFrame) -> DataFrame:
     return out.mapInArrow(join, "file_id bigint, content binary, error string")
 
 
+#: Chunks whose checks are folded in one group: a file of more chunks is folded group by group, and then its groups.
+FOLD = 4096
+
+
 def manifest(encoded: DataFrame) -> DataFrame:
-    """One row a file: totals, ratio, and the CRCs of content and payload, folded from the chunks' own without reading payloads again."""
-    parts = F.sort_array(F.collect_list(F.struct("chunk_id", "crc", "orig_size", "payload_crc", "comp_size")))
-    out = encoded.groupBy("file_id").agg(
-        F.count("*").cast("int").alias("chunk_count"), F.sum("orig_size").alias("orig_size"), F.sum("comp_size").alias("comp_size"),
-        F.sum(F.col("raw").cast("int")).cast("int").alias("raw_chunks"), F.min("algo").alias("algo"), parts.alias("parts"),
-    )
-    kind = "file_id bigint, chunk_count int, orig_size bigint, comp_size bigint, raw_chunks int, algo string, crc bigint, payload_crc bigint"
-    schema = to_arrow_schema(T._parse_datatype_string(kind))
+    """One row a file: totals, ratio, and the CRCs of content and payload, folded from the chunks' own without reading payloads again.
+
+    CRCs of neighbours combine to the CRC of both, so groups of FOLD chunks are folded first, and then the groups of a file: no row holds more than FOLD checks, or one for each FOLD chunks.
+    """
+    folded = encoded.select(
+        "file_id", F.floor(F.col("chunk_id") / FOLD).alias("part"), "chunk_id", F.lit(1).cast("bigint").alias("chunk_count"), "orig_size", "comp_size", F.col("raw").cast("bigint").alias("raw_chunks"), "algo", "crc", "payload_crc"
+    )
+    for by in (["file_id", "part"], ["file_id"]):
+        place = "chunk_id" if len(by) == 2 else "part"
+        checks = F.sort_array(F.collect_list(F.struct(place, "crc", "orig_size", "payload_crc", "comp_size")))
+        grouped = folded.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("chunk_count", "raw_chunks", "orig_size", "comp_size")], F.min("algo").alias("algo"), checks.alias("checks"))
+        folded = _fold(grouped)
+    out = folded.select("file_id", F.col("chunk_count").cast("int").alias("chunk_count"), "orig_size", "comp_size", F.col("raw_chunks").cast("int").alias("raw_chunks"), "algo", "crc", "payload_crc")
+    return out.withColumn("ratio", F.when(F.col("orig_size") > 0, F.col("comp_size") / F.col("orig_size")).otherwise(1.0))
+
+
+def _fold(grouped: DataFrame) -> DataFrame:
+    """Replaces `checks` by crc and payload_crc of what they stand for together."""
+    schema = T.StructType([f for f in grouped.schema.fields if f.name != "checks"]).add("crc", T.LongType()).add("payload_crc", T.LongType())
+    arrow = to_arrow_schema(schema)
 
     def fold(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                parts = r.pop("parts")
-                rows.append(r | {"crc": crc32_fold((p["crc"], p["orig_size"]) for p in parts), "payload_crc": crc32_fold((p["payload_crc"], p["comp_size"]) for p in parts)})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            crcs = []
+            for checks in batch.column("checks").to_pylist():
+                crc = payload_crc = 0
+                for c in checks:
+                    crc, payload_crc = crc32_combine(crc, c["crc"], c["orig_size"]), crc32_combine(payload_crc, c["payload_crc"], c["comp_size"])
+                crcs.append((crc, payload_crc))
+            cols = [batch.column(f.name) for f in schema.fields[:-2]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([a for a, _ in crcs], pa.int64()), pa.array([b for _, b in crcs], pa.int64())], schema=arrow)
 
-    folded = out.mapInArrow(fold, kind)
-    return folded.withColumn("ratio", F.when(F.col("orig_size") > 0, F.col("comp_size") / F.col("orig_size")).otherwise(1.0))
+    return grouped.mapInArrow(fold, schema)
 
 
 def macs(encoded: DataFrame, secret: Secret) -> DataFrame:
-    """(file_id, mac): HMAC over a file's payloads in order, behind its chunk table.
+    """(file_id, mac): a tree of HMACs.  Each chunk has one over its row and payload, each group of FOLD chunks one over theirs in order, and the file one over its groups' with the number of chunks.
 
-    The chain is sequential, so it runs over the sorted partition of each file and holds one chunk at a time.
+    Payloads are not shuffled and a file of any size is many tasks: only 32 bytes a chunk are.
     """
 
-    def chain(batches):
-        file_id, h, rows = None, None, []
-        for r in _rows(batches):
-            if h is None or r["file_id"] != file_id:
-                if h is not None:
-                    rows.append((file_id, h.digest()))
-                file_id, h = r["file_id"], hmac.new(secret.mac_key, digestmod=hashlib.sha256)
-            h.update(f"{r['file_id']},{r['chunk_id']},{r['algo']},{r['orig_size']},{r['comp_size']},{r['raw']};".encode())
-            h.update(r["payload"] or b"")
-        if h is not None:
-            rows.append((file_id, h.digest()))
-        yield pa.record_batch([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["file_id", "mac"])
-
-    return encoded.repartition("file_id").sortWithinPartitions("file_id", "chunk_id").mapInArrow(chain, "file_id bigint, mac binary")
+    def leaves(batches):
+        for part in _parts(batches, "payload"):
+            made = [hmac_sha256(secret.mac_key, f"{r['file_id']},{r['chunk_id']},{r['algo']},{r['orig_size']},{r['comp_size']},{r['raw']};".encode(), r["salt"] or b"", r["payload"] or b"") for r in part]
+            yield pa.record_batch([pa.array([r["file_id"] for r in part], pa.int64()), pa.array([r["chunk_id"] for r in part], pa.int64()), pa.array(made, pa.binary())], names=["file_id", "place", "mac"])
+
+    def fold(batches):
+        for batch in batches:
+            made = [hmac_sha256(secret.mac_key, b"".join(f"{x['place']},{x['n']};".encode() + x["mac"] for x in found)) for found in batch.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("place"), batch.column("n"), pa.array(made, pa.binary())], names=["file_id", "place", "n", "mac"])
+
+    out = encoded.select("file_id", "chunk_id", "algo", "orig_size", "comp_size", "raw", "salt", "payload").mapInArrow(leaves, "file_id bigint, place bigint, mac binary").withColumn("n", F.lit(1).cast("bigint"))
+    for above in (F.floor(F.col("place") / FOLD), F.lit(0)):
+        grouped = out.withColumn("above", above.cast("bigint")).groupBy("file_id", "above").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "n", "mac"))).alias("found"))
+        out = grouped.withColumnRenamed("above", "place").mapInArrow(fold, "file_id bigint, place bigint, n bigint, mac binary")
+    return out.select("file_id", "mac")
 
 
 def authenticate(encoded: DataFrame, expected: DataFrame, secret: Secret) -> DataFrame:
