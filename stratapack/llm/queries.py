@@ -11,7 +11,7 @@ from .near_dedup import OP4_SQL, op4_minhash_near_dedup
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .sentencepiece_nbest import op1_sentencepiece
 from .substring_dedup import OP2_SQL, op2_substring_dedup
-from .warc import op9_warc
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
@@ -33,5 +33,6 @@ SQL: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op9_warc": OP9_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }

@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import os
 import re
 import uuid
@@ -19,8 +20,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .html_extraction import Page
 from .common import table
@@ -74,7 +77,7 @@ def http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 def _decoded(body: bytes, headers: list[tuple[str, str]]) -> bytes:
-    """A body without chunks, gzip and deflate; of a damaged one what stands before the damage.  Other codings stay, and so does a body that isn't coded as its headers say."""
+    """A body without chunks, gzip, deflate and zstd; of a damaged one what stands before the damage.  Other codings stay, and so does a body that isn't coded as its headers say."""
     codings = [c.strip().lower() for name in ("content-encoding", "transfer-encoding") for k, v in headers if k.lower() == name for c in v.split(",")]
     for c in reversed(codings):
         if c == "chunked":
@@ -92,7 +95,12 @@ def _decoded(body: bytes, headers: list[tuple[str, str]]) -> bytes:
                     break
                 except zlib.error:
                     continue
-        elif c not in ("identity", "", "gzip", "x-gzip"):
+        elif c == "zstd" and body[:4] == b"\x28\xb5\x2f\xfd":
+            try:
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            except zstandard.ZstdError:
+                break
+        elif c not in ("identity", "", "gzip", "x-gzip", "zstd"):
             break
     return body
 
@@ -141,10 +149,18 @@ def derive(source: dict) -> list[dict]:
     block = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
     made = _row(**link, record_id=record_id("metadata", source["record_id"]), type="metadata", concurrent_to=converted["record_id"], content_type="application/warc-fields", block=block)
     for r in (made, converted):
-        r["headers"] = dict(headers)
+        r["headers"] = _map(headers)
     return [made, converted]
 
 
+def _map(fields: list[tuple[str, str]]) -> dict[str, str]:
+    """Fields by name; the values of a repeated field are joined by commas, as HTTP has it."""
+    out: dict[str, str] = {}
+    for k, v in fields:
+        out[k] = f"{out[k]}, {v}" if k in out else v
+    return out
+
+
 def _batches(rows: Iterator[dict], limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of at most about `limit` bytes of blocks."""
     held, size = [], 0
@@ -197,31 +213,247 @@ def write_record(r: dict) -> bytes:
     return gzip.compress(f"{VERSION}\r\n{head}\r\n".encode() + (r["block"] or b"") + b"\r\n\r\n", mtime=0)
 
 
-def read_records(data: bytes, errors: bool = False) -> Iterator[dict]:
-    """Records of a WARC file, compressed or not; what follows a broken record or gzip member is not read.  With `errors` a last row of type 'error' tells so, with header 'error'."""
-    damage = None
-    if data[:2] == b"\x1f\x8b":
-        data, damage = _members(data)
+_HEAD = re.compile(rb"\s*WARC/[\d.]+\r?\n((?:[^\r\n]+\r?\n)*)\r?\n")
+_MEMBER = b"\x1f\x8b\x08"
+_PIECE = 1 << 16
+#: A head that is longer is no head.
+_LONGEST_HEAD = 1 << 20
+
+
+class _Source:
+    """Bytes of a file from a place on, as they are or decompressed, with a place to look ahead."""
+
+    def __init__(self, file, at: int = 0, packed: bool | None = None):
+        self.file, self.held, self.damage, self.ended = file, bytearray(), None, False
+        file.seek(at)
+        self.packed = file.read(2) == b"\x1f\x8b" if packed is None else packed
+        file.seek(at)
+        self.at = at
+        self._inflate, self._raw = None, b""
+
+    def _more(self) -> bool:
+        """Takes a further piece; False at the end or at a damage."""
+        if not self.packed:
+            piece = self.file.read(_PIECE)
+            self.held += piece
+            return bool(piece)
+        while True:
+            if not self._raw:
+                self._raw = self.file.read(_PIECE)
+                if not self._raw:
+                    if self._inflate is not None:
+                        self.damage = "the last member is cut"
+                    return False
+            if self._inflate is None:
+                if not self._raw.strip(b"\0"):  # padding
+                    self._raw = b""
+                    continue
+                self._inflate = zlib.decompressobj(31)
+            try:
+                out = self._inflate.decompress(self._raw)
+            except zlib.error as e:
+                self.damage = str(e)
+                return False
+            self._raw = self._inflate.unused_data if self._inflate.eof else b""
+            if self._inflate.eof:
+                self._inflate = None
+            self.held += out
+            if out:
+                return True
+
+    def need(self, n: int) -> bool:
+        while len(self.held) < n and not self.ended:
+            self.ended = not self._more()
+        return len(self.held) >= n
+
+    def drop(self, n: int) -> None:
+        del self.held[:n]
+
+
+def _records(source: _Source) -> Iterator[dict]:
+    """Records of a source; one record is held at a time.  `source.damage` says why there are no more, if that is not the end."""
     fields = {v.lower(): k for k, v in _NAMES.items()}
-    at = 0
-    while m := re.compile(rb"\s*WARC/[\d.]+\r?\n((?:[^\r\n]+\r?\n)*)\r?\n").match(data, at):
-        lines = [x.partition(":") for x in m[1].decode("utf-8", errors="replace").splitlines()]
-        named = {k.strip().lower(): v.strip() for k, _, v in lines}
-        n = int(named.get("content-length", "0") or 0)
+    while True:
+        m = _HEAD.match(source.held)
+        while not m and not source.ended and len(source.held) <= _LONGEST_HEAD:
+            source.need(max(1 << 12, 2 * len(source.held)))
+            m = _HEAD.match(source.held)
+        if not m:
+            if bytes(source.held).strip():
+                source.damage = source.damage or "not a record"
+            return
+        named = _map([(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in m[1].decode("utf-8", errors="replace").splitlines())])
+        length = named.get("content-length", "0") or "0"
+        if not re.fullmatch(r"\d{1,18}", length):
+            source.damage = f"impossible length {length[:40]}"
+            return
+        n, start = int(length), m.end()
         out = dict.fromkeys(_FIELDS) | {fields[k]: v for k, v in named.items() if k in fields}
-        out["block"], out["content_length"] = data[m.end() : m.end() + n], n
         out["headers"] = {k: v for k, v in named.items() if k not in fields}
-        if len(out["block"]) < n:
-            damage = damage or "the last record is cut"
-            break
+        if not source.need(start + n):
+            source.damage = source.damage or "the last record is cut"
+            return
+        out["block"], out["content_length"] = bytes(source.held[start : start + n]), n
+        source.drop(start + n)
         yield out
-        at = m.end() + n
-    if errors and (damage or data[at:].strip()):
-        yield dict.fromkeys(_FIELDS) | {"type": "error", "headers": {"error": damage or "not a record"}}
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the WARC files under a path, and a row of type 'error' for each file that couldn't be read to its end."""
+def _error(what: str) -> dict:
+    return dict.fromkeys(_FIELDS) | {"type": "error", "headers": {"error": what}}
+
+
+def read_records(data: bytes, errors: bool = False) -> Iterator[dict]:
+    """Records of a WARC file, compressed or not; what follows a broken record or gzip member is not read.  With `errors` a last row of type 'error' tells so, with header 'error'."""
+    source = _Source(io.BytesIO(data))
+    yield from _records(source)
+    if errors and source.damage:
+        yield _error(source.damage)
+
+
+def _is_member(file, at: int) -> bool:
+    """Whether a gzip member with a record begins at a place."""
+    file.seek(at)
+    try:
+        begin = zlib.decompressobj(31).decompress(file.read(_PIECE), 16)
+    except zlib.error:
+        return False
+    return begin.lstrip().startswith(b"WARC/")
+
+
+def _member_starts(file, first: int, last: int) -> Iterator[int]:
+    """Places from `first` up to `last` at which a gzip member with a record begins."""
+    at, held = first, b""
+    while at < last:
+        file.seek(at)
+        held = file.read(1 << 20)
+        found = -1
+        while (found := held.find(_MEMBER, found + 1)) >= 0 and at + found < last:
+            if _is_member(file, at + found):
+                yield at + found
+        if len(held) < 3:
+            return
+        at += len(held) - 2
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, first: int, last: int, whole: bool):
+        self.path, self.first, self.last, self.whole = path, first, last, whole
+
+
+class WarcFiles(DataSource):
+    """`spark.read.format('warc')`: records of the files under `path`, a folder that all executors mount; option `split_bytes`.
+
+    A compressed file is read by many tasks: each takes the gzip members that begin in its range.  A file without members of its own for the records, or without compression, is read by one
+    task, which holds one record at a time.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def schema(self) -> str:
+        return RECORD
+
+    def reader(self, schema) -> DataSourceReader:
+        return _WarcReader(dict(self.options))
+
+
+class _WarcReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root, self.split = options["path"].removeprefix("file://"), int(options.get("split_bytes", 64 << 20))
+
+    def partitions(self):
+        names = [self.root] if os.path.isfile(self.root) else sorted(os.path.join(d, n) for d, _, ns in os.walk(self.root) for n in ns if not n.startswith((".", "_")))
+        out = []
+        for p in names:
+            size = os.path.getsize(p)
+            with open(p, "rb") as f:
+                split = _several_members(f)
+            out += [_Range(p, a, min(a + self.split, size), False) for a in range(0, size, self.split)] if split else [_Range(p, 0, size, True)]
+        return out or [_Range("", 0, 0, True)]
+
+    def read(self, part: _Range):
+        if not part.path:
+            return
+        with open(part.path, "rb") as f:
+            yield from _batches(self._rows(f, part))
+
+    def _rows(self, f, part: _Range) -> Iterator[dict]:
+        if part.whole:
+            source = _Source(f)
+            yield from _records(source)
+            if source.damage:
+                yield _error(source.damage)
+            return
+        for at in _member_starts(f, part.first, part.last):
+            member = _Member(f.name, at)
+            source = _Source(member, 0, True)
+            yield from _records(source)
+            if source.damage:
+                yield _error(f"{source.damage} (member at {at})")
+            elif not _is_member(f, member.end):
+                f.seek(member.end)
+                if f.read(_PIECE).strip(b"\0"):
+                    yield _error(f"no record at {member.end}")
+
+
+class _Member(io.RawIOBase):
+    """The bytes of one gzip member of a file."""
+
+    def __init__(self, path: str, at: int):
+        self.file, self.inflate = open(path, "rb"), zlib.decompressobj(31)  # noqa: SIM115
+        self.file.seek(at)
+        self.done, self.end = False, at
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        return at
+
+    def read(self, n: int = -1) -> bytes:
+        """A further piece, up to the member's end."""
+        if self.done:
+            return b""
+        piece = self.file.read(_PIECE)
+        try:
+            self.inflate.decompress(piece)
+        except zlib.error:
+            self.done = True  # the reader finds the damage itself
+            return piece
+        if self.inflate.eof:
+            self.done = True
+            piece = piece[: len(piece) - len(self.inflate.unused_data)]
+        self.end += len(piece)
+        if self.done or not piece:
+            self.file.close()
+        return piece
+
+
+def _several_members(f) -> bool:
+    """Whether a file's first gzip member ends early, so that others follow."""
+    if f.read(2) != b"\x1f\x8b":
+        return False
+    f.seek(0)
+    inflate = zlib.decompressobj(31)
+    for _ in range(1 << 10):
+        piece = f.read(_PIECE)
+        try:
+            inflate.decompress(piece)
+        except zlib.error:
+            return False
+        if inflate.eof:
+            return bool(inflate.unused_data.strip(b"\0") or f.read(1))
+        if not piece:
+            return False
+    return False
+
+
+def read_warc(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """Rows of the WARC files under a path, and a row of type 'error' for what couldn't be read.
+
+    Files on a folder that all executors mount are read in ranges, whatever their size.  Others come through Spark's own reader, a file in a row (2 GB at most).
+    """
+    if os.path.exists(path.removeprefix("file://")):
+        spark.dataSource.register(WarcFiles)
+        return spark.read.format("warc").option("path", path).option("split_bytes", split_bytes).load()
 
     def scan(batches):
         for batch in batches:
@@ -232,7 +464,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_warc(records: DataFrame, folder: str) -> None:
-    """Writes a part file for each partition to a folder that all executors share; a repeated task replaces its file whole."""
+    """Writes a part file for each partition to a folder that all executors mount; a repeated task replaces its file whole."""
     os.makedirs(folder, exist_ok=True)
 
     def write(batches):
@@ -254,3 +486,47 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derivative records of all pages' responses, with their texts and links."""
     out = derivatives(responses(table(spark, sf_dir, "pages")))
     return out.select("record_id", "type", "target_uri", "refers_to", "refers_to_uri", "refers_to_date", "concurrent_to", "content_type", "payload_digest", "block_digest", "content_length", F.decode("block", "UTF-8").alias("content"))
+
+
+#: A SHA-1 in hexadecimal digits as base32: 20 bits at a time.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr({0}, 5 * (k // 4)::INTEGER + 1, 5))::INTEGER >> (15 - 5 * (k % 4))::INTEGER) % 32 + 1, 1)), '')"
+#: A name-based identifier from the SHA-1 of the namespace of URLs and a name.
+_UUID = "'<urn:uuid:' || substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-5' || substr({0}, 14, 3) || '-' || substr('89ab', ('0x' || substr({0}, 17, 1))::INTEGER % 4 + 1, 1) || substr({0}, 18, 3) || '-' || substr({0}, 21, 12) || '>'"
+_SHA1_NAME = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({0}))"
+
+#: States the result for pages of the test tables' form: their elements and character references.
+OP9_SQL = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS i, page_id, url, coalesce(html, '') AS body FROM pages
+), r AS (
+  SELECT *, octet_length(encode(body)) AS n, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(body)) || chr(13) || chr(10) || chr(13) || chr(10) || body AS block,
+         {_SHA1_NAME.format("'response' || chr(31) || page_id || chr(31) || coalesce(url, '') || chr(31) || sha256(body)")} AS h FROM p
+), x AS (
+  SELECT i, string_split_regex(regexp_replace(regexp_replace(body, '(?s)<title>.*?</title>|<style>.*?</style>|<script>.*?</script>|<!--.*?-->', '', 'g'), '<br>', ' ', 'g'),
+    '</?(?:html|head|body|nav|ul|li|article|h1|h2|p|footer|div)(?:\s[^>]*)?>|<meta[^>]*>') AS blocks FROM p
+), t AS (
+  SELECT i, array_to_string(list_filter(list_transform(blocks, lambda b: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
+    regexp_replace(b, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)) AS text FROM x
+), ids AS (
+  SELECT i, {_UUID.format("h")} AS response_id FROM r
+), made AS (
+  SELECT i, response_id, {_SHA1_NAME.format("'conversion' || chr(31) || response_id")} AS c, {_SHA1_NAME.format("'metadata' || chr(31) || response_id")} AS m FROM ids
+), told AS (
+  SELECT i, response_id, {_UUID.format("c")} AS conversion_id, {_UUID.format("m")} AS metadata_id FROM made
+), sums AS (
+  SELECT i, what, 'sha1:' || {_BASE32.format("h")} AS digest FROM (
+    SELECT i, 'payload' AS what, sha1(encode(body)) AS h FROM r UNION ALL SELECT i, 'block', sha1(encode(block)) FROM r UNION ALL SELECT i, 'text', sha1(encode(text)) FROM t)
+), w AS (
+  SELECT r.i, url, response_id, conversion_id, metadata_id, text, a.digest AS text_digest,
+    'source-status: HTTP/1.1 200 OK' || chr(13) || chr(10) || 'source-header-content-type: text/html; charset=utf-8' || chr(13) || chr(10) || 'source-header-content-length: ' || n || chr(13) || chr(10)
+    || 'source-payload-digest: ' || b.digest || chr(13) || chr(10) || 'source-block-digest: ' || c.digest || chr(13) || chr(10) || 'source-length: ' || octet_length(encode(block)) || chr(13) || chr(10)
+    || 'conversion-id: ' || conversion_id || chr(13) || chr(10) || 'conversion-digest: ' || a.digest || chr(13) || chr(10) AS fields
+  FROM r JOIN t USING (i) JOIN told USING (i) JOIN sums a ON a.i = r.i AND a.what = 'text' JOIN sums b ON b.i = r.i AND b.what = 'payload' JOIN sums c ON c.i = r.i AND c.what = 'block'
+), f AS (
+  SELECT *, sha1(encode(fields)) AS h FROM w
+)
+SELECT metadata_id AS record_id, 'metadata' AS type, url AS target_uri, response_id AS refers_to, url AS refers_to_uri, '2024-01-01T00:00:00Z' AS refers_to_date, conversion_id AS concurrent_to, 'application/warc-fields' AS content_type,
+       NULL AS payload_digest, 'sha1:' || {_BASE32.format("h")} AS block_digest, octet_length(encode(fields))::BIGINT AS content_length, fields AS content FROM f
+UNION ALL
+SELECT conversion_id, 'conversion', url, response_id, url, '2024-01-01T00:00:00Z', NULL, 'text/plain; charset=utf-8', text_digest, text_digest, octet_length(encode(text))::BIGINT, text FROM f
+"""
