@@ -2,17 +2,23 @@
 
 The lattice of a text has a node at every code point and an edge for every piece.  A forward Viterbi pass gives each node the
 score of its best prefix; a backward A* search from the end uses these scores as heuristic.  They are exact, so paths leave
-the queue in the order of their scores and the first N are the N best.
+the queue in the order of their scores and the first N are the N best.  Scores are logarithms of probabilities in steps of 2**-20, kept as integers, so that sums are exact and don't
+depend on the order in which they are made.
 
 No piece of the model joins two words (checked when it is loaded), so the lattice of a text is a chain of word lattices
 which meet in one node.  The Viterbi pass runs over the distinct words of a batch at once and also gives the distance from the best to
 the second path.  The N best paths of a text leave the best path at no more than N - 1 words, and only at
-those with the smallest distances: the others already have N better paths before them.  A* searches the lattices of these words.
+those with the smallest distances: the others already have N better paths before them.  A* searches the lattices of these words, and the N best sums of their paths are merged word by word.
+
+A unigram model has log-probabilities.  A BPE model has none: its scores are the ranks of its merges.  They become log-probabilities by the law of Zipf and Mandelbrot, p(rank) ~ 1 / (rank + 2.7), over
+all its pieces.  The segmentation is the most probable one under these, which is not what a sequence of merges gives: see README for how often they agree.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
 import re
 
 import numpy as np
@@ -29,15 +35,32 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: An unknown character costs this much more than the worst piece, as the public trainer has it (fixed value).
 UNKNOWN = 10.0
+#: Scores are counted in steps of 1 / STEPS.
+STEPS = 1 << 20
+#: The offset of Mandelbrot's form of Zipf's law (fixed value).
+OFFSET = 2.7
+#: Worse than any path, and a distance that no second path has.
+_NONE, _FAR = -(1 << 60), 1 << 59
 _MUL, _SLOT_1, _SLOT_2 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 _MASK, _BITS = 0xFFFFFFFFFFFFFFFF, 19
 _SHIFT = U64(64 - _BITS)
 #: Words kept from chunk to chunk; beyond, they are forgotten and segmented again.
 _KEEP = 400_000
+#: Ids of them that are kept at most, beside those of the chunk at hand; alternatives count too.
+_KEEP_IDS = 8_000_000
 #: Bytes of text worked on at once.
 CHUNK = 1 << 19
 
 
+def log_probabilities(pieces: list[tuple[int, str, float]]) -> list[tuple[int, str, int]]:
+    """The pieces with log-probabilities in STEPS: those of a unigram model as they are, or those that follow from the ranks of a BPE model, whose scores are whole numbers."""
+    if any(s != int(s) for _, _, s in pieces):
+        return [(i, x, round(s * STEPS)) for i, x, s in pieces]
+    ranked = sorted(pieces, key=lambda p: (-p[2], p[0]))
+    total = math.log(sum(1 / (r + OFFSET) for r in range(len(ranked))))
+    return sorted((i, x, round((-math.log(r + OFFSET) - total) * STEPS)) for r, (i, x, _) in enumerate(ranked))
+
+
 class Model:
     """Pieces, scores and byte pieces of a SentencePiece model, and its segmenter."""
 
@@ -47,7 +70,7 @@ class Model:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(p.vocab_size())
         normal = [(i, p.id_to_piece(i), float(p.get_score(i))) for i in every if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
-        self.__setstate__((normal, {int(p.id_to_piece(i)[3:5], 16): i for i in every if p.is_byte(i)}, p.unk_id(), len(every)))
+        self.__setstate__((log_probabilities(normal), {int(p.id_to_piece(i)[3:5], 16): i for i in every if p.is_byte(i)}, p.unk_id(), len(every)))
 
     def __getstate__(self):
         return self.spec  # a task gets the vocabulary and builds its own tables
@@ -65,7 +88,7 @@ class Model:
         width = max(map(len, self.bytes))
         self.piece_bytes = np.array([list(x.ljust(width, b"\0")) for x in [*self.bytes, b""]], np.uint8)
         self.piece_size = np.array([len(x) for x in [*self.bytes, b""]])
-        self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN
+        self.unknown = min(s for _, s in self.pieces.values()) - round(UNKNOWN * STEPS)
         self.longest = max(map(len, self.pieces))
         chars = set("".join(self.pieces))
         self.hard = "".join(c for c in map(chr, range(32)) if c not in chars)
@@ -77,7 +100,7 @@ class Model:
         names = list(self.pieces)
         none = len(names)
         self.ids = np.array([self.pieces[x][0] for x in names] + [-1], np.int32)
-        self.scores = np.array([self.pieces[x][1] for x in names] + [-np.inf])
+        self.scores = np.array([self.pieces[x][1] for x in names] + [_NONE])
         self.keys = np.array([self._hash(x) for x in names] + [0], np.uint64)
         assert len(np.unique(self.keys)) == len(self.keys)
         slots = ((self.keys[:-1] * _SLOT_1) >> _SHIFT).astype(np.int64)
@@ -103,7 +126,7 @@ class Model:
         return h
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Number of the piece with each hash; the last number, with score -inf, where there is none."""
+        """Number of the piece with each hash; the last number, with the score _NONE, where there is none."""
         k = self.one[((h * _SLOT_1) >> _SHIFT).astype(np.int64)]
         miss = self.keys[k] != h
         if miss.any():
@@ -113,7 +136,7 @@ class Model:
 
     # --- one word: forward Viterbi and backward A* --------------------------------------------
 
-    def edges(self, word: str, j: int) -> list[tuple[int, int, float]]:
+    def edges(self, word: str, j: int) -> list[tuple[int, int, int]]:
         """(start, id, score) of the pieces that end at j; id -1 is an unknown character."""
         out = []
         for i in range(max(0, j - self.longest), j):
@@ -123,42 +146,56 @@ class Model:
             out.append((j - 1, -1, self.unknown))
         return out
 
-    def forward(self, word: str) -> list[float]:
-        best = [0.0]
+    def forward(self, word: str) -> list[int]:
+        best = [0]
         for j in range(1, len(word) + 1):
             best.append(max(best[i] + s for i, _, s in self.edges(word, j)))
         return best
 
-    def nbest(self, word: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations; of equal scores the one whose last differing piece is longer comes first."""
+    def nbest(self, word: str, n: int) -> list[tuple[int, list[int]]]:
+        """The n best segmentations; the first of equal ones is that with the longest last pieces.
+
+        Every node in the queue stands for a path of its own whose score is known, so nodes that come behind n better ones are left out: the queue has n nodes at most, and each node
+        keeps its last piece and its successor only.
+        """
         best = self.forward(word)
-        heap = [(-best[-1], (), len(word), 0.0, ())]
-        out = []
+        heap = [(-best[-1], len(word), 0, 0, None)]  # cost, place, number, score from here to the end, (id, place, its rest) chain
+        costs, number, out = [-best[-1]], 0, []
         while heap and len(out) < n:
-            _, lengths, j, tail, ids = heapq.heappop(heap)
+            cost, j, _, tail, chain = heapq.heappop(heap)
             if j == 0:
-                out.append((tail, self.expand(word, lengths, ids)))
+                out.append((tail, self.expand(word, chain)))
                 continue
+            inherited = False
             for i, piece, s in self.edges(word, j):
-                heapq.heappush(heap, (-(best[i] + s + tail), (*lengths, i - j), i, s + tail, (*ids, piece)))
+                c = -(best[i] + s + tail)
+                if c == cost and not inherited:
+                    inherited = True  # the path that the node stood for
+                elif len(costs) == n and c >= costs[-1]:
+                    continue
+                else:
+                    bisect.insort(costs, c)
+                    del costs[n:]
+                number += 1
+                heapq.heappush(heap, (c, i, number, s + tail, (piece, i, j, chain)))
         return out
 
-    def expand(self, word: str, lengths: tuple[int, ...], ids: tuple[int, ...]) -> list[int]:
+    def expand(self, word: str, chain: tuple | None) -> list[int]:
         """Ids in reading order; an unknown character becomes its bytes, or the unknown id in a model without byte pieces."""
-        out, at = [], 0
-        for n, piece in zip(reversed(lengths), reversed(ids), strict=True):
+        out = []
+        while chain is not None:
+            piece, i, j, chain = chain
             if piece >= 0:
                 out.append(piece)
             else:
-                out += [self.byte_ids[b] for b in word[at : at - n].encode()] if self.byte_ids else [self.unknown_id]
-            at -= n
+                out += [self.byte_ids[b] for b in word[i:j].encode()] if self.byte_ids else [self.unknown_id]
         return out
 
     # --- many words at once --------------------------------------------------------------------
 
     def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each word: its best ids (all of them in one array), how many, the score, and the distance to the second path."""
-        size, score, gap = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(words))
+        size, score, gap = (np.zeros(len(words), np.int64) for _ in range(3))
         ids: list = [None] * len(words)
         by_length: dict[int, list[int]] = {}
         for k, x in enumerate(words):
@@ -176,7 +213,7 @@ class Model:
     def _same_length(self, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         m = len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n).T.astype(np.uint64) + U64(1)
-        one, two = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        one, two = np.full((n + 1, m), _NONE), np.full((n + 1, m), _NONE)
         one[0] = 0
         back = np.zeros((n + 1, m), np.int32)
         last = np.zeros((n + 1, m), np.int32)
@@ -193,8 +230,8 @@ class Model:
                 cand = one[lo:j] + s
                 top = cand.argmax(0)  # the first: of equal paths the one with the longest last piece
                 one[j] = cand[top, cols]
-                cand[top, cols] = -np.inf
-                two[j] = np.maximum(cand.max(0), (two[lo:j] + s).max(0))
+                cand[top, cols] = _NONE
+                two[j] = np.maximum(np.maximum(cand.max(0), (two[lo:j] + s).max(0)), _NONE)
                 back[j] = top + lo
                 last[j] = self.ids[k[top, cols]]
         steps, cur = [], np.full(m, n)
@@ -212,7 +249,7 @@ class Model:
                 parts[r] = np.array(self.nbest(words[r], 1)[0][1], np.int32)
                 size[r] = len(parts[r])
             flat = np.concatenate(parts)
-        return flat, size, one[n], one[n] - two[n]
+        return flat, size, one[n], np.where(two[n] > _NONE // 2, one[n] - two[n], _FAR)
 
     # --- texts ----------------------------------------------------------------------------------
 
@@ -238,8 +275,9 @@ class Encoder:
     def forget(self):
         self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.score, self.gap = np.zeros(0), np.zeros(0)
-        self.alternatives: dict[str, list[tuple[float, list[int]]]] = {}
+        self.score, self.gap = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.alternatives: dict[str, list[tuple[int, list[int]]]] = {}
+        self.held = 0
 
     def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The bytes with a space before each text, the spans of the words in them, and the word range of each text."""
@@ -268,7 +306,7 @@ class Encoder:
         ok = at < len(self.keys)
         new[ok] = self.keys[at[ok]] != keys[ok]
         if new.any():
-            if len(self.keys) + new.sum() > _KEEP and len(self.keys):
+            if (len(self.keys) + new.sum() > _KEEP or len(self.flat) > _KEEP_IDS) and len(self.keys):
                 self.forget()
                 new[:] = True
             which = first[new]
@@ -293,40 +331,59 @@ class Encoder:
         gap = self.gap[row]
         paths = []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            best = float(self.score[row[a:b]].sum())
-            paths.append(self._nbest(data, starts[a:b], ends[a:b], gap[a:b], place[a : b + 1], best))
+            best = int(self.score[row[a:b]].sum())
+            paths.append(self._nbest(data, starts[a:b], ends[a:b], gap[a:b], place[a : b + 1], best, ids))
         return ids, place[first], paths
 
-    def _nbest(self, data, starts, ends, gap, place, best: float) -> list[dict]:
-        near = np.flatnonzero(gap < np.inf)
+    def _alternatives(self, word: str) -> list[tuple[int, list[int]]]:
+        if (paths := self.alternatives.get(word)) is None:
+            paths = self.model.nbest(word, self.nbest)
+            if self.held > _KEEP_IDS or len(self.alternatives) > 50_000:
+                self.alternatives.clear()
+                self.held = 0
+            self.alternatives[word] = paths
+            self.held += len(word) + sum(len(x) for _, x in paths)
+        return paths
+
+    def _nbest(self, data, starts, ends, gap, place, best: int, ids) -> list[dict]:
+        near = np.flatnonzero(gap < _FAR)
         if self.nbest == 1 or not len(near):
-            return [{"score": best, "edits": []}]
+            return [{"score": best / STEPS, "edits": []}]
         if len(near) > self.nbest - 1:
             own = gap[near]
             limit = np.partition(own, self.nbest - 2)[self.nbest - 2]
             less = near[own < limit]
             near = np.sort(np.concatenate([less, near[own == limit][: self.nbest - 1 - len(less)]]))
-        choices, loss, edits = [], np.zeros(1), np.zeros(1, int)
-        for w in near.tolist():
-            word = self._word(data, starts[w], ends[w])
-            if (paths := self.alternatives.get(word)) is None:
-                if len(self.alternatives) > 50_000:
-                    self.alternatives.clear()
-                paths = self.alternatives[word] = self.model.nbest(word, self.nbest)
-            choices.append(paths)
-            loss = (loss[:, None] + [s - paths[0][0] for s, _ in paths]).ravel()
-            edits = (edits[:, None] + [[0] + [1] * (len(paths) - 1)]).ravel()
-        offset, out = int(place[0]), []
-        for c in np.lexsort((edits, -loss))[: self.nbest].tolist():
-            made, k = [], c
-            for w, paths in zip(near[::-1].tolist(), choices[::-1], strict=True):
-                k, r = divmod(k, len(paths))
-                if r:
-                    made.append({"at": int(place[w]) - offset, "n": int(place[w + 1] - place[w]), "ids": paths[r][1]})
-            out.append({"score": best + float(loss[c]), "edits": made[::-1]})
+        # the best sums of the words so far, as (loss, edits, chain of (word, path)); a further word adds its paths, and only pairs (p, q) with (p + 1) * (q + 1) <= N can be among the N best
+        sums: list[tuple] = [(0, 0, None)]
+        choices = []
+        for k, w in enumerate(near.tolist()):
+            paths = self._alternatives(self._word(data, starts[w], ends[w]))
+            choices.append((w, paths))
+            grown = []
+            for p, (loss, edits, chain) in enumerate(sums):
+                for q in range(min(len(paths), self.nbest // (p + 1))):
+                    grown.append((loss + paths[0][0] - paths[q][0], edits + (q > 0), p, q, chain if q == 0 else (k, q, chain)))
+            grown.sort(key=lambda x: x[:4])
+            sums = [(loss, edits, chain) for loss, edits, _, _, chain in grown[: self.nbest]]
+        out = []
+        for loss, _, chain in sums:
+            made = []
+            while chain is not None:
+                k, q, chain = chain
+                w, paths = choices[k]
+                made.append(_edit(int(place[w] - place[0]), paths[0][1], paths[q][1]))
+            out.append({"score": (best - loss) / STEPS, "edits": made[::-1]})
         return out
 
 
+def _edit(at: int, old: list[int], new: list[int]) -> dict:
+    """What turns the ids `old`, which begin at `at`, into `new`, without what both begin and end with."""
+    a = next((k for k, (x, y) in enumerate(zip(old, new, strict=False)) if x != y), min(len(old), len(new)))
+    b = next((k for k, (x, y) in enumerate(zip(old[a:][::-1], new[a:][::-1], strict=False)) if x != y), min(len(old), len(new)) - a)
+    return {"at": at + a, "n": len(old) - a - b, "ids": new[a : len(new) - b]}
+
+
 NBEST = "array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>"
 
 
@@ -334,7 +391,7 @@ def encode(docs: DataFrame, text: str = "text", model: Model | str = MODEL, nbes
     """`docs` with `ids`, the best segmentation of the whole text, and `nbest`, its N best.
 
     Each of the N best has its score and the edits (n ids at index `at` become `ids`) that lead to it from the best one.  Texts with
-    fewer segmentations have fewer.  Null and empty texts have no ids and one path of score 0.  Equal rows give
+    fewer segmentations have fewer.  Null and empty texts have no ids and one path of score 0.  Very long texts are encoded whole, also those without spaces, in time proportional to their length.  Equal rows give
     equal results.  Input columns named ids or nbest are replaced.  An empty table gives an empty table.  `decoded` names a further
     column for the text that decode() gives of the ids, made in the same pass.
     """

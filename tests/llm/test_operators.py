@@ -5,6 +5,7 @@ import hashlib
 import html
 import itertools
 import json
+import math
 import random
 import re
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stratapack.llm.common import text_buffers
 from stratapack.llm import chat, decontamination, html_extraction, language_id, line_dedup, near_dedup, quality_rules, sentencepiece_nbest, substring_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -296,7 +298,7 @@ def model():
 
 def segmentations(model, word, j):
     if j == 0:
-        return [0.0]
+        return [0]
     return [s + b for i, _, s in model.edges(word, j) for b in segmentations(model, word, i)]
 
 
@@ -309,7 +311,41 @@ def test_sentencepiece_words(model):
         found = model.nbest(w, 5)
         assert [s for s, _ in found] == every[:5]
         assert score[k] == every[0] and ids[k].tolist() == found[0][1]
-        assert gap[k] == (every[0] - every[1] if len(every) > 1 else np.inf)
+        assert gap[k] == (every[0] - every[1] if len(every) > 1 else sentencepiece_nbest._FAR)
+
+
+def test_sentencepiece_scores(model):
+    """Log-probabilities of all pieces: they sum to 1, and an earlier merge is more probable."""
+    assert abs(sum(math.exp(s / sentencepiece_nbest.STEPS) for _, s in model.pieces.values()) - 1) < 1e-4
+    assert model.pieces["▁t"][1] > model.pieces["▁the"][1] > model.pieces["梦"][1]
+    unigram = [(3, "a", -1.5), (4, "ab", -2.25)]
+    assert sentencepiece_nbest.log_probabilities(unigram) == [(3, "a", round(-1.5 * 2**20)), (4, "ab", round(-2.25 * 2**20))]
+
+
+def test_sentencepiece_many_best(model):
+    """Ten best of short texts of several words against all segmentations."""
+    coder = sentencepiece_nbest.Encoder(model, 10)
+    for t in ("the cat", "a b", "xyzzy q", "aa aa aa", "é", "naïve"):
+        _, _, paths = coder.encode(*text_buffers(pa.array([t])))
+        every = sorted(segmentations(model, "▁" + t.replace(" ", "▁"), len(t) + 1), reverse=True)
+        assert [p["score"] for p in paths[0]] == [x / sentencepiece_nbest.STEPS for x in every[:10]]
+
+
+def test_sentencepiece_long_word(model):
+    """200,000 letters without a space: every path spells the text, and memory stays small."""
+    import resource
+
+    rng = random.Random(8)
+    for t in ("".join(rng.choice("abcdefgh") for _ in range(200_000)), "a" * 50_000):
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        ids, first, paths = sentencepiece_nbest.Encoder(model, 4).encode(*text_buffers(pa.array([t])))
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # KB
+        assert len(paths[0]) == 4 and [p["score"] for p in paths[0]] == sorted((p["score"] for p in paths[0]), reverse=True)
+        for p in paths[0]:
+            made = list(ids)
+            for e in reversed(p["edits"]):
+                made[e["at"] : e["at"] + e["n"]] = e["ids"]
+            assert model.decode(np.array(made, np.int64), np.array([0, len(made)])) == [t]
 
 
 def test_sentencepiece_texts(corpus, model):
@@ -321,7 +357,7 @@ def test_sentencepiece_texts(corpus, model):
         assert r.decoded == t
         whole = model.nbest(sentencepiece_nbest.SPACE + t.replace(" ", sentencepiece_nbest.SPACE), 4) if t and len(t) < 400 else None
         if whole:
-            assert [p.score for p in r.nbest] == [s for s, _ in whole] and r.ids == whole[0][1]
+            assert [p.score for p in r.nbest] == [s / sentencepiece_nbest.STEPS for s, _ in whole] and r.ids == whole[0][1]
         for p in r.nbest:  # every path spells the text
             ids = list(r.ids)
             for e in reversed(p.edits):
@@ -380,12 +416,24 @@ def test_cascade_order_is_free(spark):
     rules = quality_rules.standard_rules()
     verdicts = [{r.doc_id: r.kept for r in quality_rules.measures(docs).withColumn("kept", quality_rules.cascade(order).isNull()).collect()} for order in (rules, rules[::-1])]
     assert verdicts[0] == verdicts[1] and len(set(verdicts[0].values())) == 2
-    ordered = quality_rules.estimate(quality_rules.measures(docs), rules, sample=100)
+    ordered = quality_rules.estimate(docs, rules, sample=100)
     assert {r.name for r in ordered} == {r.name for r in rules}
     worth = [r.selectivity / r.cost for r in ordered]
     assert worth == sorted(worth, reverse=True)
 
 
+def test_rule_costs(spark):
+    """A rule that looks at nothing costs next to nothing, a slow one much more; the sample stays bounded whatever the texts are."""
+    docs = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, F.repeat(F.lit("some words of a text "), 30)).alias("text"), F.lit("own").alias("__m0"))
+    slow = quality_rules.Rule("slow", F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?:[a-z]+ )+?x", "")) < 0)
+    cheap = quality_rules.Rule("cheap", F.col("n_symbols") < 0)
+    got = {r.name: r for r in quality_rules.estimate(docs, [slow, cheap], sample=300)}
+    assert got["slow"].cost > 20 * got["cheap"].cost
+    half = quality_rules.Rule("null", F.col("word_chars") == 0)
+    assert 0.35 < quality_rules.estimate(docs, [half], sample=1000)[0].selectivity < 0.65
+    assert quality_rules.judge(docs.limit(50)).where("__m0 = 'own'").count() == 50
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="menu-open"><header><h2>Site</h2></header><nav><ul><li><a href="/a">{nav}</a></li></ul></nav>'
     '<div class="ad">Buy {nav}</div><article><header><h1>{title}</h1></header><p>First &amp; foremost\n &eacute; {body}<p>Second <b>bold</b>, <a href="x">link</a><br>line<ul><li>item one<li>item two</ul>'
@@ -556,6 +604,37 @@ def test_warc_damaged_members_and_coded_bodies():
         assert warc.http(block)[2] == body
 
 
+def test_warc_ranges(spark, tmp_path):
+    """Files are read in ranges that cut records anywhere; damaged members cost themselves only."""
+    import gzip
+
+    rng = random.Random(4)
+    made = [warc.response(str(k), f"http://a/{k}", rng.randbytes(rng.randrange(3000)) + b"\x1f\x8b\x08", "d") for k in range(60)]
+    packed = [warc.write_record(r) for r in made]
+    plain = b"".join(gzip.decompress(x) for x in packed)
+    bad = bytearray(b"".join(packed[:3]))
+    bad[len(packed[0]) + 40 : len(packed[0]) + 60] = bytes(20)
+    files = {"many": b"".join(packed), "one": gzip.compress(plain), "plain": plain, "bad": bytes(bad), "length": b"WARC/1.1\r\nContent-Length: many\r\n\r\n", "negative": b"WARC/1.1\r\nContent-Length: -4\r\n\r\nabcd", "empty": b"", "odd": b"no record at all"}
+    for name, data in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data)
+    want = sorted((r["target_uri"], r["block"]) for r in made)
+    for name in ("many", "one", "plain"):
+        got = warc.read_warc(spark, str(tmp_path / name), split_bytes=1000).collect()
+        assert sorted((r.target_uri, bytes(r.block)) for r in got) == want, name
+    kinds = {name: sorted(r.type for r in warc.read_warc(spark, str(tmp_path / name), split_bytes=500).collect()) for name in files}
+    assert kinds["bad"] == ["error", "response", "response"] and kinds["empty"] == []
+    assert [kinds[k] for k in ("length", "negative", "odd")] == [["error"]] * 3
+    for name, data in files.items():
+        assert [r["type"] for r in warc.read_records(data)] == ["response"] * {"many": 60, "one": 60, "plain": 60, "bad": 1}.get(name, 0)
+
+
+def test_warc_repeated_headers():
+    r = warc._row(type="response", record_id="<a>", target_uri="u", date="d", block=b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nLink: a\r\nLink: b\r\n\r\nx", payload_digest=None)
+    meta, text = warc.derive(r)
+    assert meta["headers"]["Link"] == "a, b" and meta["block"].count(b"source-header-link: ") == 2 and text["block"] == b"x"
+
+
 def test_chat_links(spark):
     call = '{"tool_calls":[{"id":"a","name":"f","arguments":{"x":1.0,"b":"é"}},{"id":"b","function":{"name":"f","arguments":"{\\"y\\":2}"}}]}'
     rows = [
@@ -661,7 +740,7 @@ def test_chat_query_links(spark):
 
 
 def test_text_kernels_match_python():
-    from stratapack.llm.common import Words, text_buffers
+    from stratapack.llm.common import Words
 
     texts = ["a b", "", None, " x\n\ny ", "Ab ab", "z" * 10_000, "é ü"]
     w = Words(*text_buffers(pa.array(texts)))
