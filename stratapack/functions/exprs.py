@@ -12,7 +12,7 @@ from .codecs import CODECS
 # --- fixed values: signatures at the start of files, in order of precedence ---------------------
 #: (hex prefix, type, detail)
 MAGIC = [
-    ("FFD8FF", "Image", "jpeg"), ("89504E470D0A1A0A", "Image", "png"), ("47494638", "Image", "gif"), ("424D", "Image", "bmp"),
+    ("535041434B", "Archive", "spack"), ("FFD8FF", "Image", "jpeg"), ("89504E470D0A1A0A", "Image", "png"), ("47494638", "Image", "gif"), ("424D", "Image", "bmp"),
     ("49492A00", "Image", "tiff"), ("4D4D002A", "Image", "tiff"), ("RIFF", None, None), ("ftyp", "Video", "mp4"), ("1A45DFA3", "Video", "matroska"),
     ("494433", "Audio", "mp3"), ("FFFB", "Audio", "mp3"), ("FFF3", "Audio", "mp3"), ("FFF2", "Audio", "mp3"), ("4F676753", "Audio", "ogg"), ("664C6143", "Audio", "flac"),
     ("7F454C46", "Executable", "elf"), ("4D5A", "Executable", "pe"), ("CAFEBABE", "Executable", "mach-o"), ("CFFAEDFE", "Executable", "mach-o"),
@@ -23,26 +23,25 @@ MAGIC = [
 #: type: "extension[=detail]" words; the detail is the extension where none is given
 EXTENSIONS = {
     "Text": "txt=text md=markdown markdown csv tsv json jsonl yaml yml=yaml toml ini cfg=config log xml html htm=html css js=javascript mjs=javascript ts=typescript "
-    "tsx=typescript jsx=javascript py=python go rs=rust c h=c-header hpp=cpp-header cc=cpp cpp cxx=cpp kt java rb sh=shell bash=shell zsh=shell fish=shell nix sql "
+    "tsx=typescript jsx=javascript py=python go rs=rust c h=c-header hpp=cpp-header cc=cpp cpp cxx=cpp kt=kotlin java rb=ruby sh=shell bash=shell zsh=shell fish=shell nix sql "
     "tex=latex svg gv=graphviz mermaid",
     "Image": "bmp tiff tif=tiff ppm pgm pbm jpeg png gif webp heic avif",
     "Audio": "wav aiff au mid=midi mp3 aac ogg opus flac",
     "Video": "mp4 m4v mkv=matroska webm mov",
     "Executable": "o=object so=elf dll=pe",
-    "Archive": "tar iso deb=ar rpm a=ar zip gz=gzip bz2=bzip2 xz zst=zstd 7z rar docx=zip xlsx=zip pptx=zip jar=zip apk=zip",
+    "Archive": "tar iso deb=ar rpm a=ar zip gz=gzip bz2=bzip2 xz zst=zstd 7z rar docx=zip xlsx=zip pptx=zip jar=zip apk=zip spk=spack",
     "Binary": "bin=raw dat=data db=database sqlite",
 }
 #: Details whose payload is compressed already.
-DENSE = "jpeg png gif webp heic avif mp3 aac ogg opus flac mp4 m4v matroska webm mov zip gzip bzip2 xz zstd 7z rar".split()
+DENSE = "jpeg png gif webp heic avif mp3 aac ogg opus flac mp4 m4v matroska webm mov zip gzip bzip2 xz zstd 7z rar spack".split()
 #: The words that a strict check knows: extensions, not details, so gzip, bzip2, zstd and matroska are missed.
-DENSE_STRICT = "jpeg png gif webp heic avif mp3 aac ogg opus flac mp4 m4v mkv webm mov zip gz bz2 xz zst 7z rar docx xlsx pptx jar apk".split()
+DENSE_STRICT = "jpeg png gif webp heic avif mp3 aac ogg opus flac mp4 m4v mkv webm mov zip gz bz2 xz zst 7z rar docx xlsx pptx jar apk spk".split()
 TYPE_NAMES = ["Unknown", "Text", "Image", "Audio", "Video", "Executable", "Archive", "Binary"]
-RENAMED = {"kt": "kotlin", "rs": "rust", "rb": "ruby"}
 
 
 def extensions(spark: SparkSession) -> DataFrame:
     """The dimension (ext, type, detail): fixed and small, to be broadcast."""
-    rows = [(e, kind, d or RENAMED.get(e, e)) for kind, words in EXTENSIONS.items() for e, _, d in (w.partition("=") for w in words.split())]
+    rows = [(e, kind, d or e) for kind, words in EXTENSIONS.items() for e, _, d in (w.partition("=") for w in words.split())]
     return spark.createDataFrame(rows, "ext string, ext_type string, ext_detail string")
 
 
@@ -84,12 +83,26 @@ def printable(head: Column) -> Column:
 
 
 def detect_types(files: DataFrame, path: str = "path", head: str = "head") -> DataFrame:
-    """Adds type and type_detail: by signature, else by extension, else by the look of the first bytes."""
+    """Adds type and type_detail: by signature, else by extension, else by the look of the first bytes (none: binary).  Input columns of these names are replaced, all others pass unchanged."""
     dim = F.broadcast(extensions(files.sparkSession))
-    out = files.join(dim, extension(F.col(path)) == F.col("ext"), "left")
+    kept = [c for c in files.columns if c.lower() not in ("type", "type_detail")]
+    # the input rides in a struct, so its names can't meet those of the dimension
+    out = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("input"))
+    out = out.join(dim, extension(F.col(f"input.`{path}`")) == F.col("ext"), "left")
     by_ext = F.when(F.col("ext").isNotNull(), F.struct(F.col("ext_type").alias("type"), F.col("ext_detail").alias("detail")))
-    found = F.coalesce(detect_header(F.col(head)), by_ext, printable(F.col(head)))
-    return out.withColumn("found", found).select(*files.columns, F.col("found.type").alias("type"), F.col("found.detail").alias("type_detail"))
+    first = F.col(f"input.`{head}`")
+    found = F.coalesce(detect_header(first), by_ext, printable(first))
+    return out.select("input", found.alias("found")).select(*[F.col(f"input.`{c}`").alias(c) for c in kept], F.col("found.type").alias("type"), F.col("found.detail").alias("type_detail"))
+
+
+def type_from_name(name: Column) -> Column:
+    """The type that a name in any case means, or null."""
+    return reduce(lambda c, t: c.when(F.lower(name) == t.lower(), t), TYPE_NAMES, F.when(F.lit(False), F.lit("")))
+
+
+def type_id(name: Column) -> Column:
+    """The number of a type in containers; 0 (unknown) for other names."""
+    return reduce(lambda c, t: c.when(F.lower(name) == t[1].lower(), t[0]), enumerate(TYPE_NAMES), F.when(F.lit(False), F.lit(0))).otherwise(0).cast("int")
 
 
 def is_dense(kind: Column, detail: Column, strict: bool = False) -> Column:
@@ -218,9 +231,27 @@ def archive_kind_of_name(path: Column) -> Column:
     return out
 
 
-def drop_route(kind: Column, archive: Column) -> Column:
-    """What to do with a file that is dropped on the engine: archives are extracted, media shrunk, the rest compressed."""
-    return F.when(archive.isNotNull(), "extract").when(kind.isin("Image", "Video"), "shrink").otherwise("compress")
+def drop_route(kind: Column, archive: Column, detail: Column | None = None) -> Column:
+    """What to do with a file that is dropped on the engine: archives and own containers are extracted, media shrunk, the rest compressed."""
+    own = F.lit(False) if detail is None else F.coalesce(detail == "spack", F.lit(False))
+    return F.when(archive.isNotNull() | own, "extract").when(kind.isin("Image", "Video"), "shrink").otherwise("compress")
+
+
+#: Part sizes that are offered for volumes (fixed values).
+PART_SIZES = {"1 mb": 1 << 20, "10 mb": 10 << 20, "100 mb": 100 << 20, "cd": 700 << 20, "fat32": (4 << 30) - 1}
+
+
+def part_size(name: Column) -> Column:
+    """Bytes of a named part size, or of a written one."""
+    return F.coalesce(reduce(lambda c, kv: c.when(F.lower(name) == kv[0], F.lit(kv[1]).cast("bigint")), PART_SIZES.items(), F.when(F.lit(False), F.lit(0).cast("bigint"))), parse_size(name))
+
+
+def fuzzy_rank(name: Column, pattern: Column) -> Column:
+    """How well a name fits what was typed: null unless it has the typed letters in their order, in any case; else the letters between the first and the last of the first such run, so 0 is best."""
+    letters = F.filter(F.split(F.lower(pattern), ""), lambda c: c != "")
+    run = F.array_join(F.transform(letters, lambda c: F.when(c.rlike(r"^[\p{L}\p{N}]$"), c).otherwise(F.concat(F.lit("\\"), c))), ".*?")
+    found = F.call_function("regexp_extract", F.lower(name), F.concat(F.lit("("), run, F.lit(")")), F.lit(1))
+    return F.when(pattern == "", 0).when(found != "", F.length(found) - F.length(pattern))
 
 
 def list_dir(entries: DataFrame, name: str = "name", is_dir: str = "is_dir", hidden: bool = False) -> DataFrame:

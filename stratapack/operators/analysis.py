@@ -8,9 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import exprs
-from ..functions.codecs import CODECS, STRIDES, deltas, entropy, runs
+from ..functions.bits import varint
+from ..functions.codecs import CODECS, STRIDES, best_stride, code_lengths, deltas, entropy, runs
 
 #: Candidates of each priority in order, the level, and how much worse than the best ratio a faster codec may be (fixed values).
 CANDIDATES = {
@@ -37,8 +40,8 @@ def byte_counts(files: DataFrame) -> DataFrame:
 
 
 def byte_stats(files: DataFrame) -> DataFrame:
-    """(file_id, n_bytes, entropy, rle_pairs, stride, stride_entropy): one pass over each content, no shuffle."""
-    fields = [("file_id", pa.int64()), ("n_bytes", pa.int64()), ("entropy", pa.float64()), ("rle_pairs", pa.int64()), ("stride", pa.int32()), ("stride_entropy", pa.float64())]
+    """(file_id, n_bytes, entropy, rle_pairs, stride, stride_entropy, delta_pairs): one pass over each content, no shuffle."""
+    fields = [("file_id", pa.int64()), ("n_bytes", pa.int64()), ("entropy", pa.float64()), ("rle_pairs", pa.int64()), ("stride", pa.int32()), ("stride_entropy", pa.float64()), ("delta_pairs", pa.int64())]
 
     def measure(batches):
         for batch in batches:
@@ -47,11 +50,11 @@ def byte_stats(files: DataFrame) -> DataFrame:
                 raw = np.frombuffer(data.as_buffer(), np.uint8)
                 by_stride = [(round(entropy(deltas(raw, s)), 6), s) for s in STRIDES]
                 best, stride = min(by_stride)
-                rows.append((file_id, len(raw), entropy(raw), int((-(-runs(raw)[1] // 255)).sum()) if len(raw) else 0, stride, best))
+                rows.append((file_id, len(raw), entropy(raw), rle_bytes(raw) // 2, stride, best, rle_bytes(deltas(raw, stride)) // 2))
             cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
             yield pa.record_batch([pa.array(c, k) for c, (_, k) in zip(cols, fields, strict=True)], names=[f for f, _ in fields])
 
-    return files.select("file_id", "content").mapInArrow(measure, "file_id bigint, n_bytes bigint, entropy double, rle_pairs bigint, stride int, stride_entropy double")
+    return files.select("file_id", "content").mapInArrow(measure, "file_id bigint, n_bytes bigint, entropy double, rle_pairs bigint, stride int, stride_entropy double, delta_pairs bigint")
 
 
 def varint_size(n: Column) -> Column:
@@ -59,30 +62,57 @@ def varint_size(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("bigint")
 
 
-TRIAL = "file_id bigint, algo string, ord int, sample_bytes bigint, compressed_bytes bigint, ratio double, elapsed_ms double"
+def rle_bytes(raw: np.ndarray) -> int:
+    """Bytes of the pairs of a run-length code."""
+    return 2 * int((-(-runs(raw)[1] // 255)).sum()) if len(raw) else 0
 
 
-def trials(samples: DataFrame, priority: str = "balanced") -> DataFrame:
-    """(file_id, algo, ord, sample_bytes, compressed_bytes, ratio, elapsed_ms): each candidate over each sample (file_id, content) as one block.
+def trial_size(name: str, data: bytes, level: int) -> int:
+    """Bytes of a block under a codec; huffman, rle and delta-rle are counted instead of made."""
+    raw, head = np.frombuffer(data, np.uint8), len(varint(len(data)))
+    if name == "huffman":
+        counts = np.bincount(raw, minlength=256)
+        return head + 256 + (int((counts * code_lengths(counts)).sum()) + 7 >> 3)
+    if name == "rle":
+        return head + rle_bytes(raw)
+    if name == "delta-rle":
+        return head + (1 + rle_bytes(deltas(raw, best_stride(raw))) if len(raw) else 0)
+    return len(CODECS[name].encode(data, level))
 
-    A codec that fails on a sample has no row.
+
+TRIAL = "array<struct<algo:string,ord:int,sample_bytes:bigint,compressed_bytes:bigint,ratio:double,elapsed_ms:double>>"
+
+
+def measure(files: DataFrame, priority: str = "balanced", content: str = "content", vain: str = "dense") -> DataFrame:
+    """Replaces `content` by sample_size, entropy and trials: each candidate of `priority` over the content as one block.  One pass, no shuffle.
+
+    Rows where `vain` is true, and empty ones, have no trials; a codec that fails on a sample has none.  All other columns pass unchanged.
     """
     words, level, _ = CANDIDATES[priority]
+    schema = T.StructType([*(f for f in files.schema.fields if f.name != content), T.StructField("sample_size", T.LongType()), T.StructField("entropy", T.DoubleType()), T.StructField("trials", T._parse_datatype_string(TRIAL))])
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for file_id, data in zip(batch.column("file_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for k, name in enumerate(words.split()):
-                    began = time.perf_counter()
-                    try:
-                        n = len(CODECS[name].encode(data, level))
-                    except (ValueError, MemoryError):
-                        continue
-                    rows.append({"file_id": file_id, "algo": name, "ord": k, "sample_bytes": len(data), "compressed_bytes": n, "ratio": n / len(data), "elapsed_ms": (time.perf_counter() - began) * 1000})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file_id", pa.int64()), ("algo", pa.string()), ("ord", pa.int32()), ("sample_bytes", pa.int64()), ("compressed_bytes", pa.int64()), ("ratio", pa.float64()), ("elapsed_ms", pa.float64())]))
-
-    return samples.where(F.octet_length("content") > 0).select("file_id", "content").mapInArrow(run, TRIAL)
+            for k in range(0, len(batch), 64):
+                part = batch.slice(k, 64)
+                sizes, entropies, found = [], [], []
+                for data, skip in zip(part.column(content).to_pylist(), part.column(vain).to_pylist(), strict=True):
+                    data, own = data or b"", []
+                    for ord_, name in enumerate(words.split()) if data and not skip else ():
+                        began = time.perf_counter()
+                        try:
+                            n = trial_size(name, data, level)
+                        except (ValueError, MemoryError):
+                            continue
+                        own.append({"algo": name, "ord": ord_, "sample_bytes": len(data), "compressed_bytes": n, "ratio": n / len(data), "elapsed_ms": (time.perf_counter() - began) * 1000})
+                    sizes.append(len(data))
+                    entropies.append(entropy(np.frombuffer(data, np.uint8)))
+                    found.append(own)
+                cols = [part.column(f.name) for f in schema.fields[:-3]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(entropies, pa.float64()), pa.array(found, arrow.field("trials").type)], schema=arrow)
+
+    return files.mapInArrow(run, schema)
 
 
 def speed_of(algo: Column) -> Column:
@@ -92,46 +122,54 @@ def speed_of(algo: Column) -> Column:
     return out
 
 
-def select_codec(measured: DataFrame, tolerance: float, by_time: bool = False) -> DataFrame:
-    """(file_id, algo, ratio, best_ratio): of the codecs within `tolerance` of the best ratio the fastest, of equals the first candidate.
+def chosen(trials: Column, tolerance: float, by_time: bool = False) -> Column:
+    """struct(algo, ratio, best_ratio) of an array of trials: of the codecs within `tolerance` of the best ratio the fastest, of equals the first candidate; null without trials.
 
     Speed is the registry's figure, so the choice is repeatable; `by_time` takes the measured time.
     """
-    own = Window.partitionBy("file_id")
-    cost = F.col("elapsed_ms") if by_time else -speed_of(F.col("algo"))
-    order = [F.col("ratio"), F.col("ord")] if tolerance <= 1 else [cost, F.col("ratio"), F.col("ord")]
-    near = measured.withColumn("best_ratio", F.min("ratio").over(own)).where(F.col("ratio") <= F.col("best_ratio") * tolerance)
-    return near.groupBy("file_id").agg(F.min_by(F.struct("algo", "ratio", "best_ratio"), F.struct(*order)).alias("x")).select("file_id", "x.*")
+    best = F.array_min(F.transform(trials, lambda t: t["ratio"]))
+    cost = (lambda t: t["elapsed_ms"]) if by_time else (lambda t: -speed_of(t["algo"]))
+    order = (lambda t: [t["ratio"], t["ord"].cast("double")]) if tolerance <= 1 else (lambda t: [cost(t), t["ratio"], t["ord"].cast("double")])
+    near = F.filter(trials, lambda t: t["ratio"] <= best * tolerance)
+    first = F.array_min(F.transform(near, lambda t: F.struct(F.array(*order(t)).alias("order"), t["algo"].alias("algo"), t["ratio"].alias("ratio"))))
+    return F.when(first.isNotNull(), F.struct(first["algo"].alias("algo"), first["ratio"].alias("ratio"), best.alias("best_ratio")))
 
 
 def analyze(files: DataFrame, priority: str = "balanced", sample_bytes: int = 1 << 20, by_time: bool = False, strict: bool = False) -> DataFrame:
     """One row for each file (file_id, path, content): type, entropy, recommended codec and level, and why.
 
-    Compressed formats and empty files are stored without trials: they are filtered before the kernel.
+    One pass without a shuffle.  Compressed formats and empty files are stored without trials.  A null content is a file that is not there: it is stored too, with a reason.  Ids may be null or repeat.
     """
     head = files.select("file_id", "path", F.substring("content", 1, sample_bytes).alias("content"))
     typed = exprs.detect_types(head.withColumn("head", F.substring("content", 1, 4096)), "path", "head").drop("head")
-    typed = typed.withColumn("dense", exprs.is_dense(F.col("type"), F.col("type_detail"), strict))
+    typed = typed.withColumn("dense", exprs.is_dense(F.col("type"), F.col("type_detail"), strict)).withColumn("missing", F.col("content").isNull())
     _, level, tolerance = CANDIDATES[priority]
-    chosen = select_codec(trials(typed.where(~F.col("dense")), priority), tolerance, by_time)
-    stats = byte_stats(typed.select("file_id", "content")).select("file_id", F.col("n_bytes").alias("sample_size"), "entropy")
-    out = typed.drop("content").join(stats, "file_id").join(chosen, "file_id", "left")
-    vain = F.col("best_ratio") >= VAIN
+    out = measure(typed, priority).withColumn("x", chosen(F.col("trials"), tolerance, by_time))
+    vain = F.col("x.best_ratio") >= VAIN
     why = (
-        F.when(F.col("dense"), F.format_string("%s is compressed already", F.col("type_detail")))
+        F.when(F.col("missing"), "the file is not there")
         .when(F.col("sample_size") == 0, "the file is empty")
-        .when(F.col("algo").isNull(), "no codec took the sample")
-        .when(vain, F.format_string("no codec gets below %.4f", F.col("best_ratio")))
-        .otherwise(F.format_string("%s: ratio %.4f, the best is %.4f", "algo", "ratio", "best_ratio"))
+        .when(F.col("dense"), F.format_string("%s is compressed already", F.col("type_detail")))
+        .when(F.col("x").isNull(), "no codec took the sample")
+        .when(vain, F.concat(F.lit("no codec gets below "), exprs.format_ratio(F.col("x.best_ratio"))))
+        .otherwise(F.concat(F.col("x.algo"), F.lit(": ratio "), exprs.format_ratio(F.col("x.ratio")), F.lit(", the best is "), exprs.format_ratio(F.col("x.best_ratio"))))
     )
-    raw = F.col("dense") | F.col("algo").isNull() | F.coalesce(vain, F.lit(False))
+    raw = F.col("dense") | F.col("x").isNull() | F.coalesce(vain, F.lit(False))
     return out.select(
         "file_id", "path", "type", "type_detail", "sample_size", "entropy", raw.alias("store_raw"),
-        F.when(raw, "store").otherwise(F.col("algo")).alias("algo"), F.lit(level).alias("level"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("best_ratio", F.lit(1.0)))).alias("compressibility"), why.alias("rationale"),
+        F.when(raw, "store").otherwise(F.col("x.algo")).alias("algo"), F.lit(level).alias("level"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("x.best_ratio", F.lit(1.0)))).alias("compressibility"), why.alias("rationale"),
     )
 
 
+def inspect(files: DataFrame, sample_bytes: int = 1 << 20) -> DataFrame:
+    """One row a file (file_id, path, content): size, type, and entropy and CRC of its first `sample_bytes`."""
+    head = files.select("file_id", "path", F.octet_length("content").cast("bigint").alias("size"), F.substring("content", 1, sample_bytes).alias("content"))
+    typed = exprs.detect_types(head.withColumn("head", F.substring("content", 1, 4096)), "path", "head").drop("head")
+    out = measure(typed.withColumn("crc", F.crc32("content")).withColumn("dense", F.lit(True)))
+    return out.select("file_id", "path", "size", "type", "type_detail", "sample_size", "entropy", "crc")
+
+
 def benchmark(files: DataFrame, level: int = 6, limit: int | None = None, algos: list[str] | None = None) -> DataFrame:
     """(algo, n_blocks, in_bytes, out_bytes, ratio, seconds, mbps, rank, best_ratio, best_speed): every codec over every block.
 

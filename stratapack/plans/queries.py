@@ -86,11 +86,11 @@ def delta_stride(spark, sf_dir):
 
 
 @query(
-    """SELECT page_id, 'Text' AS type, CASE WHEN regexp_matches(url, '\\.html?$') THEN 'html' ELSE 'text' END AS type_detail FROM pages
-WHERE html IS NOT NULL"""
+    """SELECT page_id, CASE WHEN NOT coalesce(regexp_matches(url, '\\.html?$'), false) AND coalesce(html, '') = '' THEN 'Binary' ELSE 'Text' END AS type,
+CASE WHEN regexp_matches(url, '\\.html?$') THEN 'html' WHEN coalesce(html, '') = '' THEN 'binary' ELSE 'text' END AS type_detail FROM pages"""
 )
 def type_detect(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("html is not null")
+    pages = table(spark, sf_dir, "pages")
     out = exprs.detect_types(pages.select("page_id", F.col("url").alias("path"), F.substring(F.col("html").cast("binary"), 1, 4096).alias("head")))
     return out.select("page_id", "type", "type_detail")
 
@@ -199,32 +199,56 @@ def split_join(spark, sf_dir):
 # --- choice and ranking -------------------------------------------------------------------------
 
 
-@query(
-    f"""WITH v AS (SELECT doc_id, i, ('0x' || b)::INTEGER AS b FROM ({BYTES})), s AS (SELECT doc_id, max(i) AS n FROM v GROUP BY doc_id),
+def _differences(k: int) -> str:
+    return f"SELECT doc_id, i, {k} AS stride, (b - coalesce(lag(b, {k}) OVER (PARTITION BY doc_id ORDER BY i), 0) + 256) % 256 AS d FROM v"
+
+
+#: Bytes under store, rle and delta-rle of every document that has any.
+TRIALS_SQL = f"""WITH v AS (SELECT doc_id, i, ('0x' || b)::INTEGER AS b FROM ({BYTES})), size AS (SELECT doc_id, max(i) AS n FROM v GROUP BY doc_id),
+strides AS ({_stride(1)} UNION ALL {_stride(2)} UNION ALL {_stride(4)}), chosen AS (SELECT doc_id, arg_min(stride, (e, stride)) AS stride FROM strides GROUP BY doc_id),
+dv AS (SELECT d.* FROM ({_differences(1)} UNION ALL {_differences(2)} UNION ALL {_differences(4)}) d JOIN chosen USING (doc_id, stride)),
 r AS (SELECT doc_id, sum(ceil(n / 255)) * 2 AS body FROM ({RUNS}) GROUP BY doc_id),
-t AS (SELECT doc_id, 'store' AS algo, 1 AS ord, n::DOUBLE AS out, n, 3000 AS speed FROM s
-      UNION ALL SELECT doc_id, 'rle', 0, body + ceil(length(bin(n)) / 7), n, 900 FROM r JOIN s USING (doc_id)),
-best AS (SELECT doc_id, min(out / n) AS best FROM t GROUP BY doc_id)
+dr AS (SELECT doc_id, sum(ceil(n / 255)) * 2 AS body FROM (
+  SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, i, sum(edge) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+    SELECT doc_id, i, (d IS DISTINCT FROM lag(d) OVER (PARTITION BY doc_id ORDER BY i))::INT AS edge FROM dv)) GROUP BY doc_id, g) GROUP BY doc_id),
+t AS (SELECT doc_id, 'store' AS algo, 1 AS ord, n::DOUBLE AS out, n, 3000 AS speed FROM size
+      UNION ALL SELECT doc_id, 'rle', 0, body + ceil(length(bin(n)) / 7), n, 900 FROM r JOIN size USING (doc_id)
+      UNION ALL SELECT doc_id, 'delta-rle', 2, body + 1 + ceil(length(bin(n)) / 7), n, 400 FROM dr JOIN size USING (doc_id))"""
+
+
+@query(
+    f"""{TRIALS_SQL}, best AS (SELECT doc_id, min(out / n) AS best FROM t GROUP BY doc_id)
 SELECT doc_id, arg_min(algo, (-speed, out / n, ord)) AS algo, round(arg_min(out / n, (-speed, out / n, ord)), 6)::DOUBLE AS ratio, round(min(best), 6)::DOUBLE AS best_ratio
-FROM t JOIN best USING (doc_id) WHERE out / n <= best * 1.15 GROUP BY doc_id"""
+FROM t JOIN best USING (doc_id) WHERE out / n <= best * 1.15 GROUP BY doc_id
+UNION ALL SELECT doc_id, 'store', 1.0, 1.0 FROM documents WHERE coalesce(text, '') = ''"""
 )
 def select_codec(spark, sf_dir):
-    s = analysis.byte_stats(documents(spark, sf_dir)).where("n_bytes > 0")
-    sizes = F.array(F.struct(F.lit("store").alias("algo"), F.lit(1).alias("ord"), F.col("n_bytes").alias("out")), F.struct(F.lit("rle").alias("algo"), F.lit(0).alias("ord"), (F.col("rle_pairs") * 2 + analysis.varint_size(F.col("n_bytes"))).alias("out")))
-    t = s.select("file_id", "n_bytes", F.explode(sizes).alias("t")).select("file_id", "t.algo", "t.ord", (F.col("t.out") / F.col("n_bytes")).alias("ratio"))
-    out = analysis.select_codec(t, 1.15)
-    return out.select(F.col("file_id").alias("doc_id"), "algo", F.round("ratio", 6).alias("ratio"), F.round("best_ratio", 6).alias("best_ratio"))
+    """The choice among the codecs whose sizes SQL can state; an empty document is stored."""
+    s = analysis.byte_stats(documents(spark, sf_dir))
+    n, head = F.col("n_bytes"), analysis.varint_size(F.col("n_bytes"))
+    trial = lambda name, ord_, out: F.struct(F.lit(name).alias("algo"), F.lit(ord_).alias("ord"), (out / n).alias("ratio"))
+    trials = F.array(trial("store", 1, n), trial("rle", 0, F.col("rle_pairs") * 2 + head), trial("delta-rle", 2, F.col("delta_pairs") * 2 + head + 1))
+    x = s.select("file_id", F.when(n > 0, analysis.chosen(F.when(n > 0, trials), 1.15)).alias("x"))
+    return x.select(F.col("file_id").alias("doc_id"), F.coalesce("x.algo", F.lit("store")).alias("algo"), F.coalesce(F.round("x.ratio", 6), F.lit(1.0)).alias("ratio"), F.coalesce(F.round("x.best_ratio", 6), F.lit(1.0)).alias("best_ratio"))
 
 
 @query(
-    f"""SELECT algo, in_bytes, out_bytes, row_number() OVER (ORDER BY out_bytes / in_bytes, algo)::INTEGER AS rank FROM (
-  SELECT 'store' AS algo, sum(n)::BIGINT AS in_bytes, sum(n)::BIGINT AS out_bytes FROM (SELECT doc_id, max(i) AS n FROM ({BYTES}) GROUP BY doc_id)
-  UNION ALL SELECT 'rle', sum(n)::BIGINT, sum(least(n, size))::BIGINT FROM (
-    SELECT doc_id, max(n) AS n, max(body) + ceil(length(bin(max(n))) / 7) AS size FROM
-      (SELECT doc_id, sum(n) AS n, sum(ceil(n / 255)) * 2 AS body FROM ({RUNS}) GROUP BY doc_id) GROUP BY doc_id))"""
+    f"""{TRIALS_SQL} SELECT algo, in_bytes, out_bytes, row_number() OVER (ORDER BY out_bytes / in_bytes, algo)::INTEGER AS rank FROM (SELECT algo, sum(n)::BIGINT AS in_bytes, sum(least(n, out))::BIGINT AS out_bytes FROM t GROUP BY algo)"""
 )
 def bench_rank(spark, sf_dir):
-    return analysis.benchmark(documents(spark, sf_dir), algos=["store", "rle"]).select("algo", "in_bytes", "out_bytes", "rank")
+    return analysis.benchmark(documents(spark, sf_dir), algos=["store", "rle", "delta-rle"]).select("algo", "in_bytes", "out_bytes", "rank")
+
+
+@query(
+    """SELECT l_returnflag AS algo, sum(l_orderkey)::BIGINT AS in_bytes, sum(l_partkey)::BIGINT AS out_bytes, round(sum(l_partkey) / sum(l_orderkey), 6)::DOUBLE AS ratio, round(sum(l_orderkey) / sum(l_linenumber) / 1e6, 9)::DOUBLE AS mbps,
+row_number() OVER (ORDER BY sum(l_partkey) / sum(l_orderkey), l_returnflag)::INTEGER AS rank, row_number() OVER (ORDER BY sum(l_partkey) / sum(l_orderkey), l_returnflag) = 1 AS best_ratio,
+sum(l_orderkey) / sum(l_linenumber) = max(sum(l_orderkey) / sum(l_linenumber)) OVER () AS best_speed FROM lineitem GROUP BY l_returnflag"""
+)
+def rank_flags(spark, sf_dir):
+    """Ranking, throughput and the flags of the best, of totals that don't depend on a clock."""
+    totals = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("algo")).agg(F.sum("l_orderkey").alias("in_bytes"), F.sum("l_partkey").alias("out_bytes"), F.sum("l_linenumber").cast("double").alias("seconds"))
+    out = analysis.rank_codecs(totals)
+    return out.select("algo", "in_bytes", "out_bytes", F.round("ratio", 6).alias("ratio"), F.round("mbps", 9).alias("mbps"), "rank", "best_ratio", "best_speed")
 
 
 @query()
@@ -240,6 +264,55 @@ def analyze_documents(spark, sf_dir):
     return analysis.analyze(files)
 
 
+#: Every fifth document begins like a JPEG, gzip, PDF or zip file; of every eleventh there is no content at all, and every thirteenth is empty.
+ODD_FILES = f"""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN ''::BLOB ELSE unhex({HEADS}) || encode(coalesce(text, '')) END AS content, 'doc-' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.PNG' ELSE '' END AS path FROM documents"""
+TYPED_SQL = f"""SELECT doc_id, content, path, CASE WHEN starts_with(h, 'FFD8FF') THEN 'Image' WHEN starts_with(h, '504B0304') OR starts_with(h, '1F8B') THEN 'Archive' WHEN starts_with(h, '25504446') THEN 'Binary'
+WHEN doc_id % 3 = 0 THEN 'Text' WHEN doc_id % 3 = 1 THEN 'Image' WHEN h = '' THEN 'Binary' ELSE 'Text' END AS type,
+CASE WHEN starts_with(h, 'FFD8FF') THEN 'jpeg' WHEN starts_with(h, '504B0304') THEN 'zip' WHEN starts_with(h, '1F8B') THEN 'gzip' WHEN starts_with(h, '25504446') THEN 'pdf'
+WHEN doc_id % 3 = 0 THEN 'csv' WHEN doc_id % 3 = 1 THEN 'png' WHEN h = '' THEN 'binary' ELSE 'text' END AS type_detail FROM (SELECT *, coalesce(hex(content), '') AS h FROM ({ODD_FILES}))"""
+
+
+def _odd_files(spark, sf_dir) -> DataFrame:
+    content = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 13 == 0, F.lit(b"")).otherwise(F.concat(F.unhex(F.expr(HEADS)), F.coalesce("text", F.lit("")).cast("binary")))
+    path = F.concat(F.lit("doc-"), "doc_id", F.expr("CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.PNG' ELSE '' END"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), content.alias("content"))
+
+
+@query(
+    f"""SELECT doc_id, type, type_detail, coalesce(octet_length(content), 0)::BIGINT AS sample_size, 9::INTEGER AS level, 'store' AS algo, true AS store_raw, 0.0::DOUBLE AS compressibility,
+CASE WHEN content IS NULL THEN 'the file is not there' WHEN octet_length(content) = 0 THEN 'the file is empty' ELSE type_detail || ' is compressed already' END AS rationale
+FROM ({TYPED_SQL}) WHERE content IS NULL OR octet_length(content) = 0 OR type_detail IN ('jpeg', 'png', 'gzip', 'zip')"""
+)
+def analyzer_vetoes(spark, sf_dir):
+    """The files that the analyzer stores without trials: those that are not there, empty ones, and compressed formats."""
+    out = analysis.analyze(_odd_files(spark, sf_dir), "max-ratio")
+    some = out.where(F.col("rationale").rlike("not there|empty|compressed already"))
+    return some.select(F.col("file_id").alias("doc_id"), "type", "type_detail", "sample_size", "level", "algo", "store_raw", "compressibility", "rationale")
+
+
+@query(
+    f"""WITH f AS ({TYPED_SQL}), b AS (SELECT doc_id, unnest(regexp_extract_all(substr(hex(content), 1, 2000), '..')) AS b FROM f), h AS (SELECT doc_id, b, count(*) AS n FROM b GROUP BY doc_id, b),
+e AS (SELECT doc_id, -sum(n / total * log2(n / total)) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM h) GROUP BY doc_id)
+SELECT doc_id, octet_length(content)::BIGINT AS size, type, type_detail, least(1000, coalesce(octet_length(content), 0))::BIGINT AS sample_size, (round(coalesce(e, 0), 6) + 0)::DOUBLE AS entropy, content IS NOT NULL AS has_crc FROM f LEFT JOIN e USING (doc_id)"""
+)
+def inspect_files(spark, sf_dir):
+    """Size, type, and entropy of the first 1000 bytes."""
+    out = analysis.inspect(_odd_files(spark, sf_dir), 1000)
+    return out.select(F.col("file_id").alias("doc_id"), "size", "type", "type_detail", "sample_size", (F.round("entropy", 6) + 0).alias("entropy"), F.col("crc").isNotNull().alias("has_crc"))
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN type = 'Image' THEN 2 WHEN type = 'Archive' THEN 6 WHEN type = 'Binary' THEN 7 ELSE 1 END::INTEGER AS type_id, CASE doc_id % 3 WHEN 0 THEN type END AS from_name,
+CASE WHEN starts_with(hex(content), '504B0304') THEN 'extract' WHEN starts_with(hex(content), '1F8B') THEN 'extract' WHEN type = 'Image' THEN 'shrink' ELSE 'compress' END AS route FROM ({TYPED_SQL})"""
+)
+def type_names_and_routes(spark, sf_dir):
+    """Numbers and names of types, and what is done with a file that is dropped on the engine."""
+    f = _odd_files(spark, sf_dir).withColumn("head", F.substring("content", 1, 4096))
+    out = exprs.detect_types(f)
+    name = F.when(F.col("file_id") % 3 == 0, F.upper("type")).otherwise(F.lit("no type"))
+    return out.select(F.col("file_id").alias("doc_id"), exprs.type_id(F.col("type")).alias("type_id"), exprs.type_from_name(name).alias("from_name"), exprs.drop_route(F.col("type"), exprs.archive_kind(F.col("head")), F.col("type_detail")).alias("route"))
+
+
 # --- scalars ------------------------------------------------------------------------------------
 
 
@@ -275,6 +348,26 @@ def parse_size(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", exprs.parse_size(text).alias("bytes"))
 
 
+NAMED_SIZES = "CASE o_orderkey % 7 WHEN 0 THEN 'CD' WHEN 1 THEN 'fat32' WHEN 2 THEN '10 MB' WHEN 3 THEN '1 mb' WHEN 4 THEN '100 MB' WHEN 5 THEN '64K' ELSE 'x' END"
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 734003200 WHEN 1 THEN 4294967295 WHEN 2 THEN 10485760 WHEN 3 THEN 1048576 WHEN 4 THEN 104857600 WHEN 5 THEN 65536 END::BIGINT AS bytes FROM orders")
+def part_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", exprs.part_size(F.expr(NAMED_SIZES)).alias("bytes"))
+
+
+@query(
+    r"""SELECT page_id, url, length(f) - 3 AS gap FROM (SELECT page_id, url, regexp_extract(lower(url), '(e.*?x.*?m)') AS f FROM pages) WHERE f <> ''
+UNION ALL SELECT page_id, url, length(f) - 3 + 100000 FROM (SELECT page_id, url, regexp_extract(lower(url), '(/.*?\..*?n)') AS f FROM pages) WHERE f <> ''"""
+)
+def fuzzy_names(spark, sf_dir):
+    """Names that have the typed letters in their order, and how tightly."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    one = pages.withColumn("gap", exprs.fuzzy_rank(F.col("url"), F.lit("eXm")))
+    two = pages.withColumn("gap", exprs.fuzzy_rank(F.col("url"), F.lit("/.n")) + 100000)
+    return one.union(two).where("gap is not null").withColumn("gap", F.col("gap").cast("bigint"))
+
+
 @query("SELECT item_id, lower(hex(encode(text))) AS digits, sha256(text) AS sha FROM benchmark")
 def hex_round_trip(spark, sf_dir):
     digits = exprs.to_hex(F.col("text").cast("binary"))

@@ -77,10 +77,26 @@ def test_analyzer(spark):
 
 
 def test_selection_band(spark):
-    rows = [(1, "lz77", 0, 0.50), (1, "lzw", 1, 0.51), (1, "huffman", 2, 0.60), (2, "lz77", 0, 0.5), (2, "delta-rle", 3, 0.5)]
-    m = spark.createDataFrame(rows, "file_id long, algo string, ord int, ratio double")
-    pick = lambda t: {r.file_id: r.algo for r in analysis.select_codec(m, t).collect()}
-    assert pick(1.0) == {1: "lz77", 2: "lz77"} and pick(1.05) == {1: "lzw", 2: "delta-rle"} and pick(1.25)[1] == "huffman"
+    rows = [(1, [("lz77", 0, 0.50), ("lzw", 1, 0.51), ("huffman", 2, 0.60)]), (2, [("lz77", 0, 0.5), ("delta-rle", 3, 0.5)]), (3, [])]
+    m = spark.createDataFrame(rows, "file_id long, trials array<struct<algo:string,ord:int,ratio:double>>")
+    pick = lambda t: {r.file_id: r.x and r.x.algo for r in m.select("file_id", analysis.chosen(F.col("trials"), t).alias("x")).collect()}
+    assert pick(1.0) == {1: "lz77", 2: "lz77", 3: None} and pick(1.05) == {1: "lzw", 2: "delta-rle", 3: None} and pick(1.25)[1] == "huffman"
+
+
+def test_trial_sizes_are_those_of_the_codecs():
+    for data in (b"", b"a", b"aab" * 500, TEXT, NOISE, bytes(range(256)) * 9):
+        for name in analysis.CODECS:
+            if name != "bwt-mtf-ari" or len(data) < 5000:
+                assert analysis.trial_size(name, data, 6) == len(analysis.CODECS[name].encode(data, 6)), name
+
+
+def test_inspect_and_clashing_names(spark):
+    rows = [(1, "a.txt", bytearray(TEXT)), (2, "b", None), (None, "c.spk", bytearray(b"SPACK..")), (4, "d", bytearray(b""))]
+    got = {r.path: r for r in analysis.inspect(spark.createDataFrame(rows, "file_id long, path string, content binary"), 100).collect()}
+    assert (got["a.txt"].size, got["a.txt"].sample_size, got["a.txt"].crc) == (len(TEXT), 100, zlib.crc32(TEXT[:100])) and got["b"].size is None and got["b"].crc is None
+    assert got["c.spk"].type_detail == "spack" and got["d"].type_detail == "binary"
+    odd = spark.createDataFrame([("a.py", bytearray(b"x"), 1, 2, 3)], "path string, head binary, ext int, found int, type int")
+    assert exprs.detect_types(odd).first().asDict() == {"path": "a.py", "head": bytearray(b"x"), "ext": 1, "found": 2, "type": "Text", "type_detail": "python"}
 
 
 def test_benchmark(spark, files):
@@ -107,6 +123,10 @@ def test_scalars(spark):
     for n, want in {0: "0 B", 1023: "1023 B", 1536: "1.50 KiB", 1 << 20: "1.00 MiB", 5 << 30: "5.00 GiB", 3 << 40: "3.00 TiB", 2 << 50: "2.00 PiB"}.items():
         assert one(exprs.human_size(F.lit(n))) == want
     assert one(exprs.human_rate(F.lit(999.5))) == "999.50 MB/s" and one(exprs.human_rate(F.lit(1500.0))) == "1.50 GB/s" and one(exprs.format_ratio(F.lit(0.21244))) == "0.2124"
+    for x, want in {1.015: "1.01", 1.035: "1.03", 2.675: "2.67", 0.125: "0.12", 0.375: "0.38", -1.015: "-1.01", 1e-9: "0.00"}.items():
+        assert one(exprs.fixed(F.lit(x), 2)) == want == f"{x:.2f}"
+    assert one(exprs.fuzzy_rank(F.lit("Report.Final.txt"), F.lit("rf.t"))) == 10 and one(exprs.fuzzy_rank(F.lit("abc"), F.lit("cb"))) is None and one(exprs.fuzzy_rank(F.lit("abc"), F.lit(""))) == 0
+    assert one(exprs.part_size(F.lit("cd"))) == 700 << 20 and one(exprs.part_size(F.lit("3k"))) == 3072
     assert one(exprs.sanitize(F.lit("a\x1b[1m\x7f"))) == "a?[1m?"
     assert bytes(one(exprs.from_hex(F.lit("0a F f1")))) == b"\x0a\xff" and one(exprs.from_hex(F.lit("zz"))) is None
     for name, ok in {"a.txt": True, "..": False, "a/b": False, "a\nb": False, "": False}.items():
@@ -115,8 +135,8 @@ def test_scalars(spark):
         assert one(exprs.safe_path(F.lit(p))) is ok
     head = F.lit(archives.pack([archives.Entry("a", b"b")], "tar"))
     assert one(exprs.archive_kind(head)) == "tar" and one(exprs.archive_kind_of_name(F.lit("x.tgz"))) == "tar.gz"
-    routes = [one(exprs.drop_route(F.lit(k), F.lit(a))) for k, a in (("Archive", "zip"), ("Video", None), ("Text", None))]
-    assert routes == ["extract", "shrink", "compress"]
+    routes = [one(exprs.drop_route(F.lit(k), F.lit(a))) for k, a in (("Archive", "zip"), ("Video", None), ("Text", None))] + [one(exprs.drop_route(F.lit("Archive"), F.lit(None), F.lit("spack")))]
+    assert routes == ["extract", "shrink", "compress", "extract"]
 
 
 def test_volumes(spark):
