@@ -24,6 +24,8 @@ WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
 #: Training takes about so many windows in all, the same number from each language, and no more.
 MAX_WINDOWS = 8000
+#: Small samples are gone through more often, so that training takes so many steps at least.
+LEAST_STEPS = 300
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +57,7 @@ class ByteCnn:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(x)))):
             order = rng.permutation(len(x))
             for a in range(0, len(x), batch):
                 step += 1
@@ -158,7 +160,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> Data
     """`docs` with lang_pred and score, from every window of the whole text.
 
     lang_pred is one of the model's languages, or 'und' with score 0 where the text is null or has no letter (also where there
-    is no model).  Equal texts get equal results; of equal probabilities the first language in the model's order wins.  Input columns named
+    is no model).  Very long texts are read whole.  Equal texts get equal results; of equal probabilities the first language in the model's order wins.  Input columns named
     lang_pred or score are replaced.  An empty table gives an empty table.
     """
     docs = docs.drop("lang_pred", "score")
