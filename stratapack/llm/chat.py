@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import cut, table
 
 CALLS = "array<struct<id:string,name:string,arguments:string>>"
-PARSED = f"conv_id bigint, turn bigint, role string, text string, calls {CALLS}, answers string, defined array<struct<name:string,schema:string>>"
+PARSED = f"conv_id bigint, turn bigint, role string, text string, calls {CALLS}, answers string, content string, defined array<struct<name:string,schema:string>>"
 #: What messages are joined by: the id of a call, the name of a tool, and that a conversation defines tools at all.
 ID, TOOL, ANY = range(3)
 
@@ -68,7 +68,7 @@ def read_json(text: str):
     except RecursionError:
         raise ValueError("too deep") from None
     level, todo = 0, [value]
-    while todo:
+    while todo and text.count("[") + text.count("{") > DEEPEST:
         todo = [x for v in todo if isinstance(v, dict | list) for x in (v.values() if isinstance(v, dict) else v)]
         level += 1
         if level > DEEPEST + 1:
@@ -201,8 +201,8 @@ def _name(v) -> str | None:
     return None if v is None else _valid(v if isinstance(v, str) else canonical(v))
 
 
-def _calls(text: str | None) -> list[dict]:
-    v = _object(text)
+def _calls(v: dict | None) -> list[dict]:
+    """The calls that an assistant's object makes."""
     out = []
     for c in v["tool_calls"] if v and isinstance(v.get("tool_calls"), list) else []:
         if isinstance(c, dict):
@@ -212,9 +212,8 @@ def _calls(text: str | None) -> list[dict]:
     return out
 
 
-def _tools(text: str | None) -> list[dict] | None:
-    """Names and schemas (as JSON) that a system message defines; None if it has no list of tools."""
-    v = _object(text)
+def _tools(v: dict | None) -> list[dict] | None:
+    """Names and schemas (as JSON) that a system message's object defines; None if it has no list of tools."""
     if not v or not isinstance(v.get("tools"), list):
         return None
     out = []
@@ -261,11 +260,14 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
 
     def parse(batches):
         for batch in batches:
-            roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
-            calls = [_calls(t) if r == "assistant" else [] for r, t in zip(roles, texts, strict=True)]
-            found = [(_object(t) or {}).get("tool_call_id") if r == "tool" else None for r, t in zip(roles, texts, strict=True)]
-            defined = [_tools(t) if r == "system" else None for r, t in zip(roles, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(calls, arrow.field("calls").type), pa.array([_name(x) for x in found], pa.string()), pa.array(defined, arrow.field("defined").type)], schema=arrow)
+            roles = batch.column("role").to_pylist()
+            objects = [_object(t) if r in ("assistant", "tool", "system") else None for r, t in zip(roles, batch.column("text").to_pylist(), strict=True)]
+            calls = [_calls(v) if r == "assistant" else [] for r, v in zip(roles, objects, strict=True)]
+            answers = [_name((v or {}).get("tool_call_id")) if r == "tool" else None for r, v in zip(roles, objects, strict=True)]
+            content = [None if v is None or not (made or answered is not None) else canonical(v.get("content")) for v, made, answered in zip(objects, calls, answers, strict=True)]
+            defined = [_tools(v) if r == "system" else None for r, v in zip(roles, objects, strict=True)]
+            more = [pa.array(x, arrow.field(c).type) for c, x in (("calls", calls), ("answers", answers), ("content", content), ("defined", defined))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema=arrow)
 
     arrow = to_arrow_schema(T._parse_datatype_string(PARSED))
     parsed = own.mapInArrow(parse, PARSED)
@@ -307,7 +309,7 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
                 message = {"role": r["role"], "content": r["text"]}
                 wrong = []
                 if r["answers"] is not None:
-                    message |= {"tool_call_id": r["answers"], "content": (_object(r["text"]) or {}).get("content")}
+                    message |= {"tool_call_id": r["answers"], "content": json.loads(r["content"] or "null")}
                     link = found.get(0)
                     status = "ok" if link else "orphan"
                     if link and at <= link["turn"]:
@@ -324,12 +326,12 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
                         made.append({"id": c["id"], "name": c["name"], "arguments": args} | ({"violations": bad} if bad else {}))
                         if found.get(k) and (found[k]["turn"], found[k]["k"]) != (at, k):
                             status = "duplicate_id"
-                    message |= {"tool_calls": made, "content": (_object(r["text"]) or {}).get("content")}
+                    message |= {"tool_calls": made, "content": json.loads(r["content"] or "null")}
                     status = "invalid_arguments" if wrong else status
                 rows.append({"conv_id": r["conv_id"], "turn": at, "order_key": order, "role": r["role"], "n_calls": len(r["calls"]), "n_invalid": len(wrong), "links": link, "status": status, "message": canonical(message)})
             yield pa.RecordBatch.from_pylist(rows, schema=out_arrow)
 
-    cols = ["conv_id", "turn", "role", "text", "calls", "answers", "found"]
+    cols = ["conv_id", "turn", "role", "text", "calls", "answers", "content", "found"]
     return plain.select(*cols).unionByName(tools.select(*cols)).mapInArrow(write, out_schema)
 
 
