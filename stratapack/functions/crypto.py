@@ -21,19 +21,16 @@ def crc32_hex(crc: int) -> str:
     return f"{crc & 0xFFFFFFFF:08x}"
 
 
-@lru_cache(4096)
-def _zeros(n: int) -> tuple[int, ...]:
-    """The linear map (32 columns) that n zero bytes apply to a CRC register."""
-    step = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
+@lru_cache(64)
+def _zeros(k: int) -> tuple[int, ...]:
+    """The linear map (32 columns) that 2**k zero bytes apply to a CRC register."""
+    if k:
+        half = _zeros(k - 1)
+        return tuple(_times(half, c) for c in half)
+    step = [0xEDB88320, *(1 << j for j in range(31))]  # one zero bit
     for _ in range(3):
         step = [_times(step, c) for c in step]
-    out = [1 << k for k in range(32)]
-    while n:
-        if n & 1:
-            out = [_times(step, c) for c in out]
-        step = [_times(step, c) for c in step]
-        n >>= 1
-    return tuple(out)
+    return tuple(step)
 
 
 def _times(columns, v: int) -> int:
@@ -48,7 +45,10 @@ def _times(columns, v: int) -> int:
 
 def crc32_combine(first: int, second: int, second_size: int) -> int:
     """CRC of a concatenation, of the parts' CRCs and the second one's length."""
-    return _times(_zeros(second_size), first) ^ second
+    for k in range(second_size.bit_length()):
+        if second_size >> k & 1:
+            first = _times(_zeros(k), first)
+    return first ^ second
 
 
 def crc32_fold(parts: Iterable[tuple[int, int]]) -> int:

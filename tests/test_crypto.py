@@ -43,3 +43,18 @@ def test_chacha20_rfc8439():
 
 def test_nonces():
     assert c.chunk_nonce(b"abcdefghijkl", 258) == b"abcdefgh\x02\x01\0\0"
+
+
+def test_digest_by_pieces():
+    data = bytes(range(256)) * 30
+    d = c.Digest(b"key")
+    for k in range(0, len(data), 777):
+        d.update(data[k : k + 777])
+    assert (d.size, d.crc, d.sha256(), d.mac()) == (len(data), zlib.crc32(data), hashlib.sha256(data).digest(), c.hmac_sha256(b"key", data))
+    assert c.Digest().update(b"").mac() is None
+
+
+def test_many_key_streams_at_once():
+    key, texts = bytes(range(32)), [b"", b"a", b"x" * 64, b"y" * 1000, b"z" * 63]
+    nonces = [bytes([k]) * 12 for k in range(len(texts))]
+    assert c.chacha20_all(key, nonces, texts) == [c.chacha20(key, n, t) for n, t in zip(nonces, texts, strict=True)]
