@@ -7,20 +7,26 @@ import bz2
 import calendar
 import gzip
 import io
+import itertools
 import lzma
 import os
 import re
+import shutil
 import tarfile
+import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import exprs
 from ..functions.bits import FormatError
 from . import container
 
@@ -37,6 +43,7 @@ class Entry:
     is_dir: bool = False
     mtime: int = 0
     mode: int = 0o644
+    size: int = 0
 
 
 def safe_rel_path(path: str) -> bool:
@@ -58,13 +65,7 @@ def tar_write(entries: list[Entry], keep_mode: bool = True) -> bytes:
 
 def tar_read(data: bytes) -> Iterator[Entry]:
     """Files and directories; links and devices are left out."""
-    try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as t:
-            for m in t:
-                if m.isfile() or m.isdir():
-                    yield Entry(m.name, t.extractfile(m).read() if m.isfile() else b"", m.isdir(), int(m.mtime), m.mode)
-    except (tarfile.TarError, EOFError) as e:
-        raise FormatError(f"tar: {e}") from None
+    yield from _whole(_guarded("tar", _tar(io.BytesIO(data))))
 
 
 def pack(entries: list[Entry], kind: str, level: int = 6) -> bytes:
@@ -86,38 +87,179 @@ def pack(entries: list[Entry], kind: str, level: int = 6) -> bytes:
     return {"tar": lambda: tar, "tar.xz": lambda: lzma.compress(tar, preset=level), "tar.bz2": lambda: bz2.compress(tar, level)}[kind]()
 
 
+#: What an archive begins with, in order of precedence (fixed values).
+SIGNATURES = (
+    (b"PK\3\4", "zip"), (b"PK\5\6", "zip"), (b"PK\7\10", "zip"), (b"7z\xbc\xaf'\x1c", "7z"), (b"Rar!\x1a\7", "rar"), (b"(\xb5/\xfd", "zst"), (b"\x1f\x8b", "gz"), (b"\xfd7zXZ\0", "xz"), (b"BZh", "bz2"),
+    (b"]\0\0", "lzma"), (b"!<arch>\n", "ar"), (b"070701", "cpio"), (b"070702", "cpio"), (b"070707", "cpio"),
+)
+STREAMS = {
+    "gz": lambda f: gzip.GzipFile(fileobj=f), "xz": lzma.LZMAFile, "lzma": lzma.LZMAFile, "bz2": bz2.BZ2File, "zst": lambda f: zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True),
+}
+_BROKEN = (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError, zipfile.BadZipFile, tarfile.TarError, NotImplementedError, RuntimeError, KeyError)
+
+
 def detect(data: bytes) -> str | None:
-    """zip, 7z, rar, zst, gz, xz, bz2 or tar by signature."""
-    for prefix, kind in ((b"PK\3\4", "zip"), (b"PK\5\6", "zip"), (b"7z\xbc\xaf'\x1c", "7z"), (b"Rar!\x1a\7", "rar"), (b"(\xb5/\xfd", "zst"), (b"\x1f\x8b", "gz"), (b"\xfd7zXZ\0", "xz"), (b"BZh", "bz2")):
+    """zip, 7z, rar, zst, gz, xz, bz2, lzma, ar, cpio or tar by the first 512 bytes."""
+    for prefix, kind in SIGNATURES:
         if data.startswith(prefix):
             return kind
     return "tar" if data[257:262] == b"ustar" else None
 
 
-def unpack(data: bytes, name: str = "data") -> Iterator[Entry]:
-    """Entries of a standard archive, a tar under a stream compression, or one compressed stream."""
-    kind = detect(data)
-    if kind == "zip":
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for i in z.infolist():
-                    yield Entry(i.filename.rstrip("/"), b"" if i.is_dir() else z.read(i), i.is_dir(), calendar.timegm((*i.date_time, 0, 0, 0)), i.external_attr >> 16 & 0o7777)
-        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
-            raise FormatError(f"zip: {e}") from None
-    elif kind == "tar":
-        yield from tar_read(data)
-    elif kind in ("gz", "xz", "bz2", "zst"):
-        openers = {"gz": gzip.decompress, "xz": lzma.decompress, "bz2": bz2.decompress, "zst": lambda d: zstandard.ZstdDecompressor().decompressobj().decompress(d)}
+Found = tuple[Entry, Callable[[], io.IOBase] | None]
+
+
+def _guarded(kind: str, found: Iterator[Found]) -> Iterator[Found]:
+    try:
+        yield from found
+    except FormatError:
+        raise
+    except _BROKEN as e:
+        raise FormatError(f"{kind}: {e}") from None
+
+
+def _zip(f) -> Iterator[Found]:
+    with zipfile.ZipFile(f) as z:
+        for i in z.infolist():
+            stamp = calendar.timegm((*i.date_time, 0, 0, 0))
+            yield Entry(i.filename.rstrip("/"), b"", i.is_dir(), stamp, i.external_attr >> 16 & 0o7777, i.file_size), None if i.is_dir() else lambda i=i: z.open(i)
+
+
+def _tar(f) -> Iterator[Found]:
+    with tarfile.open(fileobj=f, mode="r|") as t:
+        for m in t:
+            if m.isfile() or m.isdir():
+                yield Entry(m.name, b"", m.isdir(), int(m.mtime), m.mode, m.size if m.isfile() else 0), None if m.isdir() else lambda m=m: t.extractfile(m)
+
+
+def _exactly(f, n: int) -> bytes:
+    data = f.read(n)
+    if len(data) < n:
+        raise EOFError("cut off")
+    return data
+
+
+class _Part(io.RawIOBase):
+    """The next n bytes of a stream."""
+
+    def __init__(self, f, n: int):
+        self.f, self.left = f, n
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        n = min(len(buffer), self.left)
+        if n:
+            data = self.f.read(n)
+            if not data:
+                raise EOFError("cut off")
+            n = len(data)
+            buffer[:n] = data
+            self.left -= n
+        return n
+
+    def skip(self) -> None:
+        while self.left and self.read(1 << 20):
+            pass
+
+
+def _ar(f) -> Iterator[Found]:
+    """System V and BSD forms: 60-byte heads, long names in a table or before the data, even places."""
+    _exactly(f, 8)
+    names = b""
+    while head := f.read(60):
+        if len(head) < 60 or head[58:] != b"`\n":
+            raise EOFError("no head of an entry")
+        name, size = head[:16].rstrip(), int(head[48:58])
+        odd = size % 2
+        if name == b"//":
+            names = _exactly(f, size)
+        elif name in (b"/", b"__.SYMDEF", b"/SYM64/"):
+            _exactly(f, size)
+        else:
+            if name.startswith(b"#1/"):
+                n = int(name[3:])
+                name, size = _exactly(f, n).rstrip(b"\0"), size - n
+            elif name.startswith(b"/"):
+                name = names[int(name[1:]) :].partition(b"\n")[0]
+            part = _Part(f, size)
+            yield Entry(name.rstrip(b"/").decode(errors="replace"), b"", False, int(head[16:28].strip() or 0), int(head[40:48].strip() or b"644", 8) & 0o7777, size), lambda part=part: part
+            part.skip()
+        if odd:
+            f.read(1)
+
+
+def _cpio(f) -> Iterator[Found]:
+    """The portable forms, with numbers in octal or hexadecimal digits."""
+    while True:
+        magic = _exactly(f, 6)
+        if magic == b"070707":
+            v = [int(_exactly(f, n), 8) for n in (6, 6, 6, 6, 6, 6, 6, 11, 6, 11)]
+            mode, mtime, n_name, size, align = v[2], v[7], v[8], v[9], 1
+            head = 76
+        elif magic in (b"070701", b"070702"):
+            v = [int(_exactly(f, 8), 16) for _ in range(13)]
+            mode, mtime, size, n_name, align = v[1], v[5], v[6], v[11], 4
+            head = 110
+        else:
+            raise EOFError("no head of an entry")
+        name = _exactly(f, n_name).rstrip(b"\0").decode(errors="replace")
+        f.read(-(head + n_name) % align)
+        if name == "TRAILER!!!":
+            return
+        part = _Part(f, size)
+        kind = mode & 0o170000
+        if kind in (0o100000, 0o040000):
+            yield Entry(name.removeprefix("./"), b"", kind == 0o040000, mtime, mode & 0o7777, size), (lambda part=part: part) if kind == 0o100000 else None
+        part.skip()
+        f.read(-size % align)
+
+
+def walk(f, size: int, name: str = "data", password: str | None = None, magic: bytes = container.MAGIC) -> Iterator[Found]:
+    """(entry without data, what opens its data) of a container or a standard archive, of which only what is asked for is held; data must be read before the next entry is taken.
+
+    A container holds a bundle or a file; a compressed stream holds a tar file or a file.
+    """
+    head = f.read(512)
+    f.seek(0)
+    own = head.startswith(magic)
+    kind = "container" if own else detect(head)
+    if own or kind in STREAMS:
         try:
-            inner = openers[kind](data)
-        except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError) as e:
+            inner = container.ContentFile(f, size, password, magic) if own else STREAMS[kind](f)
+            inner = io.BufferedReader(inner, 1 << 20) if not isinstance(inner, io.BufferedReader) else inner
+            first = inner.peek(512)[:512] if own or kind != "zst" else b""
+        except FormatError:
+            raise
+        except _BROKEN as e:
             raise FormatError(f"{kind}: {e}") from None
-        if detect(inner) == "tar":
-            yield from tar_read(inner)
+        if (own and inner.raw.h.bundle) or detect(first) == "tar":
+            yield from _guarded(kind, _tar(inner))
         else:
-            yield Entry(re.sub(rf"\.{kind}$", "", name.rpartition("/")[2]) or "data", inner)
-    else:
+            entry = Entry(inner.raw.h.name or "data", mtime=inner.raw.h.created) if own else Entry(re.sub(rf"\.{kind}$", "", name.rpartition("/")[2]) or "data")
+            yield entry, lambda: inner
+        return
+    readers = {"zip": _zip, "tar": _tar, "ar": _ar, "cpio": _cpio}
+    if kind not in readers:
         raise FormatError(f"no reader for {kind}" if kind else "no archive")
+    yield from _guarded(kind, readers[kind](f))
+
+
+def _whole(found: Iterator[Found]) -> Iterator[Entry]:
+    for e, opened in found:
+        try:
+            data = b"" if opened is None else opened().read()
+        except FormatError:
+            raise
+        except _BROKEN as x:
+            raise FormatError(str(x)) from None
+        yield replace(e, data=data, size=len(data))
+
+
+def unpack(data: bytes, name: str = "data") -> Iterator[Entry]:
+    """Entries of a standard archive, a tar under a stream compression, or one compressed stream."""
+    return _whole(walk(io.BytesIO(data), len(data), name, magic=b"\0none"))
 
 
 def compress_bundle(entries: list[Entry], **options) -> bytes:
@@ -126,14 +268,181 @@ def compress_bundle(entries: list[Entry], **options) -> bytes:
 
 def extract(data: bytes, password: str | None = None, magic: bytes = container.MAGIC, name: str = "data") -> Iterator[Entry]:
     """Entries of a container (bundle or single file) or of a standard archive."""
-    if not data.startswith(magic):
-        yield from unpack(data, name)
-        return
-    h, content = container.read(data, password, magic)
-    if h.bundle or content[257:262] == b"ustar":
-        yield from tar_read(content)
-    else:
-        yield Entry(h.name or "data", content, mtime=h.created)
+    return _whole(walk(io.BytesIO(data), len(data), name, password, magic))
+
+
+# --- archives as files: nothing but a piece of an entry is held -----------------------------------
+
+_PIECE = 1 << 20
+
+
+def open_logical(path: str):
+    """(file, size) of a mounted file, or of the volumes of a series if the path names one of them."""
+    if re.search(r"\.\d{3}$", path):
+        f = VolumeFile(series(path))
+        return io.BufferedReader(f, _PIECE), f.ends[-1]
+    return open(path, "rb"), os.path.getsize(path)
+
+
+def series(path: str) -> list[str]:
+    """The volumes of the series that a volume belongs to, from 001 to the first gap."""
+    base, k, out = path[:-4], 1, []
+    while os.path.exists(p := f"{base}.{k:03d}"):
+        out.append(p)
+        k += 1
+    if path not in out:
+        raise FileNotFoundError(f"{path} stands behind a gap")
+    return out
+
+
+def extract_file(path: str, folder: str, force: bool = False, password: str | None = None, magic: bytes = container.MAGIC, reader=None) -> Iterator[dict]:
+    """Writes the entries of an archive below a folder; (archive, path, status, size).  Nothing leaves the folder, links in it are not followed, and nothing is overwritten without `force`."""
+    f, size = (reader, reader.raw.ends[-1]) if reader is not None else open_logical(path)
+    row = {"archive": path, "path": None, "status": "written", "size": 0}
+    with f:
+        try:
+            for e, opened in walk(f, size, re.sub(r"\.\d{3}$", "", path), password, magic):
+                status = _put(e, opened, folder, force)
+                yield row | {"path": e.path, "status": status, "size": e.size}
+        except (FormatError, *_BROKEN) as x:
+            yield row | {"status": str(x)}
+
+
+def _put(e: Entry, opened, folder: str, force: bool) -> str:
+    if not safe_rel_path(e.path):
+        return "unsafe path"
+    to = os.path.join(folder, e.path)
+    above = to if e.is_dir else os.path.dirname(to)
+    if os.path.realpath(above) != os.path.join(os.path.realpath(folder), os.path.relpath(above, folder)).rstrip("/.").rstrip("/") and os.path.realpath(above) != os.path.realpath(folder):
+        return "a link stands in the way"
+    os.makedirs(above, exist_ok=True)
+    if e.is_dir:
+        return "written"
+    if os.path.lexists(to) and not force:
+        return "exists"
+    part = f"{to}.{uuid.uuid4().hex}.part"
+    try:
+        with open(part, "wb") as out, opened() as src:
+            while piece := src.read(_PIECE):
+                out.write(piece)
+        os.replace(part, to)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    return "written"
+
+
+def test_file(path: str, password: str | None = None, magic: bytes = container.MAGIC) -> dict:
+    """(archive, ok, n_entries, n_bytes, error) of an archive or a series of volumes: every block is read."""
+    out = {"archive": path, "ok": True, "n_entries": 0, "n_bytes": 0, "error": None}
+    try:
+        f, size = open_logical(path)
+        with f:
+            for _, opened in walk(f, size, path, password, magic):
+                out["n_entries"] += 1
+                src = opened and opened()
+                while src and (piece := src.read(_PIECE)):
+                    out["n_bytes"] += len(piece)
+    except (FormatError, *_BROKEN) as x:
+        out |= {"ok": False, "error": str(x)}
+    return out
+
+
+TESTED = "archive string, ok boolean, n_entries bigint, n_bytes bigint, error string"
+WRITTEN = "archive string, path string, status string, size bigint"
+LISTED = "archive string, path string, is_dir boolean, size bigint, mtime bigint, mode int, error string"
+
+
+def _each(paths: DataFrame, job: Callable[[str], Iterator[dict]], kind: str) -> DataFrame:
+    """Runs job(path) -> rows on each mounted path (path), in batches of rows as they come."""
+    schema = to_arrow_schema(T._parse_datatype_string(kind))
+
+    def run(batches):
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                rows = iter(job(p))
+                while held := list(itertools.islice(rows, 1000)):
+                    yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | r for r in held], schema=schema)
+
+    return paths.select("path").mapInArrow(run, kind)
+
+
+def extract_files(paths: DataFrame, folder: str, force: bool = False, password: str | None = None, magic: bytes = container.MAGIC) -> DataFrame:
+    return _each(paths, lambda p: _failing(p, lambda: extract_file(p, folder, force, password, magic), "status"), WRITTEN)
+
+
+def test_files(paths: DataFrame, password: str | None = None, magic: bytes = container.MAGIC) -> DataFrame:
+    return _each(paths, lambda p: [test_file(p, password, magic)], TESTED)
+
+
+def list_files(paths: DataFrame, password: str | None = None, magic: bytes = container.MAGIC) -> DataFrame:
+    """Entries without their data; a broken archive ends with a row that has an error."""
+
+    def rows(p: str) -> Iterator[dict]:
+        f, size = open_logical(p)
+        with f:
+            for e, _ in walk(f, size, p, password, magic):
+                yield {"archive": p, "path": e.path, "is_dir": e.is_dir, "size": e.size, "mtime": e.mtime, "mode": e.mode, "error": None if safe_rel_path(e.path) else "unsafe path"}
+
+    return _each(paths, lambda p: _failing(p, lambda: rows(p), "error"), LISTED)
+
+
+def _failing(path: str, made: Callable[[], Iterator[dict]], column: str) -> Iterator[dict]:
+    try:
+        yield from made()
+    except (FormatError, *_BROKEN) as x:
+        yield {"archive": path, column: str(x)}
+
+
+# --- volumes that hold an archive ----------------------------------------------------------------
+
+#: How an archive is read: forwards, or by an index at its end.
+LOGICAL = {"zip": "indexed", "7z": "indexed", "rar": "indexed", "gz": "stream", "bz2": "stream", "xz": "stream", "tar": "stream"}
+
+
+def logical_kind(head: bytes, magic: bytes = container.MAGIC) -> str:
+    """'stream', 'indexed', 'container' or '' by the first 512 bytes of the first volume."""
+    return "container" if head.startswith(magic) else LOGICAL.get(detect(head) or "", "")
+
+
+def logical_kind_of(head: Column) -> Column:
+    """logical_kind() as an expression, without own containers."""
+    kind = exprs.archive_kind(head)
+    return F.when(kind.isin([k for k, v in LOGICAL.items() if v == "indexed"]), "indexed").when(kind.isin([k for k, v in LOGICAL.items() if v == "stream"]), "stream").otherwise("")
+
+
+def preflight(paths: list[str], folder: str, keep_free: int = 0) -> tuple[int, int]:
+    """(bytes that must be free to extract a series while its volumes are deleted, bytes that are): what the entries outgrow the volumes by, a reserve, and a margin."""
+    f = VolumeFile(paths)
+    with io.BufferedReader(f, _PIECE) as src:
+        grown = sum(e.size for e, _ in walk(src, f.ends[-1], paths[0]))
+    return max(0, grown - f.ends[-1]) + keep_free + KEEP_FREE, shutil.disk_usage(folder).free
+
+
+def extract_multipart(path: str, folder: str, in_place: bool = False, keep_free: int = 0, force: bool = False, password: str | None = None, magic: bytes = container.MAGIC) -> list[dict]:
+    """Extracts the archive in a series of volumes; rows (archive, path, status, size).
+
+    With `in_place` volumes are deleted as soon as what they hold is written and KEEP_FREE bytes more are read, and the rest at the end; it needs an archive that is read forwards and room for what it grows by, which is
+    seen to before anything is deleted.  This deletes data, so it runs on the driver, once.
+    """
+    paths = series(path)
+    with open(paths[0], "rb") as f:
+        kind = logical_kind(f.read(512), magic)
+    if not kind:
+        raise FormatError("the volumes hold no archive that is known")
+    if in_place and kind != "stream":
+        raise FormatError("in place only archives that are read forwards can be extracted")
+    os.makedirs(folder, exist_ok=True)
+    if in_place:
+        need, have = preflight(paths, folder, keep_free)
+        if have < need:
+            raise FormatError(f"{need >> 20} MiB must be free, {have >> 20} MiB are")
+    f = VolumeFile(paths, reclaim=in_place)
+    out = list(extract_file(path, folder, force, password, magic, io.BufferedReader(f, _PIECE)))
+    if in_place and all(r["status"] == "written" for r in out):
+        for p in paths[f.gone :]:
+            os.remove(p)
+    return out
 
 
 def entries(archives: DataFrame, password: str | None = None, magic: bytes = container.MAGIC, with_data: bool = True) -> DataFrame:
@@ -161,26 +470,15 @@ def test_archives(archives: DataFrame, password: str | None = None, magic: bytes
 
 
 def write_entries(found: DataFrame, folder: str, force: bool = False) -> DataFrame:
-    """Writes files below a folder that all executors share; (archive, path, status).  Nothing leaves the folder, and nothing is overwritten without `force`."""
+    """Writes entries (archive, path, is_dir, data, error) below a folder that all executors mount; (archive, path, status)."""
 
     def put(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                status = r["error"]
-                if not status and not safe_rel_path(r["path"] or ""):
-                    status = "unsafe path"
-                if not status:
-                    to = os.path.join(folder, r["path"])
-                    os.makedirs(to if r["is_dir"] else os.path.dirname(to), exist_ok=True)
-                    if not r["is_dir"]:
-                        if os.path.lexists(to) and not force:
-                            status = "exists"
-                        else:
-                            with open(f"{to}.part{os.getpid()}", "wb") as f:
-                                f.write(r["data"] or b"")
-                            os.replace(f"{to}.part{os.getpid()}", to)
-                out.append({"archive": r["archive"], "path": r["path"], "status": status or "written"})
+                entry = Entry(r["path"] or "", b"", bool(r["is_dir"]))
+                status = r["error"] or _put(entry, lambda r=r: io.BytesIO(r["data"] or b""), folder, force)
+                out.append({"archive": r["archive"], "path": r["path"], "status": status})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("archive", pa.string()), ("path", pa.string()), ("status", pa.string())]))
 
     return found.mapInArrow(put, "archive string, path string, status string")
@@ -262,7 +560,7 @@ class VolumeFile(io.RawIOBase):
                 f.seek(self.at - (self.ends[k] - self.sizes[k]))
                 n = f.readinto(view[done : done + self.ends[k] - self.at])
             self.at, done = self.at + n, done + n
-        while self.reclaim and self.gone < len(self.paths) and self.ends[self.gone] + KEEP_FREE <= self.at:
+        while self.reclaim and done and self.gone < len(self.paths) and self.ends[self.gone] + KEEP_FREE <= self.at:
             os.remove(self.paths[self.gone])
             self.gone += 1
         return done

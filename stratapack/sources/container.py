@@ -6,10 +6,12 @@ Errors of a file are data: a row says what is wrong with it, and the other files
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 import zlib
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.bits import FormatError
 from ..functions.codecs import BY_INDEX, CODECS
-from ..functions.crypto import KDF_ITERATIONS, KDF_MOST, chacha20, chunk_nonce, derive_keys, hmac_sha256, same
+from ..functions.crypto import KDF_ITERATIONS, KDF_MOST, Digest, chacha20, chunk_nonce, derive_keys, hmac_sha256, same
 
 MAGIC = b"SPACK"
 # --- fixed values: layout and limits of versions 1 and 2 ----------------------------------------
@@ -67,8 +69,13 @@ class Header:
         return out + (self.mac if with_mac and self.version >= 2 else b"")
 
 
-def parse(data: bytes, magic: bytes = MAGIC) -> tuple[Header, int]:
-    """(header, where the payload begins); raises FormatError before anything is allocated by untrusted counts."""
+class _More(FormatError):
+    """The header goes on behind the bytes at hand."""
+
+
+def parse(data: bytes, magic: bytes = MAGIC, total: int | None = None) -> tuple[Header, int]:
+    """(header, where the payload begins); raises FormatError before anything is allocated by untrusted counts.  `data` may be the beginning of a file of `total` bytes."""
+    total = len(data) if total is None else total
     if len(data) < _HEAD.size:
         raise FormatError("too short for a header")
     found, *v = _HEAD.unpack_from(data)
@@ -79,7 +86,7 @@ def parse(data: bytes, magic: bytes = MAGIC) -> tuple[Header, int]:
         raise FormatError(f"unknown version {version}")
     if not count:
         raise FormatError("no chunks")
-    if count * _CHUNK.size > min(MAX_HEADER, len(data)):
+    if count * _CHUNK.size > min(MAX_HEADER, total):
         raise FormatError("the chunk table is longer than the file")
     if not 1 <= size <= MAX_CHUNK:
         raise FormatError("impossible chunk size")
@@ -88,15 +95,15 @@ def parse(data: bytes, magic: bytes = MAGIC) -> tuple[Header, int]:
     at, texts = _HEAD.size, []
     for _ in range(2):
         if at + 2 > len(data):
-            raise FormatError("a name is cut off")
+            raise _More("a name is cut off")
         n = struct.unpack_from("<H", data, at)[0]
         if at + 2 + n > len(data):
-            raise FormatError("a name is cut off")
+            raise _More("a name is cut off")
         texts.append(data[at + 2 : at + 2 + n].decode(errors="replace"))
         at += 2 + n
     tail = 4 + (32 if version >= 2 else 0)
     if at + count * _CHUNK.size + tail > len(data):
-        raise FormatError("the chunk table is cut off")
+        raise _More("the chunk table is cut off")
     chunks = [_CHUNK.unpack_from(data, at + k * _CHUNK.size) for k in range(count)]
     at += count * _CHUNK.size
     if any(o > size for o, _, _ in chunks):
@@ -162,35 +169,144 @@ def read(data: bytes, password: str | None = None, magic: bytes = MAGIC, verify:
     return h, content
 
 
+_PROBE, _PIECE = 128 << 10, 1 << 20
+
+
+def load_header(f, size: int, magic: bytes = MAGIC) -> tuple[Header, int]:
+    """(header, where the payload begins) of a file of `size` bytes, of which only the header is read; the payload must fit in the file."""
+    f.seek(0)
+    data = f.read(min(_PROBE, size))
+    try:
+        h, at = parse(data, magic, size)
+    except _More:  # the fixed part says how much there can be
+        count = _HEAD.unpack_from(data)[11]
+        data += f.read(_HEAD.size + 2 * (2 + 65535) + count * _CHUNK.size + 36 - len(data))
+        h, at = parse(data, magic, size)
+    if at + h.comp_size > size:
+        raise FormatError("the payload is cut off")
+    return h, at
+
+
+def payload_digest(f, at: int, size: int, key: bytes | None = None) -> Digest:
+    """Digests of a payload, read piece by piece."""
+    out, left = Digest(key), size
+    f.seek(at)
+    while left:
+        piece = f.read(min(_PIECE, left))
+        if not piece:
+            raise FormatError("the payload is cut off")
+        out.update(piece)
+        left -= len(piece)
+    return out
+
+
+@lru_cache(256)
+def keys_of(password: str, salt: bytes, rounds: int, version: int) -> tuple[bytes, bytes]:
+    return derive_keys(password, salt, rounds, version)
+
+
+def authenticate(f, h: Header, at: int, password: str | None, magic: bytes = MAGIC) -> None:
+    """Raises FormatError unless a payload may be decoded: before any of it is."""
+    if not h.encrypted:
+        return
+    if password is None:
+        raise FormatError("a password is needed")
+    if h.version >= 2:
+        _, mac_key = keys_of(password, h.salt, h.kdf_iterations, h.version)
+        made = payload_digest(f, at, h.comp_size, mac_key)
+        if not same(made.update(h.pack(magic, with_mac=False)).mac(), h.mac):
+            raise FormatError("wrong password, or the file was changed")
+
+
+def decode_chunk(h: Header, k: int, part: bytes, password: str | None = None) -> bytes:
+    """The content of the k-th chunk of a container."""
+    orig, _, flags = h.chunks[k]
+    if h.encrypted:
+        part = chacha20(keys_of(password, h.salt, h.kdf_iterations, h.version)[0], chunk_nonce(h.nonce, k), part)
+    codec = BY_INDEX.get(h.algo)
+    if codec is None and not flags & RAW:
+        raise FormatError("unknown codec")
+    out = part if flags & RAW else codec.decode(part, orig)
+    if len(out) != orig:
+        raise FormatError("a chunk has another size")
+    return out
+
+
+class ContentFile(io.RawIOBase):
+    """The content of a container as a file to be read forwards: one chunk is held at a time.  The end is reached only if sizes and, with `verify`, checksums are right."""
+
+    def __init__(self, f, size: int, password: str | None = None, magic: bytes = MAGIC, verify: bool = True):
+        self.h, self.at = load_header(f, size, magic)
+        authenticate(f, self.h, self.at, password, magic)
+        self.f, self.password, self.verify = f, password, verify
+        self.k, self.held, self.seen, self.packed = 0, b"", Digest(), Digest()
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.held and self.k < len(self.h.chunks):
+            n = self.h.chunks[self.k][1]
+            self.f.seek(self.at + self.packed.size)
+            part = self.f.read(n)
+            if len(part) < n:
+                raise FormatError("the payload is cut off")
+            self.packed.update(part)
+            self.held = decode_chunk(self.h, self.k, part, self.password)
+            self.seen.update(self.held)
+            self.k += 1
+            if self.k == len(self.h.chunks) and self.verify and (self.packed.crc != self.h.payload_crc or self.seen.crc != self.h.orig_crc):
+                raise FormatError("the content's checksum differs" if self.packed.crc == self.h.payload_crc else "the payload's checksum differs")
+        n = min(len(buffer), len(self.held))
+        buffer[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
 INFO = (
     "path string, version int, algo string, level int, file_type int, encrypted boolean, bundle boolean, orig_size bigint, comp_size bigint, orig_crc bigint, created bigint, "
     "chunk_size bigint, name string, detail string, payload_crc bigint, chunks array<struct<orig_size:bigint,comp_size:bigint,raw:boolean>>, payload_ok boolean, error string"
 )
 
 
-def inspect(path: str, data: bytes, magic: bytes = MAGIC) -> dict:
-    """An INFO row; of a broken container only path and error."""
+def inspect(path: str, f, size: int, magic: bytes = MAGIC, payload: bool = True) -> dict:
+    """An INFO row; of a broken container only path and error.  Without `payload` only the header is read, and payload_ok is null."""
     empty = dict.fromkeys(x.split(" ")[0] for x in INFO.replace("<", " <").split(", ")) | {"path": path}
     try:
-        h, at = parse(data, magic)
+        h, at = load_header(f, size, magic)
+        ok = payload_digest(f, at, h.comp_size).crc == h.payload_crc if payload else None
     except FormatError as e:
         return empty | {"error": str(e)}
-    payload = data[at : at + h.comp_size]
-    whole = len(payload) == h.comp_size
     return empty | {
         "version": h.version, "algo": BY_INDEX[h.algo].name if h.algo in BY_INDEX else None, "level": h.level, "file_type": h.file_type, "encrypted": h.encrypted, "bundle": h.bundle,
         "orig_size": h.orig_size, "comp_size": h.comp_size, "orig_crc": h.orig_crc, "created": h.created, "chunk_size": h.chunk_size, "name": h.name, "detail": h.detail, "payload_crc": h.payload_crc,
-        "chunks": [{"orig_size": o, "comp_size": c, "raw": bool(f & RAW)} for o, c, f in h.chunks], "payload_ok": whole and zlib.crc32(payload) == h.payload_crc, "error": None if whole else "the payload is cut off",
+        "chunks": [{"orig_size": o, "comp_size": c, "raw": bool(f & RAW)} for o, c, f in h.chunks], "payload_ok": ok,
     }
 
 
+def files_info(paths: DataFrame, magic: bytes = MAGIC, payload: bool = True) -> DataFrame:
+    """INFO of the containers at mounted paths (path): headers are read, and payloads piece by piece for their checksum."""
+    schema = to_arrow_schema(T._parse_datatype_string(INFO))
+
+    def scan(batches):
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                try:
+                    with open(p, "rb") as f:
+                        row = inspect(p, f, os.path.getsize(p), magic, payload)
+                except OSError as e:
+                    row = inspect(p, io.BytesIO(), 0, magic) | {"error": e.strerror}
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return paths.select("path").mapInArrow(scan, INFO)
+
+
 def container_info(files: DataFrame, magic: bytes = MAGIC) -> DataFrame:
     """INFO of each container in a table (path, content), such as spark.read.format('binaryFile') gives."""
     schema = to_arrow_schema(T._parse_datatype_string(INFO))
 
     def scan(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([inspect(p, d, magic) for p, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], schema=schema)
+            yield pa.RecordBatch.from_pylist([inspect(p, io.BytesIO(d or b""), len(d or b""), magic) for p, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], schema=schema)
 
     return files.select("path", "content").mapInArrow(scan, INFO)
 

@@ -171,3 +171,129 @@ def test_byte_ranges(spark, tmp_path):
     a = sorted((r.chunk_id, bytes(r.data)) for r in rows if r.path.endswith("a.bin"))
     assert b"".join(d for _, d in a) == DATA and [bytes(r.data) for r in rows if r.path.endswith("b.bin")] == [b""]
     assert sum(len(r.data) for r in spark.read.format("byte_ranges").option("path", str(tmp_path / "in" / "a.bin")).option("limit", 15000).load().collect()) == 15000
+
+
+def ar_file(files):
+    out = b"!<arch>\n"
+    table = b"".join(n.encode() + b"/\n" for n in files if len(n) > 15)
+    if table:
+        out += b"//".ljust(48) + str(len(table)).encode().ljust(10) + b"`\n" + table + b"\n" * (len(table) % 2)
+    for name, data in files.items():
+        short = f"/{table.index(name.encode())}" if len(name) > 15 else name + "/"
+        out += short.encode().ljust(16) + b"1700000000".ljust(12) + b"0     0     100644  " + str(len(data)).encode().ljust(10) + b"`\n" + data + b"\n" * (len(data) % 2)
+    return out
+
+
+def cpio_file(files, magic):
+    out = b""
+    for name, data in [*files.items(), ("TRAILER!!!", b"")]:
+        n = len(name) + 1
+        if magic == b"070707":
+            out += magic + b"".join(b"%0*o" % (w, v) for w, v in zip((6, 6, 6, 6, 6, 6, 6, 11, 6, 11), (0, 0, 0o100644, 0, 0, 1, 0, 7, n, len(data)), strict=True)) + name.encode() + b"\0" + data
+        else:
+            out += magic + b"".join(b"%08x" % v for v in (1, 0o100644, 0, 0, 1, 7, len(data), 0, 0, 0, 0, n, 0)) + name.encode() + b"\0"
+            out += b"\0" * (-len(out) % 4)
+            out += data
+            out += b"\0" * (-len(out) % 4)
+    return out
+
+
+def test_further_formats():
+    import lzma
+
+    files = {"a.txt": b"alpha", "a-name-of-more-than-15-letters": b"x" * 1001, "empty": b""}
+    for data in (ar_file(files), cpio_file(files, b"070701"), cpio_file(files, b"070707")):
+        assert {e.path: e.data for e in archives.unpack(data)} == files
+        for cut in (len(data) // 2, 30):
+            with pytest.raises(FormatError):
+                list(archives.unpack(data[:cut]))
+    assert [e.data for e in archives.unpack(lzma.compress(DATA, format=lzma.FORMAT_ALONE), "x.lzma")] == [DATA]
+    assert [e.data for e in archives.unpack(lzma.compress(archives.pack(TREE, "tar"), format=lzma.FORMAT_ALONE))][0] == b"alpha"
+
+
+def volumes(folder, name, data, size=4096):
+    folder.mkdir(exist_ok=True)
+    for k in range(-(-len(data) // size)):
+        (folder / f"{name}.{k + 1:03d}").write_bytes(data[k * size : (k + 1) * size])
+    return str(folder / f"{name}.001")
+
+
+@pytest.mark.parametrize("kind", [*archives.PACKERS, "bundle", "locked"])
+def test_volumes_hold_an_archive(tmp_path, kind):
+    noise = random.Random(2).randbytes(40000)
+    tree = [*TREE, Entry("noise.bin", noise)]
+    password = "pw" if kind == "locked" else None
+    data = archives.pack(tree, kind) if kind in archives.PACKERS else archives.compress_bundle(tree, algo="huffman", password=password, iterations=100)
+    first = volumes(tmp_path / "v", f"x.{kind}", data)
+    want = {e.path: e.data for e in tree if not e.is_dir}
+    tested = archives.test_file(first, password)
+    assert tested["ok"] and tested["n_entries"] == len(tree) and tested["n_bytes"] == sum(map(len, want.values()))
+    to = tmp_path / "out"
+    rows = archives.extract_multipart(first, str(to), password=password)
+    assert all(r["status"] == "written" for r in rows) and {p: (to / p).read_bytes() for p in want} == want
+    assert {r["status"] for r in archives.extract_multipart(first, str(to), password=password) if r["path"] not in ("sub",)} == {"exists"}
+    head = open(first, "rb").read(512)
+    assert archives.logical_kind(head) == ("indexed" if kind == "zip" else "stream" if kind in archives.PACKERS else "container")
+    if archives.logical_kind(head) != "stream":
+        with pytest.raises(FormatError):
+            archives.extract_multipart(first, str(tmp_path / "in-place"), in_place=True)
+        assert archives.test_file(first, password)["ok"]
+    else:
+        need, have = archives.preflight(archives.series(first), str(to))
+        assert need >= archives.KEEP_FREE and have > 0
+        with pytest.raises(FormatError):
+            archives.extract_multipart(first, str(tmp_path / "in-place"), in_place=True, keep_free=1 << 60)
+        assert archives.test_file(first)["ok"]
+        archives.extract_multipart(first, str(tmp_path / "in-place"), in_place=True)
+        assert not list((tmp_path / "v").iterdir()) and (tmp_path / "in-place" / "noise.bin").read_bytes() == noise
+
+
+def test_reclaim_keeps_what_is_not_read(tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "KEEP_FREE", 5000)
+    first = volumes(tmp_path / "v", "x", DATA[:40960])
+    f = archives.VolumeFile(archives.series(first), reclaim=True)
+    assert f.read(20000) == DATA[:20000]
+    assert sorted(p.name for p in (tmp_path / "v").iterdir())[0] == "x.004" and f.gone == 3
+    with pytest.raises(OSError):
+        f.seek(0)
+    assert f.read() == DATA[20000:40960]
+
+
+def test_damaged_volumes(spark, tmp_path):
+    data = archives.pack([Entry("a", random.Random(1).randbytes(20000))], "tar.gz")
+    first = volumes(tmp_path / "v", "x.tar.gz", data)
+    (tmp_path / "v" / "x.tar.gz.003").write_bytes(b"\0" * 4096)
+    (tmp_path / "v" / "plain.001").write_bytes(b"no archive")
+    paths = spark.createDataFrame([(first,), (str(tmp_path / "v" / "plain.001"),), (str(tmp_path / "none"),)], "path string")
+    got = {r.archive.rsplit("/")[-1]: r.ok for r in archives.test_files(paths).collect()}
+    assert got == {"x.tar.gz.001": False, "plain.001": False, "none": False}
+    assert all(r.status != "written" for r in archives.extract_files(paths, str(tmp_path / "out")).collect() if r.path is None)
+    assert not list(tmp_path.glob("out/**/*.part"))
+    with pytest.raises(FormatError):
+        archives.extract_multipart(str(tmp_path / "v" / "plain.001"), str(tmp_path / "out"))
+
+
+def test_links_in_the_folder_are_not_followed(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "out" / "sub").symlink_to(tmp_path / "elsewhere")
+    (tmp_path / "x.zip").write_bytes(archives.pack([Entry("sub/a.txt", b"a"), Entry("b.txt", b"b")], "zip"))
+    got = {r.path: r.status for r in archives.extract_files(spark.createDataFrame([(str(tmp_path / "x.zip"),)], "path string"), str(tmp_path / "out")).collect()}
+    assert got == {"sub/a.txt": "a link stands in the way", "b.txt": "written"} and not list((tmp_path / "elsewhere").iterdir())
+
+
+def test_header_is_read_alone(tmp_path):
+    data = container.write(DATA * 10, "store", chunk_size=16, name="n")
+    assert len(data) > 128 << 10
+    (tmp_path / "x").write_bytes(data)
+    with open(tmp_path / "x", "rb") as f:
+        h, at = container.load_header(f, len(data))
+        assert h == container.parse(data)[0] and f.tell() <= at + (1 << 18)
+        with pytest.raises(FormatError):
+            container.load_header(f, len(data) - 1)
+        back = container.ContentFile(f, len(data))
+        assert io.BufferedReader(back).read() == DATA * 10
+    broken = bytearray(data)
+    broken[-3] ^= 1
+    with pytest.raises(FormatError):
+        io.BufferedReader(container.ContentFile(io.BytesIO(bytes(broken)), len(broken))).read()
