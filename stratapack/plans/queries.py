@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import itertools
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..functions.codecs import CODECS
 from ..operators import analysis, pipeline
+from ..functions.crypto import Digest
 from ..sources import archives, container
+from ..sources.folders import cut, delete, mounted, shared_folder
+from ..streaming import ingest as streaming
+from . import jobs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -389,12 +395,13 @@ def names_and_aliases(spark, sf_dir):
 
 
 @query(
-    """SELECT page_id, name, is_dir, row_number() OVER (ORDER BY is_dir DESC, lower(name), name, page_id)::INTEGER AS place FROM (
-  SELECT page_id, regexp_extract(url, '[^/]*$') AS name, page_id % 3 = 0 AS is_dir FROM pages) WHERE NOT starts_with(name, '.')"""
+    """SELECT page_id, folder, name, is_dir, row_number() OVER (PARTITION BY folder ORDER BY is_dir DESC, lower(name), name, page_id)::INTEGER AS place FROM (
+  SELECT page_id, regexp_extract(url, '^(.*)/', 1) AS folder, regexp_extract(url, '[^/]*$') AS name, page_id % 3 = 0 AS is_dir FROM pages) WHERE NOT starts_with(name, '.')"""
 )
 def list_dir(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.substring_index("url", "/", -1).alias("name"), (F.col("page_id") % 3 == 0).alias("is_dir"))
-    order = Window.orderBy(F.col("is_dir").desc(), F.lower("name"), "name", "page_id")  # a listing of one folder
+    """Places in the listings of many folders."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^(.*)/", 1).alias("folder"), F.substring_index("url", "/", -1).alias("name"), (F.col("page_id") % 3 == 0).alias("is_dir"))
+    order = Window.partitionBy("folder").orderBy(F.col("is_dir").desc(), F.lower("name"), "name", "page_id")
     return exprs.list_dir(rows).withColumn("place", F.row_number().over(order))
 
 
@@ -504,11 +511,203 @@ def container_info(spark, sf_dir):
 @query("SELECT count(*)::BIGINT AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM benchmark")
 def stream_ingest(spark, sf_dir):
     """Benchmark items as files in a shared folder, read by a stream into chunk rows, and decoded again."""
-    from ..streaming.ingest import ingest
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stratapack-")
-    root = f"{base}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, sf_dir, "benchmark").select("text", "item_id").repartition("item_id").select(F.regexp_replace("text", "\n", " ").alias("text")).write.option("lineSep", "\n").text(f"{root}/in")
-    ingest(spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
+    streaming.ingest(spark, f"{root}/in", f"{root}/out", f"{root}/state").awaitTermination()
     got = pipeline.decompress(spark.read.parquet(f"{root}/out")).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
     return got.agg(F.count("*").alias("files"), F.sum(F.octet_length("line")).cast("bigint").alias("bytes"))
+
+
+# --- archives and volumes as tables ----------------------------------------------------------------
+
+LONG = "a-folder-with-a-name-of-some-length/" * 4
+
+
+def _turns_packed(spark, sf_dir, kind: str, prefix: str = "", with_dir: bool = False) -> DataFrame:
+    """(path, content): an archive for each conversation, with a file for each turn."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for turns in batch.column("t").to_pylist():
+                files = [archives.Entry(f"{prefix}{x['turn']:04d}.txt", x["text"].encode(), mtime=x["turn"]) for x in turns]
+                files += [archives.Entry(prefix.rstrip("/"), is_dir=True)] if with_dir else []
+                out.append(archives.tar_write(files) if kind == "tar" else archives.pack(files, kind))
+            yield pa.record_batch([pa.array([str(c) for c in batch.column("conv_id").to_pylist()]), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return _conversation_files(spark, sf_dir).mapInArrow(pack, "path string, content binary")
+
+
+@query(
+    f"""SELECT conv_id, '{LONG}' || lpad(turn::VARCHAR, 4, '0') || '.txt' AS path, false AS is_dir, octet_length(encode(coalesce(text, '')))::BIGINT AS size, turn AS mtime FROM conversations
+UNION ALL SELECT DISTINCT conv_id, '{LONG.rstrip("/")}', true, 0, 0 FROM conversations"""
+)
+def archive_listing(spark, sf_dir):
+    """Entries of tar files with long names and a directory."""
+    found = archives.entries(_turns_packed(spark, sf_dir, "tar", LONG, True), with_data=False)
+    return found.select(F.col("archive").cast("bigint").alias("conv_id"), "path", "is_dir", "size", "mtime")
+
+
+@query("SELECT conv_id, conv_id % 5 <> 0 AS ok, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE count(*) END::BIGINT AS n_entries FROM conversations GROUP BY conv_id")
+def archive_test(spark, sf_dir):
+    """Every fifth zip file is cut off."""
+    packed = _turns_packed(spark, sf_dir, "zip")
+    cut_off = F.when(F.col("path").cast("bigint") % 5 == 0, F.expr("substring(content, 1, length(content) - 30)")).otherwise(F.col("content"))
+    out = archives.test_archives(packed.withColumn("content", cut_off))
+    return out.select(F.col("archive").cast("bigint").alias("conv_id"), "ok", "n_entries")
+
+
+@query(
+    """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'tar.gz' WHEN 1 THEN 'tar.gz' WHEN 2 THEN 'tar.xz' WHEN 3 THEN 'tar.bz2' WHEN 4 THEN 'zip' WHEN 5 THEN '7z' WHEN 6 THEN 'tar' END AS kind FROM pages"""
+)
+def archive_names(spark, sf_dir):
+    suffix = "CASE page_id % 8 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '.tgz' WHEN 2 THEN '.txz' WHEN 3 THEN '.tar.bz2' WHEN 4 THEN '.zip' WHEN 5 THEN '.7z' WHEN 6 THEN '.tar' ELSE '.gz' END"
+    return table(spark, sf_dir, "pages").select("page_id", exprs.archive_kind_of_name(F.concat(F.coalesce("url", F.lit("")), F.expr(suffix))).alias("kind"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN starts_with(hex(content), '504B0304') THEN 'indexed' WHEN starts_with(hex(content), '1F8B') THEN 'stream' ELSE '' END AS kind FROM ({ODD_FILES})""")
+def logical_kinds(spark, sf_dir):
+    """How an archive would be read: forwards or by its index."""
+    return _odd_files(spark, sf_dir).select(F.col("file_id").alias("doc_id"), archives.logical_kind_of(F.substring("content", 1, 512)).alias("kind"))
+
+
+@query("SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, sha256(coalesce(text, '')) AS sha FROM documents")
+def digest_by_pieces(spark, sf_dir):
+    """SHA-256 of each document from its chunks, which come one after the other and are not put together."""
+
+    def chain(batches):
+        import pyarrow as pa
+
+        def rows():
+            for batch in batches:
+                yield from zip(batch.column("file_id").to_pylist(), batch.column("data").to_pylist(), strict=True)
+
+        for file_id, parts in itertools.groupby(rows(), key=lambda r: r[0]):
+            d = Digest()
+            for _, data in parts:
+                d.update(data)
+            yield pa.record_batch([pa.array([file_id], pa.int64()), pa.array([d.size], pa.int64()), pa.array([d.sha256().hex()])], names=["doc_id", "size", "sha"])
+
+    chunks = pipeline.split_chunks(documents(spark, sf_dir), CHUNK).repartition("file_id").sortWithinPartitions("file_id", "chunk_id")
+    return chunks.select("file_id", "data").mapInArrow(chain, "doc_id bigint, size bigint, sha string")
+
+
+@query("SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":' || to_json(lang)::VARCHAR || ',\"text\":' || to_json(text)::VARCHAR || '}' AS line FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL")
+def json_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang is not null and text is not null")
+    return docs.select("doc_id", F.to_json(F.struct("doc_id", "lang", "text")).alias("line"))
+
+
+@query(
+    f"""SELECT strftime(time_bucket(INTERVAL '1 hour', t), '%Y-%m-%d %H') AS hour, type, count(*)::BIGINT AS files, sum(coalesce(octet_length(content), 0))::BIGINT AS bytes FROM (
+SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 97) AS t FROM ({TYPED_SQL})) GROUP BY ALL"""
+)
+def window_totals(spark, sf_dir):
+    """Files and bytes by type and hour, as the watching stream counts them."""
+    stamp = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + F.col("file_id") * 97)
+    out = streaming.volume_by_type(_odd_files(spark, sf_dir).withColumn("modified", stamp))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "type", "files", F.coalesce("bytes", F.lit(0)).cast("bigint").alias("bytes"))
+
+
+# --- files in the shared folder ----------------------------------------------------------------------
+
+
+def _write_files(rows: DataFrame, folder: str) -> None:
+    """Writes (name, content) as files."""
+
+    def put(batches):
+        for batch in batches:
+            for name, data in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+                with open(f"{folder}/{name}", "wb") as f:
+                    f.write(data)
+            yield batch.select(["name"])
+
+    rows.select("name", "content").mapInArrow(put, "name string").count()
+
+
+def _digests(paths: DataFrame) -> DataFrame:
+    """(path, sha) of mounted files."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            shas = []
+            for p in batch.column("path").to_pylist():
+                with open(p, "rb") as f:
+                    shas.append(hashlib.file_digest(f, "sha256").hexdigest())
+            yield pa.record_batch([batch.column("path"), pa.array(shas, pa.string())], names=["path", "sha"])
+
+    return paths.select("path").mapInArrow(read, "path string, sha string")
+
+
+def _in_folder(name: str):
+    """Gives a query a folder of its own in the shared one, and deletes it when the rows are written."""
+
+    def wrap(f):
+        def run(spark, sf_dir):
+            root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+            out = cut(f(spark, sf_dir, mounted(root)))
+            delete(spark, root)
+            return out
+
+        run.__name__ = name
+        return run
+
+    return wrap
+
+
+@query("SELECT item_id, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha, true AS packed, true AS tested, true AS restored, true AS encrypted FROM benchmark WHERE text IS NOT NULL")
+@_in_folder("file_jobs")
+def file_jobs(spark, sf_dir, root):
+    """Files compressed, tested and restored by the verbs, in folders below each other, under a password."""
+    items = table(spark, sf_dir, "benchmark").where("text is not null")
+    _write_files(items.select(F.format_string("%d/item-%d.txt", F.col("item_id") % 7, "item_id").alias("name"), F.col("text").cast("binary").alias("content")), f"{root}/in")
+    packed = jobs.compress(spark, [f"{root}/in"], f"{root}/packed", "huffman", chunk_size=512, password=SECRET[0], iterations=SECRET[2])
+    tested = jobs.test(spark, [f"{root}/packed"], SECRET[0])
+    back = jobs.decompress(spark, [f"{root}/packed"], f"{root}/back", SECRET[0])
+    number = lambda c: F.regexp_extract(c, r"item-(\d+)", 1).cast("bigint").alias("item_id")
+    out = packed.select(number("input"), F.col("in_bytes").alias("size"), F.col("ok").alias("packed"), "encrypted")
+    out = out.join(tested.select(number("path"), F.col("ok").alias("tested")), "item_id").join(back.select(number("output"), F.col("ok").alias("restored")), "item_id")
+    return out.join(_digests(back.select(F.col("output").alias("path"))).select(number("path"), "sha"), "item_id")
+
+
+@query("SELECT conv_id, true AS ok, count(*)::BIGINT AS n_entries, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS n_bytes, count(*)::BIGINT AS written FROM conversations GROUP BY conv_id")
+@_in_folder("volume_archives")
+def volume_archives(spark, sf_dir, root):
+    """Archives in series of volumes of 1 KiB, tested and extracted without being joined."""
+    packed = _turns_packed(spark, sf_dir, "tar.gz").select(F.col("path").cast("bigint").alias("file_id"), "content")
+    parts = archives.split(packed, archives.MIN_PART)
+    _write_files(parts.select(F.format_string("%d.tar.gz.%03d", "file_id", "num").alias("name"), F.col("data").alias("content")), f"{root}/v")
+    tested = jobs.archives.test_files(jobs._archives(spark, [f"{root}/v"]))
+    number = lambda c: F.regexp_extract(c, r"(\d+)\.tar", 1).cast("bigint").alias("conv_id")
+    firsts = jobs._archives(spark, [f"{root}/v"])
+    to = F.concat(F.lit(f"{root}/out/"), F.regexp_extract("path", r"(\d+)\.tar", 1))
+
+    def extract(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            counts = [sum(r["status"] == "written" for r in archives.extract_multipart(p, folder)) for p, folder in zip(batch.column("path").to_pylist(), batch.column("to").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("path"), pa.array(counts, pa.int64())], names=["path", "written"])
+
+    written = firsts.select("path", to.alias("to")).mapInArrow(extract, "path string, written bigint")
+    return tested.select(number("archive"), "ok", "n_entries", "n_bytes").join(written.select(number("path"), "written"), "conv_id")
+
+
+@query(
+    """SELECT conv_id, count(*) FILTER (turn % 3 <> 1)::BIGINT AS written, count(*) FILTER (turn % 3 = 1)::BIGINT AS unsafe, count(*) FILTER (turn % 3 <> 1)::BIGINT AS refused FROM conversations GROUP BY conv_id"""
+)
+@_in_folder("safe_extraction")
+def safe_extraction(spark, sf_dir, root):
+    """Every third name leads out of the folder; a second extraction finds the files and leaves them."""
+    name = F.concat(F.col("conv_id").cast("string"), F.when(F.col("turn") % 3 == 1, "/../../out-").otherwise("/"), F.col("turn").cast("string"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("archive"), name.alias("path"), F.lit(False).alias("is_dir"), F.coalesce("text", F.lit("")).cast("binary").alias("data"), F.lit(None).cast("string").alias("error"))
+    once = cut(archives.write_entries(rows, f"{root}/x"))
+    again = cut(archives.write_entries(rows, f"{root}/x"))
+    count = lambda s: F.count(F.when(F.col("status") == s, 1))
+    first = once.groupBy("archive").agg(count("written").alias("written"), count("unsafe path").alias("unsafe"))
+    return first.join(again.groupBy("archive").agg(count("exists").alias("refused")), "archive").select(F.col("archive").cast("bigint").alias("conv_id"), "written", "unsafe", "refused")
