@@ -270,7 +270,10 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema=arrow)
 
     arrow = to_arrow_schema(T._parse_datatype_string(PARSED))
-    parsed = own.mapInArrow(parse, PARSED)
+    # only messages that look like an object can make calls, answer them or define tools; they are read once and written
+    told = F.coalesce(F.col("role").isin("assistant", "tool", "system") & F.col("text").rlike(r"^[ \t\r\n]*\{"), F.lit(False))
+    parsed = cut(own.where(told).mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id()))
+    others = own.where(~told).select("*", F.array().cast(CALLS).alias("calls"), *[F.lit(None).cast("string").alias(c) for c in ("answers", "content")])
     nothing = F.lit(None).cast("string").alias("schema")
     posted = F.when(
         F.col("defined").isNotNull(),
@@ -289,10 +292,12 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
     own_asks = F.concat(F.transform("calls", lambda c, k: ask(ID, k, c["id"])), F.transform("calls", lambda c, k: ask(TOOL, k, c["name"])), F.array(ask(ANY, F.lit(0), F.lit(""))))
     asks = parsed.select("*", F.when(F.col("answers").isNotNull(), F.array(ask(ID, F.lit(0), F.col("answers")))).when(F.size("calls") > 0, own_asks).otherwise(F.array().cast("array<struct<k:int,kind:int,id:string>>")).alias("ids"))
     joins = (F.size("ids") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    plain = asks.where(~joins).withColumn("found", F.expr("cast(null as array<struct<k:int,kind:int,first:struct<turn:bigint,k:int,schema:string>>>)"))
-    tools = cut(asks.where(joins).withColumn("row", F.monotonically_increasing_id()))  # written, so that both uses see the same numbers
+    cols = ["conv_id", "turn", "role", "text", "calls", "answers", "content"]
+    nowhere = F.expr("cast(null as array<struct<k:int,kind:int,first:struct<turn:bigint,k:int,schema:string>>>)").alias("found")
+    plain = others.select(*cols, nowhere).union(asks.where(~joins).select(*cols, nowhere))
+    tools = asks.where(joins)
     keyed = tools.select("row", "conv_id", F.inline("ids")).join(first, ["conv_id", "kind", "id"]).groupBy("row").agg(F.collect_list(F.struct("k", "kind", "first")).alias("found"))
-    tools = tools.join(keyed, "row", "left").drop("row")
+    linked = tools.join(keyed, "row", "left").select(*cols, "found")
 
     out_schema = T._parse_datatype_string("conv_id bigint, turn bigint, order_key array<bigint>, role string, n_calls int, n_invalid int, links struct<turn:bigint,k:int>, status string, message string")
     out_arrow = to_arrow_schema(out_schema)
@@ -331,8 +336,7 @@ def format_chat(messages: DataFrame, schemas: dict[str, dict] | None = None, con
                 rows.append({"conv_id": r["conv_id"], "turn": at, "order_key": order, "role": r["role"], "n_calls": len(r["calls"]), "n_invalid": len(wrong), "links": link, "status": status, "message": canonical(message)})
             yield pa.RecordBatch.from_pylist(rows, schema=out_arrow)
 
-    cols = ["conv_id", "turn", "role", "text", "calls", "answers", "content", "found"]
-    return plain.select(*cols).unionByName(tools.select(*cols)).mapInArrow(write, out_schema)
+    return plain.union(linked).mapInArrow(write, out_schema)
 
 
 #: What replayed conversations define: their only tool.

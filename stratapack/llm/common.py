@@ -7,7 +7,6 @@ involved and UTF-8 sequences are never cut.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import cut, delete, shared_folder, spread  # noqa: F401  the other modules take these from here
+
 U64 = np.uint64
 #: Texts are worked on in chunks of about so many bytes; the arrays made of them take dozens of times as much memory.
 CHUNK_BYTES = 1 << 20
@@ -246,36 +247,7 @@ def free_name(name: str, taken: list[str]) -> str:
     return next(x for k in range(len(taken) + 1) if (x := f"__{name}{k}") not in taken)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate results that all executors share: spark.checkpoint.dir, or the checkpoint folder that the application has set.
-
-    Only where neither is set and driver and executors are one process a private folder is made; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    have = sc._jsc.sc().getCheckpointDir()
-    if folder:
-        if have.isEmpty():
-            sc.setCheckpointDir(folder)
-        return folder
-    if have.isEmpty():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stratapack-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of intermediate results, wherever Spark keeps it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared checkpoint folder, so that a lost executor costs a reread and plans stay short."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder; the large ones are spread over the cores where they lie in few pieces."""
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(out) if name in ("documents", "pages", "conversations") else out

@@ -20,7 +20,7 @@ from .common import free_name, table
 #: Rows on which costs and selectivities are estimated: about so many, each chosen by itself, and twice as many at most.
 SAMPLE = 1000
 #: How often each sampled row is judged by each rule for its cost, and how many runs there are, of which the fastest counts.
-REPEATS, RUNS = 20, 3
+REPEATS, RUNS = 8, 2
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 
