@@ -274,8 +274,16 @@ def verify(encoded: DataFrame, manifests: DataFrame, decoded: DataFrame) -> Data
     return out.select("file_id", consistent.alias("consistent"), ok.alias("ok"), "error")
 
 
+#: Codecs below this many MB/s (by the registry) take much longer than an exchange, so their chunks are dealt evenly: a file with many chunks is many tasks' work.
+SLOW = 100
+
+
 def compress(files: DataFrame, algo: str = "lz77", level: int = 6, chunk_size: int = 1 << 20, secret: Secret | None = None) -> DataFrame:
-    return encode_chunks(split_chunks(files, min(chunk_size, CODECS[algo].block_cap)), algo, level, secret)
+    """The chunk table of whole files."""
+    chunks = split_chunks(files, min(chunk_size, CODECS[algo].block_cap))
+    if CODECS[algo].typical_speed_mbps < SLOW:
+        chunks = chunks.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id", "chunk_id")
+    return encode_chunks(chunks, algo, level, secret)
 
 
 def decompress(encoded: DataFrame, secret: Secret | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.codecs import CODECS
 from ..operators import analysis, pipeline
 from ..functions.crypto import Digest
 from ..sources import archives, container
-from ..sources.folders import cut, delete, mounted, shared_folder
+from ..sources.folders import cut, delete, mounted, shared_folder, spread
 from ..streaming import ingest as streaming
 from . import jobs
 
@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.as_files(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pipeline.as_files(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 BYTES = "SELECT doc_id, generate_subscripts(b, 1) AS i, unnest(b) AS b FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents)"
@@ -265,9 +265,7 @@ def benchmark_codecs(spark, sf_dir):
 
 @query()
 def analyze_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    files = pipeline.as_files(docs, "doc_id", "text").withColumn("path", F.concat(F.lit("doc-"), "file_id"))
-    return analysis.analyze(files)
+    return analysis.analyze(documents(spark, sf_dir).withColumn("path", F.concat(F.lit("doc-"), "file_id")))
 
 
 #: Every fifth document begins like a JPEG, gzip, PDF or zip file; of every eleventh there is no content at all, and every thirteenth is empty.

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,3 +50,13 @@ def files_below(root: str) -> list[str]:
     if os.path.isfile(root):
         return [root]
     return sorted(os.path.join(d, n) for d, _, names in os.walk(root) for n in names if not n.startswith((".", "_")) and not os.path.islink(os.path.join(d, n)))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it is scanned, for kernels that take much longer than an exchange: dealt evenly if it lies in fewer pieces than there are cores.
+
+    A file's row group is read by one task, so a small table in one row group would keep one core busy.  Counting the tasks that have rows reads no column; larger tables are never shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    used = scan.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
+    return scan if used >= cores else scan.repartition(2 * cores)
