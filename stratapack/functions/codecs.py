@@ -352,11 +352,15 @@ def _chain(step: bytes, start: int = 0) -> list[int]:
     return [*out, p]
 
 
+#: zlib's level for each of ours: the least that gives matches as long as hash chains of 16 + 32 * level places.
+_MATCHER = (5, 5, 6, 6, 7, 7, 9, 9, 9)
+
+
 def _tokens(data: bytes, level: int) -> tuple[np.ndarray, np.ndarray]:
     """(length, value) of the tokens of a text: a literal has length 0 and its byte, a match its distance."""
     # zlib takes place 0 for no place, so a byte that the text doesn't have is put before it
     other = np.flatnonzero(np.bincount(np.frombuffer(data, np.uint8), minlength=256) == 0)
-    packer = zlib.compressobj(level, zlib.DEFLATED, -15, 9, zlib.Z_FIXED, *([bytes([other[0]])] if len(other) else []))
+    packer = zlib.compressobj(_MATCHER[level - 1], zlib.DEFLATED, -15, 9, zlib.Z_FIXED, *([bytes([other[0]])] if len(other) else []))
     raw = np.frombuffer(packer.compress(data) + packer.flush() + bytes(8), np.uint8)
     lengths, values = [], []
     at, end = 0, (len(raw) - 8) * 8
