@@ -17,6 +17,7 @@ from ..functions.crypto import Digest
 from ..sources import archives, container
 from ..sources.folders import cut, delete, mounted, shared_folder, spread
 from ..streaming import ingest as streaming
+from ..streaming import state
 from . import jobs
 
 QUERIES: dict = {}
@@ -516,6 +517,24 @@ def stream_ingest(spark, sf_dir):
     return got.agg(F.count("*").alias("files"), F.sum(F.octet_length("line")).cast("bigint").alias("bytes"))
 
 
+@query("SELECT doc_id, greatest(1, ceil(octet_length(encode(coalesce(text, ''))) / 4096))::BIGINT AS chunks, octet_length(encode(coalesce(text, '')))::BIGINT AS size, true AS whole, true AS right_crc FROM documents")
+def stream_totals(spark, sf_dir):
+    """Chunks that arrive in three batches and out of order: the stream's last word on each file, and its CRC against that of the whole."""
+    root = f"{shared_folder(spark)}/totals-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    chunks = pipeline.encode_chunks(pipeline.split_chunks(docs, CHUNK), "store").select("file_id", "chunk_id", "orig_size", "crc")
+    for part in (2, 0, 1):
+        chunks.where(F.col("chunk_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    made = state.running_totals(stream).writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    made.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{root}/out")).start().awaitTermination()
+    last = spark.read.parquet(f"{root}/out").groupBy("file_id").agg(F.max_by(F.struct("chunks", "size", "crc", "whole"), "chunks").alias("x")).select("file_id", "x.*")
+    out = last.join(docs.select("file_id", F.crc32("content").alias("all")), "file_id")
+    out = cut(out.select(F.col("file_id").alias("doc_id"), "chunks", "size", "whole", (F.col("crc") == F.col("all")).alias("right_crc")))
+    delete(spark, root)
+    return out
+
+
 # --- archives and volumes as tables ----------------------------------------------------------------
 
 LONG = "a-folder-with-a-name-of-some-length/" * 4

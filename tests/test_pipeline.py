@@ -173,3 +173,37 @@ def test_streaming(spark, tmp_path):
     stamp = datetime.datetime(2024, 1, 1, 10, 30)
     rows = spark.createDataFrame([(1, "a.txt", stamp, bytearray(b"hi")), (2, "b.txt", stamp, bytearray(b"you"))], "file_id long, path string, modified timestamp, content binary")
     assert [(r.type, r.files, r.bytes) for r in ingest.volume_by_type(rows).collect()] == [("Text", 2, 5)]
+
+
+def test_runs_of_chunks():
+    import random
+
+    from stratapack.streaming import state
+
+    rng = random.Random(1)
+    parts = [rng.randbytes(rng.randrange(0, 40)) for _ in range(30)]
+    rows = [(k, k + 1, len(p), zlib.crc32(p)) for k, p in enumerate(parts)]
+    whole = b"".join(parts)
+    for _ in range(20):
+        rng.shuffle(rows)
+        runs = []
+        for k in range(0, 30, 7):
+            runs = state.joined(runs + rows[k : k + 7] + rows[:1])
+        assert runs == [(0, 30, len(whole), zlib.crc32(whole))]
+    assert len(state.joined(rows[:1] + [(99, 100, 1, 2)])) == 2
+
+
+def test_totals_of_arriving_chunks(spark, tmp_path, files):
+    from stratapack.streaming import state
+
+    chunks = pipeline.compress(files, "rle", 6, 4096).select("file_id", "chunk_id", "orig_size", "crc")
+    for part in (2, 0, 1):  # out of order, one file at a time
+        chunks.where(F.col("chunk_id") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+    state.running_totals(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda df, _: seen.append(df.collect())).start().awaitTermination()
+    last = {r.file_id: r for batch in seen for r in batch}
+    want = {1: TEXT, 2: NOISE, 3: b"", 4: b"A", 5: b""}
+    assert len([b for b in seen if b]) >= 3
+    assert {k: (r.size, r.crc, r.whole) for k, r in last.items()} == {k: (len(v), zlib.crc32(v), True) for k, v in want.items()}
+    assert any(not r.whole for batch in seen for r in batch)
