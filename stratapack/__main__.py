@@ -11,11 +11,12 @@ import json
 import os
 import shutil
 import sys
-import tempfile
+import uuid
 
 from .functions.bits import FormatError
 from .plans import jobs, reports
 from .sources import archives
+from .sources.folders import mounted, shared_folder
 
 
 def parser() -> argparse.ArgumentParser:
@@ -118,7 +119,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     with contextlib.ExitStack() as stack:
         paths, output = getattr(a, "paths", []), getattr(a, "output", None)
         if "-" in paths or output == "-":  # a pipe has no positions, so it is kept in a file beside the job
-            spool = stack.enter_context(tempfile.TemporaryDirectory(prefix="stratapack-"))
+            spool = os.path.join(mounted(shared_folder(spark)), f"spool-{uuid.uuid4().hex}")
+            os.makedirs(spool)
+            stack.callback(shutil.rmtree, spool, ignore_errors=True)
             if "-" in paths:
                 with open(os.path.join(spool, "stdin"), "wb") as f:
                     shutil.copyfileobj(sys.stdin.buffer, f, 1 << 20)
