@@ -77,6 +77,20 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _with_counts(posts: DataFrame, stats: DataFrame, key: str, n_nodes: int) -> DataFrame:
+    """`posts` (node, key, ...) joined with `stats` (key, n), where keys that more than a thousandth of the nodes have are joined in parts.
+
+    A node has K keys at most, so there are at most 1000 * K such keys; they are broadcast to deal their rows.
+    """
+    hot = stats.where(F.col("n") * 1000 > n_nodes + 1000 * SHARE).select(key, F.ceil(F.col("n") / SHARE).cast("int").alias("parts"))
+    if not hot.limit(1).count():
+        return posts.join(stats, key)
+    parts = F.coalesce("parts", F.lit(1))
+    left = posts.join(F.broadcast(hot), key, "left").withColumn("part", F.pmod(F.col("node"), parts).cast("int")).drop("parts")
+    right = stats.join(F.broadcast(hot), key, "left").select(key, "n", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return left.join(right, [key, "part"]).drop("part")
+
+
 def prefixes(nodes: DataFrame) -> DataFrame:
     """(node, size, token, m, leader, leader_size): the postings in each node's prefix that others share, with their length and leader.
 
@@ -84,8 +98,8 @@ def prefixes(nodes: DataFrame) -> DataFrame:
     or what is nearest to it, so most of the group links with it directly.
     """
     posts = nodes.select("node", "size", F.posexplode("signature")).select("node", "size", (F.col("pos").cast("bigint") * F.lit(1 << 32) + F.col("col")).alias("token"))
-    stats = posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    own = posts.join(stats, "token").groupBy("node", "size").agg(F.collect_list(F.struct("n", "token")).alias("t"), F.sum(F.log("n")).alias("score"))  # K at most
+    stats = cut(posts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    own = _with_counts(posts, stats, "token", nodes.count()).groupBy("node", "size").agg(F.collect_list(F.struct("n", "token")).alias("t"), F.sum(F.log("n")).alias("score"))  # K at most
     own = own.where(F.size("t") >= MATCHES).withColumn("t", F.slice(F.sort_array("t"), F.lit(1), F.size("t") - (MATCHES - 1)))
     prefix = cut(own.select("node", "size", "score", F.explode("t").alias("t")).select("node", "size", "score", "t.token", F.ceil(F.col("t.n") / SHARE).cast("int").alias("parts")))  # written, so that lengths and leaders don't make it again
     lead = prefix.groupBy("token", "parts").agg(F.count("*").alias("m"), F.max(F.struct("score", "node", "size")).alias("l")).where("m > 1")
