@@ -207,3 +207,21 @@ def test_totals_of_arriving_chunks(spark, tmp_path, files):
     assert len([b for b in seen if b]) >= 3
     assert {k: (r.size, r.crc, r.whole) for k, r in last.items()} == {k: (len(v), zlib.crc32(v), True) for k, v in want.items()}
     assert any(not r.whole for batch in seen for r in batch)
+
+
+def test_small_tables_are_spread(spark, tmp_path):
+    from stratapack.sources.folders import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(3 * cores).write.option("maxRecordsPerFile", 50).parquet(str(tmp_path / "many"))
+    used = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    one = spread(spark.read.parquet(str(tmp_path / "one")))
+    assert used(one) >= cores and one.count() == 1000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        many = spark.read.parquet(str(tmp_path / "many"))
+        assert spread(many) is many
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spread(spark.createDataFrame([], "x int")).count() == 0
