@@ -17,6 +17,7 @@ with d distinct tokens a page on average there are at most RARE * d of these, ho
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import re
@@ -58,13 +59,14 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs "
     "footer sidebar widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
     "signup login search share sharing social related recommended recommendations comment comments disqus respond reply replies pagination pager "
-    "copyright legal toolbar skip".split()
+    "copyright legal toolbar skip aside adbox adslot adunit adsbygoogle topnav sitenav mainnav subnav sidenav crumbs cookiebar sharebar socials".split()
 )
 HEADS = frozenset("header masthead banner topbar".split())
 #: Words that don't change what a mark beside them says.
 NEUTRAL = frozenset(
     "site page main top bottom left right primary secondary global block box area section container wrapper wrap inner outer list item items bar link links "
-    "button buttons slot unit zone panel post posts article articles form text title group holder row col column header head policy us icons media feed thread banner".split()
+    "button buttons slot unit zone panel post posts article articles form text title group holder row col column header head policy us icons media feed thread banner "
+    "user users reader readers visitor blog recent latest all sticky fixed mobile desktop small large inline google display js custom side end region module count trail for you".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are text of a slot, not slots.
@@ -119,7 +121,10 @@ class Page:
         self.parent, self.name, self.path, self.inside = [-1], [""], [ROOT], [False]
         self._hard, self._soft = [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack = [0]
+        self._stack = [0]  # of the open elements
+        self._tags = [""]  # their names
+        self._open_at: dict[str, list[int]] = {}  # places on the stack by name
+        self._scopes: list[int] = []  # places of scopes
         self._text: list[str] = []
         self._linked, self._link = 0, False
         at = 0
@@ -173,12 +178,13 @@ class Page:
             return
         self._flush()
         if closes := CLOSES.get(name):
-            k = len(self._stack) - 1
+            scope = next((k for k in reversed(self._scopes) if self._tags[k] not in closes), 0)
             low = len(self._stack)
-            while k > 0 and not ((open_ := self.name[self._stack[k]]) in SCOPES and open_ not in closes):
-                if open_ in closes:
-                    low = k
-                k -= 1
+            for c in closes:
+                at = self._open_at.get(c, ())
+                k = bisect.bisect_right(at, scope)
+                if k < len(at):
+                    low = min(low, at[k])
             self._cut(low)
         label, marked, head, role = _named(attributes) if "=" in attributes else ("", False, False, "")
         above = self._stack[-1]
@@ -191,7 +197,11 @@ class Page:
         self._soft.append(not plain and name not in HEADINGS and (marked or (head and not inside and name not in ("article", "main"))))
         self.inside.append(inside or name in ("article", "main") or role == "main")
         if name not in VOID:
+            self._open_at.setdefault(name, []).append(len(self._stack))
+            if name in SCOPES:
+                self._scopes.append(len(self._stack))
             self._stack.append(len(self.name) - 1)
+            self._tags.append(name)
 
     def _close(self, name: str) -> None:
         if name in INLINE or name in VOID:
@@ -202,14 +212,16 @@ class Page:
                     self._quiet = None
             return
         self._flush()
-        for k in range(len(self._stack) - 1, 0, -1):
-            if self.name[self._stack[k]] == name:
-                self._cut(k)
-                break
+        if at := self._open_at.get(name):
+            self._cut(at[-1])
 
     def _cut(self, k: int) -> None:
         """Closes the elements from k on, and with them an inline aside that was left open in one."""
-        del self._stack[k:]
+        for name in self._tags[k:]:
+            self._open_at[name].pop()
+        while self._scopes and self._scopes[-1] >= k:
+            self._scopes.pop()
+        del self._stack[k:], self._tags[k:]
         if self._quiet and len(self._stack) < self._quiet[1]:
             self._quiet = None
 

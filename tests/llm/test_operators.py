@@ -8,6 +8,7 @@ import json
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +196,17 @@ def test_near_dedup_links_through_a_document_without_id(spark):
     assert sorted(((r.id, r.component_id, r.kept) for r in got), key=str) == [(1, 1, True), (3, 1, False), (4, 4, True), (None, 1, False), (None, None, True)]
 
 
+def test_near_dedup_deals_hot_values(spark, corpus, monkeypatch):
+    """Values that many nodes share are joined in parts, with the same result."""
+    _, docs = corpus
+    want = sorted(map(str, near_dedup.near_components(docs).collect()))
+    seen = []
+    original = near_dedup._with_counts
+    monkeypatch.setattr(near_dedup, "_with_counts", lambda posts, stats, key, n: seen.append(stats.where(F.col("n") * 1000 > n + 1000 * near_dedup.SHARE).count()) or original(posts, stats, key, n))
+    monkeypatch.setattr(near_dedup, "SHARE", 1)
+    assert sorted(map(str, near_dedup.near_components(docs).collect())) == want and seen[0] > 0
+
+
 def test_near_duplicates_go_by_row(spark):
     """An id with several texts keeps those that no smaller id has."""
     x, y = prose(random.Random(1), 40, 10**6), prose(random.Random(2), 40, 10**6)
@@ -470,6 +482,7 @@ def test_html_markup():
         "<p title=don't>it</p><p title=\"it's\">is</p>": "it\nis",
         '<p>a</p><p class="x>b</p><p>c</p>': "a\nb\nc",
         '<section id="search-algorithms"><p>Binary search</p></section><h2 class="social">Social</h2><p class="legal-history">Law</p>': "Binary search\nSocial\nLaw",
+        '<div class="user-comments">a</div><div class="for-you related">b</div><p class="reader">g</p><div class="adSlot1">h</div>': "g",
         '<div class="cookie-notice">c</div><div id="comments">d</div><div class="ad-banner top">e</div><p>f</p>': "f",
         "<p>x <math><mi>y</mi></math> <svg><text>z</text></svg><object>w</object>": "x y\nz\nw",
         "<p>a<br>b<br/>c</p>": "a b c",
@@ -487,6 +500,11 @@ def test_html_markup():
     deep = "<body><p>out</p>" + "<div>" * 100 + "<article><p>in</p></article>" + "</div>" * 100 + "<p>side</p></body>"
     assert extracted(deep) == "in"
     assert extracted("<div>" * 20_000 + "deep") == "deep"
+    assert extracted('<body><div role="main"><p>in</p></div><div class="x"><p>after</p></div></body>') == "in"
+    began = time.perf_counter()
+    for odd in ("<x>" * 50_000 + "<p>a" * 20_000, "<p><div>" + "<x>" * 50_000 + "<p>a" * 20_000, "<x>" * 50_000 + "</y>" * 50_000, "<a href='" * 20_000, "<ul>" * 30_000 + "<li>a" * 30_000, "<script>" * 50_000, "<!--" * 50_000):
+        extracted(odd)
+    assert time.perf_counter() - began < 60
     assert extracted('<body><div class="content-sidebar-wrap"><p>all</p></div></body>') == "all" and extracted('<body><div class="ad">buy</div><article></article></body>') == ""
     assert extracted('<body><div class="widget"><p>all of it</p><div class="ad">buy</div></div></body>') == "all of it"
 
