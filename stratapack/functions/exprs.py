@@ -212,10 +212,10 @@ def from_hex(text: Column) -> Column:
 
 
 def archive_kind(head: Column) -> Column:
-    """Standard archive format by signature: zip, 7z, rar, zst, gz, xz, bz2, lzma, ar, cpio or tar; else null."""
+    """Standard archive format by signature: zip, 7z, rar, zst, gz, xz, bz2, lz4, Z, lzma, ar, cpio or tar; else null."""
     digits = F.hex(F.substring(head, 1, 8))
     out = F.when(digits.startswith("504B0304") | digits.startswith("504B0506") | digits.startswith("504B0708"), "zip")
-    for prefix, kind in [("377ABCAF271C", "7z"), ("526172211A07", "rar"), ("28B52FFD", "zst"), ("1F8B", "gz"), ("FD377A585A00", "xz"), ("425A68", "bz2"), ("5D0000", "lzma"), ("213C617263683E0A", "ar"), ("303730373031", "cpio"), ("303730373032", "cpio"), ("303730373037", "cpio")]:
+    for prefix, kind in [("377ABCAF271C", "7z"), ("526172211A07", "rar"), ("28B52FFD", "zst"), ("1F8B", "gz"), ("FD377A585A00", "xz"), ("425A68", "bz2"), ("04224D18", "lz4"), ("1F9D", "Z"), ("5D0000", "lzma"), ("213C617263683E0A", "ar"), ("303730373031", "cpio"), ("303730373032", "cpio"), ("303730373037", "cpio")]:
         out = out.when(digits.startswith(prefix), kind)
     return out.when(looks_like_tar(head), "tar")
 

@@ -285,7 +285,7 @@ def _odd_files(spark, sf_dir) -> DataFrame:
 
 @query(
     f"""SELECT doc_id, type, type_detail, coalesce(octet_length(content), 0)::BIGINT AS sample_size, 9::INTEGER AS level, 'store' AS algo, true AS store_raw, 0.0::DOUBLE AS compressibility,
-CASE WHEN content IS NULL THEN 'the file is not there' WHEN octet_length(content) = 0 THEN 'the file is empty' ELSE type_detail || ' is compressed already' END AS rationale
+CASE WHEN content IS NULL THEN 'the file is not there' WHEN type_detail IN ('jpeg', 'png', 'gzip', 'zip') THEN type_detail || ' is compressed already' ELSE 'the file is empty' END AS rationale
 FROM ({TYPED_SQL}) WHERE content IS NULL OR octet_length(content) = 0 OR type_detail IN ('jpeg', 'png', 'gzip', 'zip')"""
 )
 def analyzer_vetoes(spark, sf_dir):

@@ -90,16 +90,128 @@ def pack(entries: list[Entry], kind: str, level: int = 6) -> bytes:
 #: What an archive begins with, in order of precedence (fixed values).
 SIGNATURES = (
     (b"PK\3\4", "zip"), (b"PK\5\6", "zip"), (b"PK\7\10", "zip"), (b"7z\xbc\xaf'\x1c", "7z"), (b"Rar!\x1a\7", "rar"), (b"(\xb5/\xfd", "zst"), (b"\x1f\x8b", "gz"), (b"\xfd7zXZ\0", "xz"), (b"BZh", "bz2"),
-    (b"]\0\0", "lzma"), (b"!<arch>\n", "ar"), (b"070701", "cpio"), (b"070702", "cpio"), (b"070707", "cpio"),
+    (b"\x04\x22\x4d\x18", "lz4"), (b"\x1f\x9d", "Z"), (b"]\0\0", "lzma"), (b"!<arch>\n", "ar"), (b"070701", "cpio"), (b"070702", "cpio"), (b"070707", "cpio"),
 )
+
+
+class _Pieces(io.RawIOBase):
+    """Pieces of bytes as a file to be read forwards."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.held:
+            if (piece := next(self.pieces, None)) is None:
+                return 0
+            self.held = piece
+        n = min(len(buffer), len(self.held))
+        buffer[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
+def _lz4(f) -> Iterator[bytes]:
+    """The blocks of LZ4 frames; checksums are passed over."""
+    while head := f.read(4):
+        if head != b"\x04\x22\x4d\x18":
+            raise EOFError("no head of a frame")
+        flags = _exactly(f, 2)[0]
+        _exactly(f, 8 * (flags >> 3 & 1) + 4 * (flags & 1) + 1)
+        window = b""
+        while size := int.from_bytes(_exactly(f, 4), "little"):
+            block = _exactly(f, size & 0x7FFFFFFF)
+            if flags >> 4 & 1:
+                _exactly(f, 4)
+            out = block if size >> 31 else _lz4_block(block, b"" if flags >> 5 & 1 else window)
+            window = (window + out)[-65536:]
+            yield out
+        if flags >> 2 & 1:
+            _exactly(f, 4)
+
+
+def _lz4_block(block: bytes, before: bytes) -> bytes:
+    """Sequences of literals and matches; a length of 15 goes on in the bytes that follow, as long as they are 255."""
+    out, at, end = bytearray(before), 0, len(block)
+
+    def length(n: int, at: int) -> tuple[int, int]:
+        while n >= 15:
+            more, at = block[at], at + 1
+            n += more
+            if more < 255:
+                break
+        return n, at
+
+    try:
+        while at < end:
+            token, at = block[at], at + 1
+            n, at = length(token >> 4, at)
+            if at + n > end:
+                raise EOFError("literals are cut off")
+            out += block[at : at + n]
+            at += n
+            if at >= end:
+                break
+            d, at = block[at] | block[at + 1] << 8, at + 2
+            n, at = length(token & 15, at)
+            n += 4
+            if not 0 < d <= len(out):
+                raise EOFError("a match begins before the block")
+            part = bytes(out[len(out) - d : len(out) - d + n])
+            out += part if d >= n else (part * (n // d + 1))[:n]
+    except IndexError:
+        raise EOFError("a sequence is cut off") from None
+    return bytes(out[len(before) :])
+
+
+def _compress(f) -> Iterator[bytes]:
+    """The stream of the old compress program: LZW with codes of 9 bits and more, lowest bit first, in groups of eight."""
+    _exactly(f, 2)
+    flags = _exactly(f, 1)[0]
+    most, clears = flags & 31, flags >> 7
+    if not 9 <= most <= 16:
+        raise EOFError("no such width")
+    roots = [bytes((i,)) for i in range(256)] + ([b""] if clears else [])
+    known, width, before, out = roots[:], 9, None, []
+    while group := f.read(width):
+        value, n = int.from_bytes(group, "little"), len(group) * 8 // width
+        for k in range(n):
+            code = value >> k * width & (1 << width) - 1
+            if code == 256 and clears:
+                known, width, before = roots[:], 9, None
+                break  # the rest of the group is filling
+            if before is None:
+                if code > 255:
+                    raise EOFError("the first code is no byte")
+                entry = known[code]
+            else:
+                if code > len(known) or code == len(known) and len(known) >= 1 << most:
+                    raise EOFError("a code that is not there yet")
+                entry = known[code] if code < len(known) else before + before[:1]
+                if len(known) < 1 << most:
+                    known.append(before + entry[:1])
+            out.append(entry)
+            before = entry
+            if len(known) >= 1 << width and width < most:
+                width += 1
+                break  # the width changes with a group
+        if len(out) > 4096:
+            yield b"".join(out)
+            out = []
+    yield b"".join(out)
+
+
 STREAMS = {
+    "lz4": lambda f: _Pieces(_lz4(f)), "Z": lambda f: _Pieces(_compress(f)),
     "gz": lambda f: gzip.GzipFile(fileobj=f), "xz": lzma.LZMAFile, "lzma": lzma.LZMAFile, "bz2": bz2.BZ2File, "zst": lambda f: zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True),
 }
 _BROKEN = (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError, zipfile.BadZipFile, tarfile.TarError, NotImplementedError, RuntimeError, KeyError)
 
 
 def detect(data: bytes) -> str | None:
-    """zip, 7z, rar, zst, gz, xz, bz2, lzma, ar, cpio or tar by the first 512 bytes."""
+    """zip, 7z, rar, zst, gz, xz, bz2, lz4, Z (compress), lzma, ar, cpio or tar by the first 512 bytes."""
     for prefix, kind in SIGNATURES:
         if data.startswith(prefix):
             return kind

@@ -297,3 +297,82 @@ def test_header_is_read_alone(tmp_path):
     broken[-3] ^= 1
     with pytest.raises(FormatError):
         io.BufferedReader(container.ContentFile(io.BytesIO(bytes(broken)), len(broken))).read()
+
+
+def lz4_frame(data, linked=False):
+    """Literals, and matches at distance 1 for runs; every other block is stored."""
+    out = b"\x04\x22\x4d\x18" + bytes([0x40 | 0x20 * (not linked) | 0x04, 0x70, 0])
+    for k in range(0, len(data), 5000):
+        part, block, at = data[k : k + 5000], b"", 0
+        if k % 10000:
+            out += struct.pack("<I", len(part) | 1 << 31) + part
+            continue
+        size = lambda n: b"" if n < 15 else b"\xff" * ((n - 15) // 255) + bytes([(n - 15) % 255])
+        while at < len(part):
+            run = next((i for i in range(at, len(part) - 12) if part[i : i + 9] == part[i : i + 1] * 9), None)
+            if run is None:
+                n = len(part) - at
+                block += bytes([min(n, 15) << 4]) + size(n) + part[at:]
+                break
+            end = run + 1
+            while end < len(part) - 5 and part[end] == part[run]:
+                end += 1
+            n, m = run + 1 - at, end - run - 1 - 4
+            block += bytes([min(n, 15) << 4 | min(m, 15)]) + size(n) + part[at : run + 1] + b"\1\0" + size(m)
+            at = end
+        out += struct.pack("<I", len(block)) + block
+    return out + bytes(4) + b"sums"
+
+
+def z_file(data, most=12, clear_at=None):
+    out, known, width, group, now, done = bytearray(b"\x1f\x9d" + bytes([0x80 | most])), {}, 9, [], None, 0
+
+    def flush():
+        out.extend(sum(c << k * width for k, c in enumerate(group)).to_bytes(-(-len(group) * width // 8) if done else width, "little"))
+        group.clear()
+
+    free = 257
+    for i, c in enumerate(data):
+        if now is None:
+            now = c
+            continue
+        if (now, c) in known:
+            now = known[now, c]
+            continue
+        group.append(now)
+        if len(group) == 8:
+            flush()
+        if free < 1 << most:
+            known[now, c] = free
+            free += 1
+            if free > 1 << width and width < most:
+                if group:
+                    flush()
+                width += 1
+        now = c
+        if clear_at and i > clear_at:
+            group.append(256)
+            flush()
+            known, width, free, clear_at = {}, 9, 257, None
+    done = 1
+    if now is not None:
+        group.append(now)
+    if group:
+        flush()
+    return bytes(out)
+
+
+def test_lz4_and_compress_streams():
+    runs = b"".join(bytes([k % 7 + 65]) * (k % 60) + b"text %d " % k for k in range(700))
+    for data in (b"x", DATA[:30000], runs):
+        for packed, name in ((lz4_frame(data), "x.lz4"), (lz4_frame(data, True), "x.lz4")):
+            assert [(e.path, e.data) for e in archives.unpack(packed, name)] == [("x", data)]
+    tar = archives.pack(TREE, "tar")
+    assert {e.path: e.data for e in archives.unpack(lz4_frame(tar))}["a.txt"] == b"alpha"
+    for data in (b"x", b"ab" * 2000, DATA[:60000]):
+        for most in (9, 12, 16):
+            assert [e.data for e in archives.unpack(z_file(data, most), "x.Z")] == [data], most
+    assert [e.data for e in archives.unpack(z_file(DATA[:60000], 12, 30000), "x.Z")] == [DATA[:60000]]
+    for bad in (lz4_frame(runs)[:200], lz4_frame(runs)[:5] + b"\0\0", z_file(DATA)[:3] + b"\xff" * 9, b"\x1f\x9d\x05abc"):
+        with pytest.raises(FormatError):
+            list(archives.unpack(bad))
