@@ -148,7 +148,8 @@ def _part(output: str, job: str) -> str:
 
 
 def _commit(output: str, job: str, force: bool) -> None:
-    if os.path.lexists(output) and not force:
+    if os.path.lexists(output) and not force:  # it came while the job ran
+        os.remove(_part(output, job))
         raise FormatError("the output exists")
     os.replace(_part(output, job), output)
 

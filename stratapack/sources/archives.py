@@ -425,7 +425,7 @@ def _put(e: Entry, opened, folder: str, force: bool) -> str:
         return "unsafe path"
     to = os.path.join(folder, e.path)
     above = to if e.is_dir else os.path.dirname(to)
-    if os.path.realpath(above) != os.path.join(os.path.realpath(folder), os.path.relpath(above, folder)).rstrip("/.").rstrip("/") and os.path.realpath(above) != os.path.realpath(folder):
+    if os.path.realpath(above) != os.path.normpath(os.path.join(os.path.realpath(folder), os.path.relpath(above, folder))):
         return "a link stands in the way"
     os.makedirs(above, exist_ok=True)
     if e.is_dir:

@@ -46,10 +46,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def files_below(root: str) -> list[str]:
-    """The files at and below a mounted path, sorted, without links and hidden ones."""
+    """The files at and below a mounted path, sorted, without links and what jobs leave unfinished."""
     if os.path.isfile(root):
         return [root]
-    return sorted(os.path.join(d, n) for d, _, names in os.walk(root) for n in names if not n.startswith((".", "_")) and not os.path.islink(os.path.join(d, n)))
+    return sorted(os.path.join(d, n) for d, _, names in os.walk(root) for n in names if not n.endswith(".part") and not os.path.islink(os.path.join(d, n)))
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -103,13 +103,14 @@ def test_places_below_the_input_are_kept(spark, tmp_path):
     for d, data in (("a", b"one " * 100), ("b/c", b"two " * 100)):
         (tmp_path / "in" / d).mkdir(parents=True)
         (tmp_path / "in" / d / "x.txt").write_bytes(data)
+    (tmp_path / "in" / ".hidden").write_bytes(b"five")
     (tmp_path / "x.txt").write_bytes(b"three " * 50)
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "x.txt").write_bytes(b"four")
     out = tmp_path / "out"
     rows = jobs.compress(spark, [str(tmp_path / "in"), str(tmp_path / "x.txt"), str(tmp_path / "other" / "x.txt"), str(tmp_path / "none")], str(out), "huffman").collect()
     got = {r.input[len(str(tmp_path)) + 1 :]: r.error for r in rows}
-    assert got == {"in/a/x.txt": None, "in/b/c/x.txt": None, "other/x.txt": None, "x.txt": "another input has this output", "none": "no such file"}
+    assert got == {"in/.hidden": None, "in/a/x.txt": None, "in/b/c/x.txt": None, "other/x.txt": None, "x.txt": "another input has this output", "none": "no such file"}
     back = jobs.decompress(spark, [str(out)], str(tmp_path / "back")).collect()
     assert all(r.ok for r in back) and (tmp_path / "back" / "b" / "c" / "x.txt").read_bytes() == b"two " * 100
     assert not list(tmp_path.glob("**/*.part"))
