@@ -196,17 +196,6 @@ def test_near_dedup_links_through_a_document_without_id(spark):
     assert sorted(((r.id, r.component_id, r.kept) for r in got), key=str) == [(1, 1, True), (3, 1, False), (4, 4, True), (None, 1, False), (None, None, True)]
 
 
-def test_near_dedup_deals_hot_values(spark, corpus, monkeypatch):
-    """Values that many nodes share are joined in parts, with the same result."""
-    _, docs = corpus
-    want = sorted(map(str, near_dedup.near_components(docs).collect()))
-    seen = []
-    original = near_dedup._with_counts
-    monkeypatch.setattr(near_dedup, "_with_counts", lambda posts, stats, key, n: seen.append(stats.where(F.col("n") * 1000 > n + 1000 * near_dedup.SHARE).count()) or original(posts, stats, key, n))
-    monkeypatch.setattr(near_dedup, "SHARE", 1)
-    assert sorted(map(str, near_dedup.near_components(docs).collect())) == want and seen[0] > 0
-
-
 def test_near_duplicates_go_by_row(spark):
     """An id with several texts keeps those that no smaller id has."""
     x, y = prose(random.Random(1), 40, 10**6), prose(random.Random(2), 40, 10**6)
