@@ -146,7 +146,7 @@ def fixed(x: Column, places: int) -> Column:
     """A double with so many decimals, as C's printf writes it: the binary value is rounded, and a tie goes to the even digit.
 
     x * 10**places is taken as a rounded product and its exact error (Dekker's split), so that ties are told from values next to them.
-    Beyond 2**45 the decimals are the JVM's.
+    Beyond 2**45 the decimals are the JVM's. Null for null.
     """
     scale = 10**places
     size = F.abs(x)
@@ -158,15 +158,20 @@ def fixed(x: Column, places: int) -> Column:
     up = (over > 0) | ((over == 0) & (whole % 2 == 1))
     digits = whole.cast("bigint") + up.cast("bigint")
     text = F.format_string(f"%s%d.%0{places}d", F.when(F.signum(x) < 0, F.lit("-")).otherwise(F.lit("")), F.floor(digits / scale).cast("bigint"), F.pmod(digits, F.lit(scale)))
-    return F.when(size < F.lit(float(1 << 45)), text).otherwise(F.format_string(f"%.{places}f", x))
+    return F.when(size < F.lit(float(1 << 45)), text).when(x.isNotNull(), F.format_string(f"%.{places}f", x))
 
 
-def human_size(n: Column) -> Column:
-    """1024-based, two decimals from KiB on."""
+#: Units of sizes, each 1024 of the one before; below the first are bytes.
+SIZE_UNITS = ["KiB", "MiB", "GiB", "TiB", "PiB"]
+
+
+def human_size(n: Column, largest: str = SIZE_UNITS[-1]) -> Column:
+    """1024-based, two decimals from KiB on; sizes beyond the largest unit stay in it. Null for null."""
     out = F.when(n < 1024, F.format_string("%d B", n.cast("bigint")))
-    for k, unit in enumerate(["KiB", "MiB", "GiB", "TiB"], 1):
+    last = SIZE_UNITS.index(largest) + 1
+    for k, unit in enumerate(SIZE_UNITS[: last - 1], 1):
         out = out.when(n < 1024 ** (k + 1), F.concat(fixed(n.cast("double") / 1024**k, 2), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(fixed(n.cast("double") / 1024**5, 2), F.lit(" PiB")))
+    return out.otherwise(F.concat(fixed(n.cast("double") / 1024**last, 2), F.lit(f" {largest}")))
 
 
 def human_rate(mbps: Column) -> Column:

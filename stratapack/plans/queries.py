@@ -341,7 +341,7 @@ UNITS = "n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KiB', n / 10
 @query(f"SELECT o_orderkey, CASE WHEN {UNITS} END AS size, CASE WHEN r >= 1000 THEN printf('%.2f GB/s', r / 1000) ELSE printf('%.2f MB/s', r) END AS rate, printf('%.4f', r / 7) AS ratio FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 37 AS n, o_orderkey / 8 AS r FROM orders)")
 def human_formats(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * 37).alias("n"), (F.col("o_orderkey") / 8).alias("r"))
-    return o.select("o_orderkey", exprs.human_size(F.col("n")).alias("size"), exprs.human_rate(F.col("r")).alias("rate"), exprs.format_ratio(F.col("r") / 7).alias("ratio"))
+    return o.select("o_orderkey", exprs.human_size(F.col("n"), largest="TiB").alias("size"), exprs.human_rate(F.col("r")).alias("rate"), exprs.format_ratio(F.col("r") / 7).alias("ratio"))
 
 
 SUFFIX = "CASE o_orderkey % 8 WHEN 0 THEN 'K' WHEN 1 THEN 'kb' WHEN 2 THEN 'MiB' WHEN 3 THEN 'm' WHEN 4 THEN 'GB' WHEN 5 THEN '' WHEN 6 THEN 'x' ELSE 'b' END"
